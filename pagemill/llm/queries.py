@@ -18,7 +18,14 @@ def op8_directly_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFram
     return dac.roundtrip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_simhash": op7_simhash,
     "op8_directly_addressable_codes": op8_directly_addressable_codes,
 }
 
