@@ -25,12 +25,17 @@ executors; ``doc_ids`` and ``lengths`` list the documents of a segment, and
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +43,7 @@ from pagemill.llm.common import new_path
 
 MAGIC = b"DAC1"
 BLOCK = 512
-#: Ids in a segment at most, unless a single document is longer.
+#: A segment is closed once it has so many ids; a slice of 16 MB of text may add to that.
 SEGMENT_IDS = 1 << 21
 WIDTHS = (1, 1, 2)
 SEGMENT_SCHEMA = (
@@ -117,41 +122,71 @@ class Reader:
         return upper
 
 
-class ChunkCoder(dict):
-    """Text between blanks -> its ids as bytes, encoded once and kept.
+#: A run of letters, then plain punctuation: the tokenizer always splits between the two.
+STEM = re.compile(r"([^\W\d_]+)([.,!&$%#*|?;:]+)")
+
+
+class ChunkCoder:
+    """Texts -> their ids; what recurs is encoded once and kept.
 
     The tokenizer drops white space before it splits, so that the ids of a text
-    are those of its blank-free chunks in order. At most ``size`` chunks are
-    kept; beyond that the table starts afresh.
+    are those of its blank-free chunks in order. Arrow splits a batch and numbers
+    its distinct chunks; a chunk of letters and closing punctuation is the sum of
+    both, so that many chunks share a stem. A-Z are lower-cased by the tokenizer
+    in any case. Both tables start afresh when they are full, which bounds memory
+    and changes no result.
     """
 
-    def __init__(self, path: str, size: int = 300_000):
+    def __init__(self, path: str, chunks: int = 400_000, stems: int = 600_000):
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-        self.size = size
-
-    def learn(self, chunks: set[str]) -> None:
-        if len(self) + len(chunks) > self.size:
-            self.clear()
-            self[""] = b""
-        new = [c for c in chunks if c not in self]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self[chunk] = np.array(got.ids, dtype=np.uint32).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new: set[str] = set()
-        for chunks in split:
-            new.update(chunks)
-        new.difference_update(self.keys())
+        self.most_chunks, self.most_stems = chunks, stems
+        self.chunks: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+        match = STEM.fullmatch
+        parts = [m.groups() if (m := match(x)) else (x,) for x in chunks]
+        need = set().union(*parts)
+        if len(self.stems) + len(need) > self.most_stems:
+            self.stems = {}
+        else:
+            need.difference_update(self.stems)
+        new, stems = list(need), self.stems
+        for at in range(0, len(new), 5_000):
+            some = new[at : at + 5_000]
+            for stem, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                stems[stem] = array("I", got.ids).tobytes()
+        return {c: stems[p[0]] if len(p) == 1 else stems[p[0]] + stems[p[1]] for c, p in zip(chunks, parts)}
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the number of each text's ids."""
+        low = pc.ascii_lower(pc.fill_null(texts, ""))
+        for blank in "\n\t\r":
+            low = pc.replace_substring(low, blank, " ")
+        split = pc.split_pattern(low, " ")
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        get = self.chunks.get
+        values = list(map(get, distinct))
+        new = [c for c, v in zip(distinct, values) if v is None]
         if new:
-            self.learn(new.union(*split) if len(self) + len(new) > self.size else new)
-        get = self.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+            if len(self.chunks) + len(new) > self.most_chunks:
+                self.chunks = {}
+            found = self.learn(new)
+            values = [found[c] if v is None else v for c, v in zip(distinct, values)]
+            if len(found) <= self.most_chunks:
+                self.chunks.update(found)
+        flat = np.frombuffer(b"".join(values), dtype=np.uint32)
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        start = np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        long = size[which]
+        ends = np.cumsum(long)
+        ids = flat[np.repeat(start[which] - (ends - long), long) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cuts = np.concatenate(([0], ends))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return ids, np.diff(cuts)
 
 
 _CODERS: dict[str, ChunkCoder] = {}
@@ -159,39 +194,51 @@ _CODERS: dict[str, ChunkCoder] = {}
 
 def coder(path: str) -> ChunkCoder:
     if path not in _CODERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core
         _CODERS[path] = ChunkCoder(path)
     return _CODERS[path]
 
 
-def _segments(frames: Iterator[pd.DataFrame], path: str, end_id: int, limit: int) -> Iterator[pd.DataFrame]:
+def _pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(size // most)) + 1 if len(size) else []
+    at = 0
+    for to in [*cuts, batch.num_rows]:
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limit: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     code = coder(path)
     part = TaskContext.get().partitionId()
-    end = np.uint32(end_id).tobytes()
-    ids: list[int | None] = []
-    blobs: list[bytes] = []
+    docs: list[int | None] = []
+    lengths: list[np.ndarray] = []
+    ids: list[np.ndarray] = []
     held = seq = 0
 
-    def flush() -> pd.DataFrame:
-        lengths = [len(b) // 4 for b in blobs]
-        payload = pack(np.frombuffer(b"".join(blobs), dtype=np.uint32))
-        row = {"segment": (part << 32) | seq, "part": part, "seq": seq, "doc_ids": [list(ids)], "lengths": [lengths],
-               "n_ids": sum(lengths), "payload": [payload]}
-        return pd.DataFrame(row)
-
-    for frame in frames:
-        rows = list(zip(frame["doc_id"], frame["text"]))
-        for at in range(0, len(rows), 512):
-            some = rows[at : at + 512]
-            for (doc, _), blob in zip(some, code.encode([t if isinstance(t, str) else "" for _, t in some])):
-                ids.append(None if pd.isna(doc) else int(doc))
-                blobs.append(blob + end)
-                held += len(blob) // 4 + 1
-                if held >= limit:
-                    yield flush()
-                    ids, blobs, held, seq = [], [], 0, seq + 1
-    if blobs:
+    def flush() -> pa.RecordBatch:
+        row = [[(part << 32) | seq], [part], [seq], [docs], [np.concatenate(lengths).tolist()], [held], [pack(np.concatenate(ids))]]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+        names = ["segment", "part", "seq", "doc_ids", "lengths", "n_ids", "payload"]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], names)
+
+    for batch in batches:
+        for piece in _pieces(batch, 16 << 20):
+            if not piece.num_rows:
+                continue
+            got, size = code.encode(piece["text"])
+            withend = np.insert(got, np.cumsum(size), np.uint32(end_id))
+            docs += piece["doc_id"].to_pylist()
+            lengths.append(size + 1)
+            ids.append(withend)
+            held += len(withend)
+            if held >= limit:
+                yield flush()
+                docs, lengths, ids, held, seq = [], [], [], 0, seq + 1
+    if docs:
         yield flush()
 
 
@@ -209,7 +256,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, li
     ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()
     )
-    ranged.mapInPandas(lambda it: _segments(it, tokenizer, end_id, limit), SEGMENT_SCHEMA).write.mode(
+    ranged.mapInArrow(lambda it: _segments(it, tokenizer, end_id, limit), SEGMENT_SCHEMA).write.mode(
         "overwrite"
     ).option("compression", "none").option("parquet.block.size", str(16 << 20)).parquet(path)
     return spark.read.parquet(path)
