@@ -24,7 +24,28 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm import divergence
+
+    return divergence.quality(table(spark, sf_dir, "documents"))
+
+
+def op2_hierarchical_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm import langid
+
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
+def op10_ordinal_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm import ordinal
+
+    return ordinal.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_hierarchical_svm": op2_hierarchical_svm,
+    "op4_distribution_divergence": op4_distribution_divergence,
+    "op10_ordinal_regression": op10_ordinal_regression,
     "op7_simhash": op7_simhash,
     "op8_directly_addressable_codes": op8_directly_addressable_codes,
 }
