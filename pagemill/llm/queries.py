@@ -42,9 +42,16 @@ def op10_ordinal_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_weighted_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm import transducer
+
+    return transducer.encoded(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hierarchical_svm": op2_hierarchical_svm,
     "op4_distribution_divergence": op4_distribution_divergence,
+    "op9_weighted_transducer": op9_weighted_transducer,
     "op10_ordinal_regression": op10_ordinal_regression,
     "op7_simhash": op7_simhash,
     "op8_directly_addressable_codes": op8_directly_addressable_codes,
