@@ -43,7 +43,7 @@ from pagemill.llm.common import new_path
 
 MAGIC = b"DAC1"
 BLOCK = 512
-#: A segment is closed once it has so many ids; a slice of 16 MB of text may add to that.
+#: A segment is closed once it has so many ids; a slice of 4 MB of text may add to that.
 SEGMENT_IDS = 1 << 21
 WIDTHS = (1, 1, 2)
 SEGMENT_SCHEMA = (
@@ -137,7 +137,7 @@ class ChunkCoder:
     and changes no result.
     """
 
-    def __init__(self, path: str, chunks: int = 400_000, stems: int = 600_000):
+    def __init__(self, path: str, chunks: int = 200_000, stems: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -184,7 +184,9 @@ class ChunkCoder:
         which = coded.indices.to_numpy()
         long = size[which]
         ends = np.cumsum(long)
-        ids = flat[np.repeat(start[which] - (ends - long), long) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        at = np.repeat((start[which] - (ends - long)).astype(np.int32), long)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = flat[at]
         cuts = np.concatenate(([0], ends))[split.offsets.to_numpy() - split.offsets[0].as_py()]
         return ids, np.diff(cuts)
 
@@ -226,7 +228,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limit:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], names)
 
     for batch in batches:
-        for piece in _pieces(batch, 16 << 20):
+        for piece in _pieces(batch, 4 << 20):
             if not piece.num_rows:
                 continue
             got, size = code.encode(piece["text"])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.llm import topk
 from pagemill.llm.common import table
 
 TOKENIZERS = os.environ.get("PAGEMILL_TOKENIZERS", "/opt/tokenizers")
@@ -48,13 +49,20 @@ def op9_weighted_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.encoded(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op5_block_pruned_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, 20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hierarchical_svm": op2_hierarchical_svm,
     "op4_distribution_divergence": op4_distribution_divergence,
     "op9_weighted_transducer": op9_weighted_transducer,
     "op10_ordinal_regression": op10_ordinal_regression,
+    "op5_block_pruned_top_k": op5_block_pruned_top_k,
     "op7_simhash": op7_simhash,
     "op8_directly_addressable_codes": op8_directly_addressable_codes,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_block_pruned_top_k": topk.ORACLE,
+}
