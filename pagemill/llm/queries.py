@@ -53,12 +53,19 @@ def op5_block_pruned_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, 20)
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm import suffix
+
+    return suffix.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hierarchical_svm": op2_hierarchical_svm,
     "op4_distribution_divergence": op4_distribution_divergence,
     "op9_weighted_transducer": op9_weighted_transducer,
     "op10_ordinal_regression": op10_ordinal_regression,
     "op5_block_pruned_top_k": op5_block_pruned_top_k,
+    "op6_suffix_tree": op6_suffix_tree,
     "op7_simhash": op7_simhash,
     "op8_directly_addressable_codes": op8_directly_addressable_codes,
 }
