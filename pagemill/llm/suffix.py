@@ -9,9 +9,10 @@ are contexts of up to ``depth`` preceding bytes:
 2. A context is a candidate if its share of all positions is at least ``P_MIN``;
    at most depth / P_MIN contexts can be, so that what the driver gets is bounded.
 3. A candidate is retained if its next-symbol distribution diverges from that of
-   its suffix, one byte shorter, by at least ``BITS`` bits (Kullback-Leibler), or
+   its suffix, one byte shorter, by at least ``BITS`` bits (Kullback-Leibler) and,
+   over all its occurrences, ``GAIN`` bits for each symbol seen to follow, or
    if a longer retained context ends in it.
-4. The distribution of a state is smoothed: its counts plus ``PRIOR`` times the
+4. The distribution of a state is smoothed: its counts plus ``PRIOR`` for each symbol seen times the
    smoothed distribution of its suffix; the root's by one more of each symbol.
 5. A byte is scored in the state of the longest suffix before it.
 
@@ -43,7 +44,8 @@ END = 10
 DEPTH = 6
 P_MIN = 4e-6
 BITS = 0.02
-PRIOR = 3.0
+GAIN = 2.0
+PRIOR = 2.0
 CHUNK = 12 << 20
 HELD_WINDOWS = 4_000_000
 
@@ -140,7 +142,7 @@ def candidates(counted: DataFrame, depth: int, p_min: float) -> pa.Table:
     return rows.join(often, ["d", "ctx"]).toArrow()
 
 
-def build(table: pa.Table, depth: int, bits: float = BITS, prior: float = PRIOR) -> Tree:
+def build(table: pa.Table, depth: int, bits: float = BITS, gain: float = GAIN, prior: float = PRIOR) -> Tree:
     """Divergence tests and smoothing, from the shortest contexts to the longest."""
     d, ctx, nxt, n = (table[c].to_numpy().astype(np.int64) for c in ("d", "ctx", "next", "n"))
     used = np.unique(np.concatenate((nxt, [END])))
@@ -169,13 +171,14 @@ def build(table: pa.Table, depth: int, bits: float = BITS, prior: float = PRIOR)
             rows = own[a:b]
             counts = np.zeros(wide)
             counts[classes[nxt[rows]]] = n[rows]
-            p = ((counts + prior * dist[up]) / (counts.sum() + prior)).astype(np.float32)
-            seen = p > 0
-            apart = float((p[seen] * np.log2(p[seen] / np.maximum(dist[up][seen], 1e-300))).sum())
+            weight = prior * len(rows)  # Witten-Bell: the more symbols follow, the less a context's own counts say
+            p = ((counts + weight * dist[up]) / (counts.sum() + weight)).astype(np.float32)
+            own_p = counts[counts > 0] / counts.sum()
+            apart = float((own_p * np.log2(own_p / dist[up][counts > 0])).sum())
             k = names[level][key] = len(dist)
             dist.append(p)
             parents.append(up)
-            needed.append(apart >= bits)
+            needed.append(apart >= bits and apart * counts.sum() >= gain * len(rows))
             if needed[k]:
                 while up >= 0 and not needed[up]:  # the suffixes of a retained context are states too
                     needed[up] = True
