@@ -59,8 +59,15 @@ def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.score(table(spark, sf_dir, "documents"))
 
 
+def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm import pii
+
+    return pii.pseudonymised(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hierarchical_svm": op2_hierarchical_svm,
+    "op3_feistel_pseudonyms": op3_feistel_pseudonyms,
     "op4_distribution_divergence": op4_distribution_divergence,
     "op9_weighted_transducer": op9_weighted_transducer,
     "op10_ordinal_regression": op10_ordinal_regression,
