@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import topk
+from pagemill.llm import mixing, topk
 from pagemill.llm.common import table
 
 TOKENIZERS = os.environ.get("PAGEMILL_TOKENIZERS", "/opt/tokenizers")
@@ -65,7 +65,12 @@ def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents"))
 
 
+def op1_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_raked_mixture": op1_raked_mixture,
     "op2_hierarchical_svm": op2_hierarchical_svm,
     "op3_feistel_pseudonyms": op3_feistel_pseudonyms,
     "op4_distribution_divergence": op4_distribution_divergence,
@@ -78,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_raked_mixture": mixing.ORACLE,
     "op5_block_pruned_top_k": topk.ORACLE,
 }
