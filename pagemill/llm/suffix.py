@@ -41,30 +41,27 @@ from pagemill.llm.tokens import byte_table, mapped, raw_bytes, slices, words
 
 #: No word holds a line end, so that it can stand for the end and for what precedes a text.
 END = 10
-DEPTH = 6
-P_MIN = 4e-6
+DEPTH = 5
+P_MIN = 2e-6
 BITS = 0.02
 GAIN = 2.0
 PRIOR = 2.0
-CHUNK = 12 << 20
-HELD_WINDOWS = 4_000_000
+CHUNK = 8 << 20
+HELD_WINDOWS = 1_500_000
 
 
 def stream(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, ``depth`` ends before each and after the last; and the place of each text's end."""
-    lowered = mapped(texts, byte_table(lower=True))
+    trimmed = pc.ascii_trim(mapped(texts, byte_table(lower=True)), characters=" ")
     ends = pa.scalar("\n" * depth, pa.large_string())
-    raw, offsets = raw_bytes(pc.binary_join_element_wise(lowered, ends, pa.scalar("", pa.large_string())))
-    # A blank stays if a word follows it, and one went before it.
-    after = np.append(raw[1:], END)
-    keep = (raw != 32) | ((after != 32) & (after != END))
-    kept = np.concatenate(([0], np.cumsum(keep)))
-    raw, offsets = raw[keep], kept[offsets]
-    before = np.concatenate(([END], raw[:-1]))
-    keep = (raw != 32) | (before != END)
-    kept = np.concatenate(([0], np.cumsum(keep)))
-    out = np.concatenate((np.full(depth, END, dtype=np.uint8), raw[keep]))
-    return out, kept[offsets[1:]]  # depth ends before, and as many after each text
+    raw, offsets = raw_bytes(pc.binary_join_element_wise(trimmed, ends, pa.scalar("", pa.large_string())))
+    blank = raw == 32
+    double = blank[1:] & blank[:-1]
+    if double.any():  # of a run of blanks the last stays
+        gone = np.flatnonzero(double)
+        raw = np.delete(raw, gone)
+        offsets = offsets - np.searchsorted(gone, offsets)
+    return np.concatenate((np.full(depth, END, dtype=np.uint8), raw)), offsets[1:]  # depth ends before, as many after each text
 
 
 def scored(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -98,7 +95,7 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
 
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for a, b in slices(size + 8, 8 << 20):
+        for a, b in slices(size + 8, 4 << 20):
             key, n = np.unique(windows(*stream(batch["text"].slice(a, b - a), depth), depth), return_counts=True)
             keys.append(key)
             counts.append(n)
@@ -204,21 +201,21 @@ def fit(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN) -> Tree:
 def log10_probability(tree: Tree, texts: pa.Array) -> np.ndarray:
     """Of each whole text, its end included."""
     data, at = stream(texts, tree.depth)
-    place = scored(data, at, tree.depth)
+    first = tree.depth  # every place has so many bytes before it
     column = tree.classes[data].astype(np.int32)
-    wide = tree.child.shape[1]
-    child, logp = tree.child.ravel(), tree.logp.ravel()
-    state = np.zeros(len(place), dtype=np.int32)
-    alive = np.arange(len(place))
+    wide = np.int32(tree.child.shape[1])
+    child = tree.child.ravel()
+    state = np.zeros(len(data) - first, dtype=np.int32)
+    alive = np.ones(len(state), dtype=bool)
     for k in range(1, tree.depth + 1):
-        found = child[state[alive] * wide + column[place[alive] - k]]
-        on = found >= 0
-        alive = alive[on]
-        state[alive] = found[on]
-    value = logp[state * wide + column[place]].astype(np.float64)
-    ends = np.searchsorted(place, at)
-    sums = np.concatenate(([0.0], np.cumsum(value)))[np.concatenate(([0], ends + 1))]
-    return np.diff(sums)
+        found = child[state * wide + column[first - k : len(data) - k]]
+        alive &= found >= 0
+        np.copyto(state, found, where=alive)
+    value = tree.logp.ravel()[state * wide + column[first:]].astype(np.float64)
+    # The ends that only fill up, behind each text's own, count nothing.
+    sums = np.concatenate(([0.0], np.cumsum(value)))
+    starts = np.concatenate(([first], at[:-1] + tree.depth))
+    return sums[at + 1 - first] - sums[starts - first]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.RecordBatch]:
@@ -234,7 +231,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.Record
         texts = table["text"].chunk(0)
         codes, distinct, starts = words(texts, byte_table(lower=True))
         size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        score = [log10_probability(tree, texts.slice(a, b - a)) for a, b in slices(size + 8, 4 << 20)]
+        score = [log10_probability(tree, texts.slice(a, b - a)) for a, b in slices(size + 8, 2 << 20)]
         owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(starts))
         pair, times = np.unique(owner * max(1, len(distinct)) + codes, return_counts=True)
         doc, code = pair // max(1, len(distinct)), pair % max(1, len(distinct))
