@@ -43,7 +43,7 @@ from pagemill.llm.common import new_path
 
 MAGIC = b"DAC1"
 BLOCK = 512
-#: A segment is closed once it has so many ids; a slice of 4 MB of text may add to that.
+#: A segment is closed once it has so many ids; a slice of 8 MB of text may add to that.
 SEGMENT_IDS = 1 << 21
 WIDTHS = (1, 1, 2)
 SEGMENT_SCHEMA = (
@@ -142,9 +142,29 @@ class ChunkCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most_chunks, self.most_stems = chunks, stems
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.chunks: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
+    def learn_words(self, words: list[str]) -> list[str]:
+        """Words of letters, many in one text: each has exactly one piece that ends a word.
+
+        Returns those of texts where the count of such pieces differs from that of words.
+        """
+        groups = [words[at : at + 500] for at in range(0, len(words), 500)]
+        odd: list[str] = []
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(got.ids, dtype=np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(group) or cuts[-1] != len(ids):
+                odd += group
+                continue
+            blob, cuts = ids.tobytes(), (4 * cuts).tolist()
+            self.stems.update(zip(group, [blob[a:b] for a, b in zip([0, *cuts], cuts)]))
+        return odd
+
     def learn(self, chunks: list[str]) -> dict[str, bytes]:
         match = STEM.fullmatch
         parts = [m.groups() if (m := match(x)) else (x,) for x in chunks]
@@ -153,9 +173,13 @@ class ChunkCoder:
             self.stems = {}
         else:
             need.difference_update(self.stems)
-        new, stems = list(need), self.stems
-        for at in range(0, len(new), 5_000):
-            some = new[at : at + 5_000]
+        stems = self.stems
+        words = [x for x in need if x.isalpha()]
+        rest = [x for x in need if not x.isalpha()]
+        for at in range(0, len(words), 20_000):
+            rest += self.learn_words(words[at : at + 20_000])
+        for at in range(0, len(rest), 5_000):
+            some = rest[at : at + 5_000]
             for stem, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 stems[stem] = array("I", got.ids).tobytes()
         return {c: stems[p[0]] if len(p) == 1 else stems[p[0]] + stems[p[1]] for c, p in zip(chunks, parts)}
@@ -228,7 +252,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limit:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], names)
 
     for batch in batches:
-        for piece in _pieces(batch, 4 << 20):
+        for piece in _pieces(batch, 8 << 20):
             if not piece.num_rows:
                 continue
             got, size = code.encode(piece["text"])
