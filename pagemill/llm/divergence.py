@@ -134,7 +134,7 @@ FEATURES = (
 
 def _measured(text: pd.Series, lang: pd.Series) -> pd.DataFrame:
     size = np.fromiter((len(t) if isinstance(t, str) else 0 for t in text), np.int64, len(text))
-    some = [measure(text.iloc[a:b].tolist(), lang.iloc[a:b].tolist()) for a, b in slices(size + 1, 8 << 20)]
+    some = [measure(text.iloc[a:b].tolist(), lang.iloc[a:b].tolist()) for a, b in slices(size + 1, 2 << 20)]
     return pd.concat(some, ignore_index=True) if some else measure([], [])
 
 
@@ -208,7 +208,6 @@ def quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The rows of ``docs`` that are kept. Counts are taken twice, so that no text is shuffled."""
-    features = with_features(docs)
-    found = references(features)
-    return judged(features, found, limits).filter("kept").select(*docs.columns)
+    """The rows of ``docs`` that are kept. They are written once with their counts, so that no text is shuffled or counted twice."""
+    features = written(with_features(docs), "quality-stage")
+    return judged(features, references(features), limits).filter("kept").select(*docs.columns)

@@ -38,7 +38,7 @@ from pagemill.llm.tokens import slices
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-MOST_UNITS, MOST_ARCS = 600_000, 600_000
+MOST_UNITS, MOST_ARCS = 400_000, 400_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -300,7 +300,7 @@ def encoded(docs: DataFrame, model: str, decode: bool = True) -> DataFrame:
         for batch in batches:
             texts = pc.fill_null(batch["text"], "")
             size = pc.binary_length(texts).to_numpy().astype(np.int64)
-            for a, b in slices(size + 1, 4 << 20):
+            for a, b in slices(size + 1, 2 << 20):
                 blobs = [machine.encode(t) for t in texts.slice(a, b - a).to_pylist()]
                 flat = np.frombuffer(b"".join(blobs), dtype="<i4")
                 long = np.fromiter((len(x) // 4 for x in blobs), np.int32, len(blobs))
