@@ -14,7 +14,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space and the five ASCII controls 09 to 0D.
@@ -54,5 +54,16 @@ def doc_fold(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(parts)
 
 
-def broadcast_value(spark: SparkSession, value):
-    return spark.sparkContext.broadcast(value)
+def least_hashed(rows: DataFrame, group: str, key: str, most: int, groups: int = 2000) -> DataFrame:
+    """At most ``most`` rows of each group, those with the least hash of ``key``; ties by ``key``.
+
+    Counts come first: they give a bound on the hash under which about four times as
+    many rows lie, so that a hot group sends no more than that to the task that ranks
+    it. Of more than ``groups`` groups the largest take part, which bounds the broadcast.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("__n")).orderBy(F.col("__n").desc(), group).limit(groups)
+    hashed = F.xxhash64(F.col(key))
+    share = (hashed.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    near = rows.join(F.broadcast(sizes), group).filter(share * F.col("__n") <= 4.0 * most + 64)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(hashed, key))
+    return near.withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("__n")

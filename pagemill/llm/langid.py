@@ -21,10 +21,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import doc_fold, written
+from pagemill.llm.common import doc_fold, least_hashed, written
 from pagemill.llm.tokens import byte_table, mapped, raw_bytes, slices
 
 FAMILIES = {
@@ -190,9 +190,7 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
     """(text, lang) of at most ``per_lang`` rows of each language and MOST_ROWS in all."""
     known = docs.filter("lang is not null and text is not null")
-    n = F.xxhash64(F.col("doc_id"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(n, "doc_id"))
-    ids = known.select("doc_id", "lang").withColumn("__rank", rank).filter(F.col("__rank") <= per_lang)
+    ids = least_hashed(known.select("doc_id", "lang"), "lang", "doc_id", per_lang)
     # Ids are chosen before any text moves; MOST_ROWS bounds what reaches the driver.
     ids = written(ids.orderBy("__rank", "lang").limit(MOST_ROWS).select("doc_id").distinct(), "langid-sample")
     return [(r.text, r.lang) for r in known.join(F.broadcast(ids), "doc_id").select("text", "lang").limit(2 * MOST_ROWS).toLocalIterator()]

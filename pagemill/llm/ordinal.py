@@ -20,10 +20,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import doc_fold, written
+from pagemill.llm.common import doc_fold, least_hashed, written
 from pagemill.llm.tokens import mapped, raw_bytes, slices, words
 
 WORD_BITS = 18
@@ -148,8 +148,7 @@ def labelled(docs: DataFrame, labels: DataFrame, grade: Column, per_grade: int =
     """Features and grade of the sample. Ids are chosen before any text moves."""
     graded = labels.select("doc_id", grade.cast("int").alias("grade")).filter("grade is not null and doc_id is not null")
     graded = graded.groupBy("doc_id").agg(F.min("grade").alias("grade")).join(docs.select("doc_id"), "doc_id", "left_semi")
-    rank = F.row_number().over(Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = written(graded.withColumn("__rank", rank).filter(F.col("__rank") <= per_grade).select("doc_id", "grade"), "ordinal-sample")
+    chosen = written(least_hashed(graded, "grade", "doc_id", per_grade).select("doc_id", "grade"), "ordinal-sample")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "grade")
     made = rows.mapInArrow(_features, "bucket array<long>, shape array<long>, value array<double>, grade int")
     out = [(np.array(r.bucket), np.array(r.shape, dtype=np.int64), np.array(r.value), r.grade) for r in made.toLocalIterator()]
