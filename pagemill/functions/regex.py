@@ -26,6 +26,14 @@ def groups(pattern: str) -> int | None:
         return None
 
 
+def _java_class(text: str) -> str:
+    """A bracketed class in which Java's own operators, [ and &&, are plain characters."""
+    inner = text[1:-1]
+    head, inner = ("[^", inner[1:]) if inner.startswith("^") else ("[", inner)
+    one = lambda m: {"\\b": r"\x08", "[": r"\[", "]": r"\]", "&": r"\&"}.get(m[0], m[0])
+    return head + re.sub(r"\\.|.", one, inner, flags=re.DOTALL) + "]"
+
+
 def java_pattern(pattern: str, flags: str = "") -> str:
     """``pattern`` for Spark. flags: of i (ASCII case) and s (dot takes line ends)."""
     name = lambda x: "g" + x.replace("_", "X")
@@ -35,6 +43,8 @@ def java_pattern(pattern: str, flags: str = "") -> str:
             return f"(?<{name(m[1])}>"
         if m[2]:
             return f"\\k<{name(m[2])}>"
+        if m[0][0] == "[" and len(m[0]) > 1:
+            return _java_class(m[0])
         return {"\\b": WORD_EDGE, "\\B": NO_EDGE, "\\Z": "\\z"}.get(m[0], m[0])
 
     return f"(?d{flags})" + _TOKEN.sub(one, pattern)
