@@ -11,8 +11,10 @@ Rules that every operator follows unless its docstring says otherwise:
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,3 +69,22 @@ def least_hashed(rows: DataFrame, group: str, key: str, most: int, groups: int =
     near = rows.join(F.broadcast(sizes), group).filter(share * F.col("__n") <= 4.0 * most + 64)
     rank = F.row_number().over(Window.partitionBy(group).orderBy(hashed, key))
     return near.withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("__n")
+
+
+#: The columns that stages read; any other is carried through.
+BASE = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def carried(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage (docs -> some rows of docs) safe from further columns whose names clash with its own."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **named) -> DataFrame:
+        extra = [c for c in docs.columns if c not in BASE]
+        if not extra:
+            return stage(docs, *args, **named)
+        packed = F.struct(*(F.col(f"`{c}`") for c in extra)).alias("__extra")
+        out = stage(docs.select(*(c for c in docs.columns if c in BASE), packed), *args, **named)
+        return out.select(*(F.col("__extra").getField(c).alias(c) if c in extra else F.col(c) for c in docs.columns))
+
+    return run

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import written
+from pagemill.llm.common import carried, written
 from pagemill.llm.tokens import byte_table, slices, words
 
 COMMON = {
@@ -207,6 +207,7 @@ def quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
 
 
+@carried
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of ``docs`` that are kept. They are written once with their counts, so that no text is shuffled or counted twice."""
     features = written(with_features(docs), "quality-stage")

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import WORD, written
+from pagemill.llm.common import WORD, carried, written
 
 MARGINS = ("source", "lang", "topic")
 MOST = {"source": 1000, "lang": 100}
@@ -159,6 +159,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     )
 
 
+@carried
 def sampled(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The rows of ``docs`` that are sampled. Cells are computed twice, so that no text is shuffled."""
     celled = with_cell(docs)

@@ -34,6 +34,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import carried
+
 ROUNDS = 10
 CONF = "spark.pagemill.pii.key"
 DEFAULT_KEY = "change-me"
@@ -313,6 +315,7 @@ def pseudonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
     return out.select("doc_id", F.col("__pii.text").alias("text"), F.col("__pii.n").cast("long").alias("n_replaced"))
 
 
+@carried
 def in_place(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in its text; n_chars, where there is one, follows a text that changed."""
     out = with_pseudonyms(docs, key_of(docs) if key is None else key)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import written
+from pagemill.llm.common import carried, written
 
 SEED = 42
 HOT = 4096
@@ -313,6 +313,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2) -> DataFrame:
     )
 
 
+@carried
 def keep_one(docs: DataFrame, max_bits: int = 2) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the least of its component, once each.
 
