@@ -37,17 +37,33 @@ def _java_class(text: str) -> str:
 def java_pattern(pattern: str, flags: str = "") -> str:
     """``pattern`` for Spark. flags: of i (ASCII case) and s (dot takes line ends)."""
     name = lambda x: "g" + x.replace("_", "X")
-
-    def one(m: re.Match) -> str:
-        if m[1]:
-            return f"(?<{name(m[1])}>"
-        if m[2]:
-            return f"\\k<{name(m[2])}>"
-        if m[0][0] == "[" and len(m[0]) > 1:
-            return _java_class(m[0])
-        return {"\\b": WORD_EDGE, "\\B": NO_EDGE, "\\Z": "\\z"}.get(m[0], m[0])
-
-    return f"(?d{flags})" + _TOKEN.sub(one, pattern)
+    tokens = [m for m in _TOKEN.finditer(pattern)]
+    plain = not re.search(r"\\[xuU0-9]", pattern)  # else a digit may be part of an escape
+
+    def word(i: int) -> bool:
+        """Whether token i is one character of a word, whatever it is repeated by ahead."""
+        return plain and 0 <= i < len(tokens) and re.fullmatch(r"[A-Za-z0-9_]|\\[wd]", tokens[i][0]) is not None
+
+    out, i = [], 0
+    while i < len(tokens):
+        m = tokens[i]
+        once = i + 2 >= len(tokens) or tokens[i + 2][0] not in "?*+{"
+        if m[0] == "\\b" and word(i + 1) and once:
+            # The character first and what is before it then: most places fail at the first test.
+            out.append(tokens[i + 1][0] + "(?<![A-Za-z0-9_].)")
+            i += 1
+        elif m[0] == "\\b" and (word(i - 1) or (i > 1 and tokens[i - 1][0] == "+" and word(i - 2))):
+            out.append("(?![A-Za-z0-9_])")
+        elif m[1]:
+            out.append(f"(?<{name(m[1])}>")
+        elif m[2]:
+            out.append(f"\\k<{name(m[2])}>")
+        elif m[0][0] == "[" and len(m[0]) > 1:
+            out.append(_java_class(m[0]))
+        else:
+            out.append({"\\b": WORD_EDGE, "\\B": NO_EDGE, "\\Z": "\\z"}.get(m[0], m[0]))
+        i += 1
+    return f"(?d{flags})" + "".join(out)
 
 
 def match_count(text: Column, pattern: str) -> Column:

@@ -58,8 +58,10 @@ def learn(training: DataFrame, columns: list[str], label: str = "label", min_lea
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
-    rows = training.filter(F.col(label).isNotNull()).withColumn("__label", F.col(label).cast("int").cast("string"))
+    rows = training.filter(F.col(label).isNotNull()).select(F.col(label).cast("int").cast("string").alias("__label"), *columns)
+    rows = rows.persist()  # several passes: features are computed once
     if rows.isEmpty():
+        rows.unpersist()
         return None
     stages = [
         StringIndexer(inputCol="__label", outputCol="__index", stringOrderType="alphabetAsc", handleInvalid="keep"),
@@ -68,7 +70,9 @@ def learn(training: DataFrame, columns: list[str], label: str = "label", min_lea
             labelCol="__index", featuresCol="__features", impurity=impurity, maxDepth=depth, minInstancesPerNode=min_leaf, minWeightFractionPerNode=0.0, seed=seed
         ),
     ]
-    return Judge(Pipeline(stages=stages).fit(rows), columns)
+    model = Pipeline(stages=stages).fit(rows)
+    rows.unpersist()
+    return Judge(model, columns)
 
 
 def judged(df: DataFrame, judge: Judge | None) -> DataFrame:

@@ -714,6 +714,62 @@ def engine_session(spark, sf_dir):
     return own.results()
 
 
+@query("SELECT page_id AS id, CASE WHEN page_id % 3 = 0 THEN 'new title' ELSE url END AS title, CAST(CASE WHEN page_id % 3 = 0 THEN -1 ELSE 0 END AS INTEGER) AS is_target FROM pages")
+def update_urls(spark, sf_dir):
+    table = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("title"), F.lit(0).alias("is_target"))
+    return store.updated(table, F.col("id") % 3 == 0, title=F.lit("new title"), is_target=F.lit(-1))
+
+
+@query(f"WITH {TREE_SQL}, l AS (SELECT j.*, f.f_1, f.f_2 FROM j JOIN f USING (doc_id)) SELECT doc_id, quality AS label, CAST(decision AS INTEGER) AS judge, CAST(confidence AS DOUBLE) AS prob, f_1, CAST(f_10 AS BIGINT) AS f_10, CAST(f_2 AS BIGINT) AS f_2 FROM l JOIN labels USING (doc_id)")
+def score_table(spark, sf_dir):
+    """Labelled documents with the tree's decision, its confidence and the features."""
+    return scored(spark, sf_dir).select("doc_id", "label", F.col("decision").alias("judge"), F.col("confidence").alias("prob"), *(features.column_name(f) for f in features.ordered(SPACE)))
+
+
+@query("SELECT n_name AS name, CAST(n_nationkey AS VARCHAR) AS label FROM nation")
+def sql_export(spark, sf_dir):
+    """Any SQL to CSV, read back."""
+    read(spark, sf_dir, "nation").createOrReplaceTempView("pagemill_nation")
+    path = tempfile.mkdtemp(prefix="pagemill-export-")
+    tables.exported(spark, "SELECT n_name AS name, n_nationkey AS label FROM pagemill_nation", path)
+    return tables.labelled_csv(spark, path, "name string, label string")
+
+
+@query(f"WITH {HREFS_SQL} SELECT page_id, regexp_extract(p.url, '^[a-z]+://[^/?#]*', 0) || h.href AS link FROM hrefs h JOIN pages p USING (page_id)")
+def absolute_links(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    both = admission.links(pages).join(pages.select("page_id", "url"), "page_id")
+    return both.select("page_id", S.absolute(F.col("url"), F.col("href")).alias("link"))
+
+
+@query("SELECT * FROM (VALUES (1, 'Title', 1, 'html', ''), (1, 'Title', 2, 'title', ''), (2, 'Place', 1, 'url', ''), (2, 'Place', 2, 'url', ''), (2, 'Place', 3, 'url', '')) t(attribute, name, rule, on_part, description)")
+def rule_catalogue(spark, sf_dir):
+    return extract.rule_catalogue(spark, ENTITY)
+
+
+@query("SELECT * FROM (VALUES (1, 'Title', 'title', 24, 'title.xml', ''), (2, 'Place', 'place', 12, 'place.xml', '')) t(attribute, name, db_col, max_len, file, description)")
+def attribute_catalogue(spark, sf_dir):
+    return extract.attribute_catalogue(spark, ENTITY)
+
+
+@query("SELECT * FROM (VALUES (1, 'removeHTML', 'tags go'), (2, 'strip', 'white space at both ends goes'), (3, 'parseDate', 'a date as yyyy-MM-dd'), (4, 'parseTime', 'a time as HH:mm:ss')) t(action, name, description)")
+def action_catalogue(spark, sf_dir):
+    return extract.action_catalogue(spark)
+
+
+@query(None)
+def queue_refresh(spark, sf_dir):
+    """Queued documents judged anew by the tree learned from labels, with their routes."""
+    columns = [features.column_name(f) for f in features.ordered(SPACE)]
+    made = featured(spark, sf_dir)
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    tree = judge.learn(evaluate.feature_table(made, labels, columns, "doc_id"), columns)
+    queue = fixed_tree(made).filter(judge.route(F.col("decision"), F.col("confidence")) == "review").select(
+        F.col("doc_id").alias("id"), "decision", "confidence", F.create_map(*(x for f in SPACE for x in (F.lit(f.id), F.col(features.column_name(f))))).alias("feature")
+    )
+    return judge.refreshed(queue, tree, columns).select("id", "decision", "confidence", "route")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages -> title -> features -> decision -> targets, all in SQL functions."""
     space = [Feature("10", "the", (FeatureRule("list", COMMON),)), Feature("2", "tion", (FeatureRule("reg", ("tion",)),))]

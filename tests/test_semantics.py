@@ -23,7 +23,7 @@ def value(spark, column, **given_):
 TEXTS = ["Drévillo et al", "a\rb <a\rb> <c\nd>", "et_ et éet et", "ſeminar seminar", "", "x y", "Ab aB\nab$", "line\r"]
 
 
-@pytest.mark.parametrize("pattern", [r"\bet\b", r"\w+", r"a.b", r"^a", "seminar", r"(?:b)$", r"[\b]", r"\\b", r"\Bet", r"[]a[&&b]", r"[^]\]b]+"])
+@pytest.mark.parametrize("pattern", [r"\bet\b", r"\w+", r"a.b", r"^a", "seminar", r"(?:b)$", r"[\b]", r"\\b", r"\Bet", r"[]a[&&b]", r"[^]\]b]+", r"\be?t", r"\be+t", r"\w+\b", r"a?\b", r"\x62\b", r"(?:a|e)\bt?", r"\ba|\bb", r"\b\w\b"])
 def test_regex_counts_like_ascii_python(spark, pattern):
     df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
     ours = [r.n for r in df.select(X.match_count(F.col("t"), pattern).alias("n")).collect()]
@@ -260,3 +260,31 @@ def test_store_versions(spark, tmp_path):
     assert s.read("url_lib").filter("title = 't'").count() == 1 and s.read("url_lib").count() == 3
     with pytest.raises(FileNotFoundError):
         s.read("nothing")
+
+
+def test_raw_page_files(spark, tmp_path):
+    from pagemill.sources import tables
+
+    for name, body in {"7": "<p>é</p>", "8.html": "<p>8</p>", "notes.txt": "x"}.items():
+        (tmp_path / name).write_text(body)
+    assert {r.page_id: r.html for r in tables.raw_pages(spark, str(tmp_path)).collect()} == {7: "<p>é</p>", 8: "<p>8</p>"}
+
+
+def test_csv_quotes(spark, tmp_path):
+    from pagemill.sources import tables
+
+    rows = spark.createDataFrame([(1, 'a,"b"', 2), (2, None, None)], tables.LABELS)
+    tables.write_csv(rows, str(tmp_path / "c"))
+    assert {tuple(r) for r in tables.labelled_csv(spark, str(tmp_path / "c")).collect()} >= {(1, 'a,"b"', 2)}
+
+
+def test_rule_from_form():
+    form = {"on": "content", "sel": "h1", "target": "html", "match": "", "after": "", "before": "x", "actions": ["1", "2"]}
+    assert specs.rule_from_form(form) == Rule("content", (1, 2), "h1", "html", None, "", "x", "")
+
+
+def test_frontier_depth_and_known(spark):
+    lib = spark.createDataFrame([("http://ox.ac.uk/a",)], "url string")
+    found = spark.createDataFrame([("http://ox.ac.uk/a",), ("http://ox.ac.uk/b",), ("http://ox.ac.uk/b",), ("http://else.org/",)], "url string")
+    assert [r.url for r in admission.frontier(found, lib).collect()] == ["http://ox.ac.uk/b"]
+    assert admission.frontier(found, lib, depth=4).count() == 0
