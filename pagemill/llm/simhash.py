@@ -22,9 +22,12 @@ Search, on the distinct fingerprints only, so that exact copies never meet:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +37,11 @@ SEED = 42
 HOT = 4096
 SAMPLE = 2048
 BITS = 64
+MOST_FLIPS = 3
+#: Near copies of the stage: bits in which the fingerprints over two and over five words may differ.
+WIDE, WIDE_CHECK = 8, 14
+#: What one filed row costs, in pairs compared.
+ROW_COST = 150.0
 
 
 def fingerprints(texts: list[str | None], width: int = 3) -> np.ndarray:
@@ -80,18 +88,18 @@ def fingerprints(texts: list[str | None], width: int = 3) -> np.ndarray:
     return out
 
 
-def with_fingerprint(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp (signed long) of every row; a null text has no words."""
+def with_fingerprint(docs: DataFrame, width: int = 3, check: int | None = None) -> DataFrame:
+    """doc_id, fp (signed long) of every row, and check over another width; a null text has no words."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({
-                "doc_id": frame["doc_id"].astype("Int64"),
-                "fp": fingerprints(frame["text"].tolist(), width).view(np.int64),
-            })
+            made = {"doc_id": frame["doc_id"].astype("Int64"), "fp": fingerprints(frame["text"].tolist(), width).view(np.int64)}
+            if check is not None:
+                made["check"] = fingerprints(frame["text"].tolist(), check).view(np.int64)
+            yield pd.DataFrame(made)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, fp long")
+    return rows.mapInPandas(run, "doc_id long, fp long" + ", check long" * (check is not None))
 
 
 def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
@@ -114,13 +122,10 @@ def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
 
 def flips(bits: list[int], most: int) -> list[int]:
     """Masks of 1 to ``most`` of the bits."""
-    masks = [1 << b for b in bits] if most >= 1 else []
-    if most >= 2:
-        masks += [(1 << a) | (1 << b) for i, a in enumerate(bits) for b in bits[i + 1 :]]
-    return masks
+    return [sum(1 << b for b in some) for k in range(1, most + 1) for some in combinations(bits, k)]
 
 
-def plan(sample: np.ndarray, n: int, max_bits: int) -> list[tuple[list[int], int]]:
+def plan(sample: np.ndarray, n: int, max_bits: int, row_cost: float = 8.0) -> list[tuple[list[int], int]]:
     """Partitions with their thresholds, at the least estimated probes and candidates."""
     best, best_cost = [], float("inf")
     for m in range(1, max_bits + 2):
@@ -130,11 +135,11 @@ def plan(sample: np.ndarray, n: int, max_bits: int) -> list[tuple[list[int], int
             mask = np.uint64(sum(1 << b for b in bits))
             apart = np.bitwise_count((sample[:, None] ^ sample[None, :]) & mask)
             row = {-1: 0.0}
-            for t in range(max_bits + 1):
-                keys = 1 + len(flips(bits, t))
+            for t in range(min(max_bits, MOST_FLIPS) + 1):
+                keys = sum(comb(len(bits), k) for k in range(t + 1))
                 seen = (int((apart <= t).sum()) - len(sample)) / max(1, len(sample) * (len(sample) - 1))
                 pairs = 0.5 * float(n) * n * max(seen, keys / 2.0 ** len(bits))
-                row[t] = 8.0 * n * keys + pairs
+                row[t] = row_cost * n * keys + pairs
             costs.append(row)
         # table: sum of thresholds so far -> (cost, thresholds)
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -259,6 +264,87 @@ def near(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     return links
 
 
+def _stars(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray, check: np.ndarray, role: np.ndarray, most: int, most_check: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the linked sets of each bucket. Rows are sorted by bucket and role; the filed (role 0) come first.
+
+    Every filed row is compared with all rows of its bucket that are not linked to it yet.
+    """
+    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    size = np.diff(np.append(starts, len(bucket)))
+    filed = np.add.reduceat((role == 0).astype(np.int64), starts)
+    own = np.repeat(np.arange(len(starts)), size)
+    rows = np.flatnonzero((filed[own] > 0) & (size[own] > 1))
+    label = np.arange(len(bucket))
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+    turn = 0
+    while len(rows := rows[filed[own[rows]] > turn]):
+        at = starts[own[rows]] + turn
+        apart = label[rows] != label[at]
+        i, j = at[apart], rows[apart]
+        hit = (np.bitwise_count(fp[i] ^ fp[j]) <= most) & (np.bitwise_count(check[i] ^ check[j]) <= most_check)
+        i, j = i[hit], j[hit]
+        turn += 1
+        if not len(i):
+            continue
+        left.append(ids[i])
+        right.append(ids[j])
+        while True:
+            a, b = label[i], label[j]
+            if (a == b).all():
+                break
+            low = np.minimum(a, b)
+            np.minimum.at(label, a, low)
+            np.minimum.at(label, b, low)
+            while (label[label] != label).any():
+                label = label[label]
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def near_copies(nodes: DataFrame, max_bits: int = WIDE, max_check: int = WIDE_CHECK) -> DataFrame:
+    """Links a, b that join all nodes (id, fp, check) whose fp differ in ``max_bits`` and check in ``max_check`` bits at most."""
+    n = nodes.count()
+    rows = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    if n < 2:
+        return nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    entries = []
+    for number, (bits, threshold) in enumerate(plan(np.array([r.fp for r in rows], dtype=np.int64).view(np.uint64), n, max_bits, ROW_COST)):
+        if threshold >= 0:
+            mask = _signed(sum(1 << b for b in bits))
+            entries += [(number, mask, _signed(x), int(x != 0)) for x in (0, *flips(bits, threshold))]
+    lit = lambda e: F.struct(F.lit(e[0]).alias("part"), F.lit(e[1]).cast("long").alias("mask"), F.lit(e[2]).cast("long").alias("flip"), F.lit(e[3]).alias("role"))
+    filed = nodes.select("id", "fp", "check", F.explode(F.array(*map(lit, entries))).alias("k"))
+    key = F.col("fp").bitwiseAND(F.col("k.mask")).bitwiseXOR(F.col("k.flip"))
+    filed = filed.select(F.xxhash64("k.part", key).alias("bucket"), "id", "fp", "check", F.col("k.role").alias("role"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        count = 0
+
+        def links(to_end: bool) -> pa.RecordBatch:
+            nonlocal held, count
+            columns = [np.concatenate(c) for c in zip(*held)]
+            cut = len(columns[0]) if to_end else int(np.searchsorted(columns[0], columns[0][-1]))
+            held = [[c[cut:] for c in columns]]
+            count = len(columns[0]) - cut
+            bucket, ids, fp, check, role = (c[:cut] for c in columns)
+            a, b = _stars(bucket, ids, fp.view(np.uint64), check.view(np.uint64), role, max_bits, max_check) if cut else (ids, ids)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch.column(c).to_numpy() for c in range(5)])
+                count += batch.num_rows
+                if count >= 300_000 and held[-1][0][-1] != held[0][0][0]:
+                    yield links(False)
+        if count:
+            yield links(True)
+
+    return filed.repartition("bucket").sortWithinPartitions("bucket", "role", "id").mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (the least node reachable) of every node of links a, b of longs."""
     edges = written(
@@ -314,15 +400,20 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2) -> DataFrame:
 
 
 @carried
-def keep_one(docs: DataFrame, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its component, once each.
+def keep_one(docs: DataFrame, max_bits: int = WIDE, max_check: int = WIDE_CHECK) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the least of its group of near copies, once each.
 
+    Two texts are near copies if their fingerprints over two words differ in at most
+    ``max_bits`` bits and those over five words in at most ``max_check``: about a
+    similarity of 0.8 of their five-word shingles. Groups are what such links join.
     Rows without a doc_id cannot be named as representatives: they stay.
     """
-    prints = written(with_fingerprint(docs.filter("doc_id is not null")), "fp")
-    found = clusters(prints, max_bits)
-    kept = prints.join(found, "fp", "left").filter(F.coalesce("component", "doc_id") == F.col("doc_id"))
-    ids = written(kept.groupBy("doc_id").agg(F.count("*").alias("__rows")), "kept")
+    prints = written(with_fingerprint(docs.filter("doc_id is not null"), 2, 5), "fp")
+    groups = written(prints.groupBy("fp", "check").agg(F.min("doc_id").alias("id")), "prints")
+    roots = components(near_copies(groups, max_bits, max_check))
+    # Who is not the least of his group goes: as a copy by fingerprint, or as a node below its root.
+    least = groups.select("id").join(roots.filter("node <> root").select(F.col("node").alias("id")), "id", "left_anti")
+    ids = written(least.join(prints.select(F.col("doc_id").alias("id")), "id").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("__rows")), "kept")
     rows = docs.filter("doc_id is not null").join(ids, "doc_id")
     one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     rows = rows.withColumn("__nth", one).filter("__nth = 1").select(*docs.columns)

@@ -314,9 +314,52 @@ def test_near_finds_every_link(spark, hot, monkeypatch):
     assert all(roots.get(f, f) == want[f] for f in fps)
 
 
-def test_keep_one_per_component(spark, docs, texts):
-    want = set(brute_components(brute_prints(texts)).values())
-    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want
+def test_wide_links_are_complete(spark):
+    rng = np.random.default_rng(8)
+    nodes = []
+    for b in rng.integers(0, 2**62, 25, dtype=np.int64).tolist():
+        for _ in range(9):
+            x, y = b, b >> 1
+            for bit in rng.integers(0, 62, rng.integers(0, 9)).tolist():
+                x ^= 1 << bit
+            for bit in rng.integers(0, 62, rng.integers(0, 13)).tolist():
+                y ^= 1 << bit
+            nodes.append((len(nodes), x, y))
+    roots = {r.node: r.root for r in simhash.components(simhash.near_copies(spark.createDataFrame(nodes, "id long, fp long, check long"))).collect()}
+    up = {i: i for i, _, _ in nodes}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, x, y in nodes:
+        for j, u, v in nodes[:i]:
+            if (x ^ u).bit_count() <= simhash.WIDE and (y ^ v).bit_count() <= simhash.WIDE_CHECK:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    assert all(roots.get(i, i) == find(i) for i in up)
+
+
+def test_keep_one_of_each_group(spark, docs, texts):
+    plain = list(texts.values())[0].split()
+    words = [f"w{k}{x}" for k, x in enumerate(plain[:300])]
+    near = words[:100] + ["changed"] + words[101:]
+    rows = [*texts.items(), (10**6, " ".join(words)), (10**6 + 1, " ".join(words)), (10**6 + 2, " ".join(near)), (10**6 + 3, "no words of these")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert {i for i in kept if i >= 10**6} == {10**6, 10**6 + 3}
+
+    def shingles(t):
+        w = WORD.findall(t.translate(LOWER))
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    gone = [i for i in texts if i not in kept]
+    sets = {i: shingles(t) for i, t in texts.items()}
+    alike = lambda i, j: len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j]))
+    assert all(max(alike(i, j) for j in texts if j != i) > 0.5 for i in gone)
+    missed = [(i, j) for i in kept for j in kept if i < j < 10**6 and alike(i, j) >= 0.85]
+    assert len(missed) <= 0.05 * max(20, len(gone))
 
 
 # -- 8
