@@ -41,7 +41,7 @@ MOST_FLIPS = 3
 #: Near copies of the stage: bits in which the fingerprints over two and over five words may differ.
 WIDE, WIDE_CHECK = 8, 14
 #: What one filed row costs, in pairs compared.
-ROW_COST = 150.0
+ROW_COST = 400.0
 
 
 def fingerprints(texts: list[str | None], width: int = 3) -> np.ndarray:
