@@ -38,8 +38,14 @@ HOT = 4096
 SAMPLE = 2048
 BITS = 64
 MOST_FLIPS = 3
-#: Near copies of the stage: bits in which the fingerprints over two and over five words may differ.
+#: Bits in which the fingerprints of near copies over two and over five words may differ.
 WIDE, WIDE_CHECK = 8, 14
+#: Near copies of the stage: the least Jaccard similarity of the sets of five-word shingles.
+ALIKE, SHINGLE = 0.8, 5
+#: What proposes them: bits over five words at most, and equal bands of minima; 1 of 2,800 pairs of exactly 0.8 shares no band.
+LOOSE, BANDS, BAND_ROWS = 20, 20, 5
+#: Texts of a block: proposed groups of more are compared block by block.
+BLOCK = 256
 #: What one filed row costs, in pairs compared.
 ROW_COST = 400.0
 
@@ -88,6 +94,70 @@ def fingerprints(texts: list[str | None], width: int = 3) -> np.ndarray:
     return out
 
 
+def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """The set of a text's shingles as sorted 64-bit hashes; a text of fewer words is one shingle, none of no words."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode("utf-8", "replace").lower().split() if isinstance(text, str) else []
+    if len(words) < width:
+        found = [b" ".join(words)] if words else []
+    else:
+        found = map(b" ".join, zip(*(words[k:] for k in range(width))))
+    return np.unique(np.array([xxh64_intdigest(s, SEED) for s in found], dtype=np.uint64))
+
+
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set of shingles, a hash of the whole set and one of each band of minima."""
+    from xxhash import xxh64_intdigest
+
+    whole = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64)
+    bands = np.zeros((len(sets), BANDS), dtype=np.uint64)
+    some = np.array([i for i, s in enumerate(sets) if len(s)], dtype=np.int64)
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS, BAND_ROWS, 2), dtype=np.uint64) | np.uint64(1)
+    mix = np.uint64(0x9E3779B97F4A7C15)
+    at, most = 0, 1 << 20
+    while at < len(some):  # long texts in turn: the sets of a slice are held once more
+        to, held = at, 0
+        while to < len(some) and (to == at or held + len(sets[some[to]]) <= most):
+            held += len(sets[some[to]])
+            to += 1
+        part = some[at:to]
+        h = np.concatenate([sets[i] for i in part])
+        starts = np.concatenate(([0], np.cumsum([len(sets[i]) for i in part])[:-1]))
+        with np.errstate(over="ignore"):
+            for b in range(BANDS):
+                acc = np.full(len(part), b, dtype=np.uint64)
+                for r in range(BAND_ROWS):
+                    x = (h ^ odd[b, r, 1]) * odd[b, r, 0]
+                    low = np.minimum.reduceat(x, starts)
+                    acc = (acc ^ low) * mix
+                    acc ^= acc >> np.uint64(31)
+                bands[part, b] = acc
+        at = to
+    return whole, bands
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and own, a hash of the text, of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("own", F.xxhash64("text"))
+
+
+def with_signature(docs: DataFrame) -> DataFrame:
+    """doc_id, own (a hash of the text), fingerprints fp and check over two and five words, whole and bands of every row."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = frame["text"].tolist()
+            whole, bands = signatures([shingles(t) for t in texts])
+            yield pd.DataFrame({
+                "doc_id": frame["doc_id"].astype("Int64"), "own": frame["own"], "fp": fingerprints(texts, 2).view(np.int64), "check": fingerprints(texts, SHINGLE).view(np.int64),
+                "whole": whole.view(np.int64), "bands": list(bands.view(np.int64)),
+            })
+
+    return hashed(docs).mapInPandas(run, "doc_id long, own long, fp long, check long, whole long, bands array<long>")
+
+
 def with_fingerprint(docs: DataFrame, width: int = 3, check: int | None = None) -> DataFrame:
     """doc_id, fp (signed long) of every row, and check over another width; a null text has no words."""
 
@@ -303,21 +373,8 @@ def _stars(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray, check: np.ndarra
     return np.concatenate(left), np.concatenate(right)
 
 
-def near_copies(nodes: DataFrame, max_bits: int = WIDE, max_check: int = WIDE_CHECK) -> DataFrame:
-    """Links a, b that join all nodes (id, fp, check) whose fp differ in ``max_bits`` and check in ``max_check`` bits at most."""
-    n = nodes.count()
-    rows = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    if n < 2:
-        return nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    entries = []
-    for number, (bits, threshold) in enumerate(plan(np.array([r.fp for r in rows], dtype=np.int64).view(np.uint64), n, max_bits, ROW_COST)):
-        if threshold >= 0:
-            mask = _signed(sum(1 << b for b in bits))
-            entries += [(number, mask, _signed(x), int(x != 0)) for x in (0, *flips(bits, threshold))]
-    lit = lambda e: F.struct(F.lit(e[0]).alias("part"), F.lit(e[1]).cast("long").alias("mask"), F.lit(e[2]).cast("long").alias("flip"), F.lit(e[3]).alias("role"))
-    filed = nodes.select("id", "fp", "check", F.explode(F.array(*map(lit, entries))).alias("k"))
-    key = F.col("fp").bitwiseAND(F.col("k.mask")).bitwiseXOR(F.col("k.flip"))
-    filed = filed.select(F.xxhash64("k.part", key).alias("bucket"), "id", "fp", "check", F.col("k.role").alias("role"))
+def compared(filed: DataFrame, max_bits: int, max_check: int) -> DataFrame:
+    """Links a, b that span what the rows (bucket, id, fp, check, role) of each bucket join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -345,6 +402,75 @@ def near_copies(nodes: DataFrame, max_bits: int = WIDE, max_check: int = WIDE_CH
     return filed.repartition("bucket").sortWithinPartitions("bucket", "role", "id").mapInArrow(run, "a long, b long")
 
 
+def near_copies(nodes: DataFrame, max_bits: int = WIDE, max_check: int = WIDE_CHECK) -> DataFrame:
+    """Links a, b that join all nodes (id, fp, check) whose fp differ in ``max_bits`` and check in ``max_check`` bits at most."""
+    n = nodes.count()
+    rows = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    if n < 2:
+        return nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    entries = []
+    for number, (bits, threshold) in enumerate(plan(np.array([r.fp for r in rows], dtype=np.int64).view(np.uint64), n, max_bits, ROW_COST)):
+        if threshold >= 0:
+            mask = _signed(sum(1 << b for b in bits))
+            entries += [(number, mask, _signed(x), int(x != 0)) for x in (0, *flips(bits, threshold))]
+    lit = lambda e: F.struct(F.lit(e[0]).alias("part"), F.lit(e[1]).cast("long").alias("mask"), F.lit(e[2]).cast("long").alias("flip"), F.lit(e[3]).alias("role"))
+    filed = nodes.select("id", "fp", "check", F.explode(F.array(*map(lit, entries))).alias("k"))
+    key = F.col("fp").bitwiseAND(F.col("k.mask")).bitwiseXOR(F.col("k.flip"))
+    filed = filed.select(F.xxhash64("k.part", key).alias("bucket"), "id", "fp", "check", F.col("k.role").alias("role"))
+    return compared(filed, max_bits, max_check)
+
+
+def proposed(nodes: DataFrame) -> DataFrame:
+    """Links a, b that join all nodes (id, fp, check, bands) that may be near copies: by fingerprints, or by a band of minima.
+
+    Fingerprints over two words are near for edits of words; a passage put in, out or at
+    the end takes more bits than they can be searched by, and is found by the bands.
+    """
+    banded = nodes.select(F.posexplode("bands").alias("part", "band"), "id", "fp", "check")
+    banded = banded.select(F.xxhash64("part", "band").alias("bucket"), "id", "fp", "check", F.lit(0).alias("role"))
+    return near_copies(nodes, WIDE, LOOSE).unionByName(compared(banded, BITS, LOOSE))
+
+
+def alike(ids: np.ndarray, sets: list[np.ndarray], least: float = ALIKE) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span all sets joined by pairs of a Jaccard similarity of ``least`` or more; all pairs are compared."""
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    full = np.flatnonzero(size)
+    label = np.arange(len(sets))
+    if len(full) > 1:
+        names, codes = np.unique(np.concatenate([sets[i] for i in full]), return_inverse=True)
+        starts = np.concatenate(([0], np.cumsum(size[full])[:-1]))
+        mark = np.zeros(len(names), dtype=np.int64)
+        for k, i in enumerate(full):
+            own = codes[starts[k] : starts[k] + size[i]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[codes], starts)
+            mark[own] = 0
+            hit = full[both >= least * (size[i] + size[full] - both) - 1e-9]
+            joined = np.unique(label[hit])
+            if len(joined) > 1:
+                label[np.isin(label, joined)] = joined[0]
+    below = np.flatnonzero(label != np.arange(len(sets)))
+    return ids[label[below]], ids[below]
+
+
+def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Links a, b that join the near copies within each proposed group; members: doc_id, own, node, root.
+
+    Groups of more than BLOCK texts are compared by pairs of blocks, so that no group falls to one task.
+    """
+    large = members.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
+    rows = members.join(F.broadcast(large), "root", "left")
+    blocks = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / F.lit(BLOCK)).cast("long")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(SEED)), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.select("doc_id", "own", "node", "root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = alike(frame["node"].to_numpy(), [shingles(t) for t in frame["text"]])
+        return pd.DataFrame({"a": a, "b": b})
+
+    return rows.join(hashed(docs), ["doc_id", "own"]).groupBy("root", "x", "y").applyInPandas(run, "a long, b long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (the least node reachable) of every node of links a, b of longs."""
     edges = written(
@@ -400,21 +526,28 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2) -> DataFrame:
 
 
 @carried
-def keep_one(docs: DataFrame, max_bits: int = WIDE, max_check: int = WIDE_CHECK) -> DataFrame:
+def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the least of its group of near copies, once each.
 
-    Two texts are near copies if their fingerprints over two words differ in at most
-    ``max_bits`` bits and those over five words in at most ``max_check``: about a
-    similarity of 0.8 of their five-word shingles. Groups are what such links join.
+    Two texts are near copies if the sets of their five-word shingles have a Jaccard
+    similarity of ``ALIKE`` or more. Fingerprints and bands only propose pairs; all texts of
+    what they join are compared by their shingles. Groups are what near copies join.
     Rows without a doc_id cannot be named as representatives: they stay.
     """
-    prints = written(with_fingerprint(docs.filter("doc_id is not null"), 2, 5), "fp")
-    groups = written(prints.groupBy("fp", "check").agg(F.min("doc_id").alias("id")), "prints")
-    roots = components(near_copies(groups, max_bits, max_check))
-    # Who is not the least of his group goes: as a copy by fingerprint, or as a node below its root.
-    least = groups.select("id").join(roots.filter("node <> root").select(F.col("node").alias("id")), "id", "left_anti")
-    ids = written(least.join(prints.select(F.col("doc_id").alias("id")), "id").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("__rows")), "kept")
-    rows = docs.filter("doc_id is not null").join(ids, "doc_id")
+    named = docs.filter("doc_id is not null")
+    prints = written(with_signature(named), "fp")
+    same = ["fp", "check", "whole"]
+    groups = prints.groupBy(*same).agg(F.min(F.struct("doc_id", "own")).alias("least"), F.first("bands").alias("bands"))
+    groups = written(groups.withColumn("id", F.xxhash64(*same)), "prints")
+    near_ = components(proposed(groups))
+    members = written(near_.join(groups.select(F.col("id").alias("node"), "least"), "node").select("least.*", "node", "root"), "proposed")
+    roots = components(verified(named, members))
+    linked = roots.join(groups.select(F.col("id").alias("node"), "least"), "node").select("node", "root", "least")
+    # Who is not the least of his group goes: as a copy by its shingles, or as a node whose group has a lesser.
+    first = linked.groupBy("root").agg(F.min_by("node", F.struct("least", "node")).alias("keeps"))
+    gone = linked.join(first, "root").filter("node <> keeps").select(F.col("node").alias("id"))
+    ids = written(groups.join(gone, "id", "left_anti").select("least.doc_id").distinct(), "kept")
+    rows = named.join(ids, "doc_id")
     one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     rows = rows.withColumn("__nth", one).filter("__nth = 1").select(*docs.columns)
     return rows.unionByName(docs.filter("doc_id is null"))

@@ -362,6 +362,33 @@ def test_keep_one_of_each_group(spark, docs, texts):
     assert len(missed) <= 0.05 * max(20, len(gone))
 
 
+def test_near_copies_by_shingles(spark, monkeypatch):
+    """Edits of words, blocks and ends on both sides of 0.8; groups in one block and in several."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for b in range(24):
+        base = [f"{b}w{k}" for k in rng.integers(0, 10**6, 240)]
+        new, other = [f"{b}n{k}" for k in range(240)], [f"{b}o{k}" for k in range(75)]
+        at = int(rng.integers(20, 200))
+        spread = lambda m: [new[k] if k % (240 // m) == 7 else w for k, w in enumerate(base)]
+        block = lambda x: base[:at] + x + base[at:]
+        made = [[], [base + new[:50], base + other], [block(new[:45]), block(other)], [spread(4), spread(10)]][b % 4]
+        rows += [base, *made]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    up = list(range(len(rows)))
+    for i in up:
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                up = [up[j] if x == up[i] else x for x in up]
+    want = {up.index(x) for x in up}
+    assert len(rows) - len(want) == 18
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
+    monkeypatch.setattr(simhash, "BLOCK", 1)
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
+
+
 # -- 8
 
 
