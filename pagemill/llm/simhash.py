@@ -529,6 +529,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the least of its group of near copies, once each.
 
+    A doc_id that repeats with texts that are no near copies keeps each of them.
+
     Two texts are near copies if the sets of their five-word shingles have a Jaccard
     similarity of ``ALIKE`` or more. Fingerprints and bands only propose pairs; all texts of
     what they join are compared by their shingles. Groups are what near copies join.
@@ -546,8 +548,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # Who is not the least of his group goes: as a copy by its shingles, or as a node whose group has a lesser.
     first = linked.groupBy("root").agg(F.min_by("node", F.struct("least", "node")).alias("keeps"))
     gone = linked.join(first, "root").filter("node <> keeps").select(F.col("node").alias("id"))
-    ids = written(groups.join(gone, "id", "left_anti").select("least.doc_id").distinct(), "kept")
-    rows = named.join(ids, "doc_id")
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    ids = written(groups.join(gone, "id", "left_anti").select("least.*").withColumnRenamed("own", "__own"), "kept")
+    rows = named.withColumn("__own", F.xxhash64(F.col("text").cast("string"))).join(ids, ["doc_id", "__own"])
+    one = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(F.lit(0)))
     rows = rows.withColumn("__nth", one).filter("__nth = 1").select(*docs.columns)
     return rows.unionByName(docs.filter("doc_id is null"))

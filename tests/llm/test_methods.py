@@ -389,6 +389,12 @@ def test_near_copies_by_shingles(spark, monkeypatch):
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
 
 
+def test_repeated_id_keeps_different_texts(spark):
+    one, two = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    df = spark.createDataFrame([(1, one), (1, one), (1, two), (2, one), (3, two), (3, "else " * 30)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(df).collect()) == [(1, one), (1, two), (3, "else " * 30)]
+
+
 # -- 8
 
 
