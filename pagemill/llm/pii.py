@@ -7,7 +7,7 @@ document and distinct values stay distinct within a format:
 * card numbers (13 to 19 digits, Luhn): the first digit and the separators stay, the
   last digit is computed anew, so that the pseudonym is valid too;
 * telephone numbers: the country code and the punctuation stay; North American
-  area and exchange codes keep a first digit of 2 to 9;
+  area and exchange codes keep a first digit of 2 to 9, or of 0 and 1 after +1;
 * IPv4 addresses; US social security numbers (no area 000, 666 or 9xx, ...);
 * IBANs (mod 97): letters and digits keep their places, check digits are anew;
 * dates (2001-02-28, 28.02.2001, 02/28/2001; day first with slashes where only
@@ -56,10 +56,14 @@ DATE_SLASH = r"\d{1,2}/\d{1,2}/\d{4}(?![0-9A-Za-z])"
 IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
 PHONE_NATIONAL = r"(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?![0-9A-Za-z])"
 PHONE_AMERICAN = r"\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?![0-9A-Za-z])"
-PHONE = r"\+[2-9]\d{0,2}(?:\d{6,12}|([ \-]?)\(?\d{1,5}\)?(?:\3\d{2,8}){1,4})(?![0-9A-Za-z])"
+#: With one separator throughout, or 8 to 15 digits with any; a number does not end where its digits go on.
+PHONE = (
+    r"\+[2-9](?:\d{0,2}(?:\d{6,12}|([ \-]?)\(?\d{1,5}\)?(?:\3\d{2,8}){1,4})(?<=\d" + r"[ ().\-]{0,2}\d" * 7 + r")(?![0-9A-Za-z]|[.\-][0-9])"
+    r"|(?:(?:[ .\-]?\(?|\)[ .\-]?)\d){7,14}(?![0-9A-Za-z]|[.\-][0-9]))"
+)
 IBAN = "(?:" + "|".join(rf"(?:{names.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTH.items()) + ")(?![0-9A-Za-z])"
 KEY_ID = r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"
-NAMES = "password|passwd|secret|token|api_key|apikey"
+NAMES = "(?i:password|passwd|secret|token|api_key|apikey)"
 NAMED_SECRET = rf"""(?<=[:= "'])(?=[A-Za-z0-9_\-]{{12}})(?<=(?:{NAMES})[ ]{{0,2}}[:=][ ]{{0,2}}["']{{0,1}})[A-Za-z0-9_\-]++"""
 BEFORE = r"(?<![0-9A-Za-z]|[0-9][.\-/])"
 FOUND = (
@@ -189,14 +193,17 @@ def phone(value: Column, key: str) -> Column:
         international = F.startswith(value, F.lit("+"))
         code = F.when(international & (d.getItem(0) == 1), 1).when(international, 2).otherwise(0)
         own = F.slice(d, code + 1, n - code)
-        american = (F.size(own) == 10) & (code < 2) & (own.getItem(0) > 1) & (F.element_at(own, 4) > 1)
+        american = (F.size(own) == 10) & (code < 2) & ((code == 1) | ((own.getItem(0) > 1) & (F.element_at(own, 4) > 1)))
         valid = F.when(international & (code == 2), n >= 8).otherwise(american)
-        least = lambda i: F.when(american & i.isin(0, 3), F.lit(2)).otherwise(F.lit(0)).cast("long")
+        first = lambda i: american & i.isin(0, 3)
+        least = lambda v, i: F.when(first(i) & (v > 1), F.lit(2)).otherwise(F.lit(0)).cast("long")
+        most = lambda v, i: F.when(first(i), F.when(v > 1, F.lit(8)).otherwise(F.lit(2))).otherwise(F.lit(10)).cast("long")
 
         def moved(x: Column) -> Column:
-            start = F.transform(x, lambda v, i: v - least(i))
-            radix = F.transform(x, lambda v, i: F.lit(10) - least(i))
-            back = F.transform(feistel(start, radix, key), lambda v, i: (v + least(i)).cast("string"))
+            start = F.transform(x, lambda v, i: v - least(v, i))
+            radix = F.transform(x, most)
+            least_ = F.transform(x, least)
+            back = F.zip_with(feistel(start, radix, key), least_, lambda v, low: (v + low).cast("string"))
             return refill(value, "[0-9]", F.concat(F.slice(d, F.lit(1), code).cast("array<string>"), back))
 
         return F.when(F.coalesce(valid, F.lit(False)), let(own, moved)).otherwise(value)

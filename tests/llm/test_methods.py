@@ -139,6 +139,21 @@ def test_ssn_and_iban_bijections(spark):
     assert len(set(out)) == len(out) and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in out)
 
 
+def test_no_value_stays_in_clear(spark):
+    cases = {
+        'TOKEN = "9233A8EC51F0"': r'TOKEN = "[0-9A-F]{12}"', "Api_Key: abcdef0123456789": r"Api_Key: [a-f0-9]{16}",
+        "+1 (017) 555-7713": r"\+1 \([01]\d\d\) [2-9]\d\d-\d{4}", "+1 617-155-7713": r"\+1 [2-9]\d\d-[01]\d\d-\d{4}",
+        "+44 (0)20 7946 0958": r"\+44 \(\d\)\d\d \d{4} \d{4}", "+49 30-1234567": r"\+49 \d\d-\d{7}", "+33 1.23.45.67.89": r"\+33 \d(\.\d\d){4}",
+        "+44 20 7946-0958": r"\+44 \d\d \d{4}-\d{4}", "+33 6 12 34.56.78": r"\+33 \d \d\d \d\d\.\d\d\.\d\d",
+    }
+    for (text, shape), out in zip(cases.items(), pseudonyms(spark, *(f"see {t} 2020-01-01 there" for t in cases))):
+        assert text not in out and "2020-01-01" not in out and re.fullmatch(rf"see {shape} \d{{4}}-\d\d-\d\d there", out), out
+        assert all(v not in out for v in re.findall(r"\w{4,}", text)[-1:])
+    df = spark.createDataFrame([(f"+1 0{n // 10}7 {n % 10}55-7713",) for n in range(100)], "t string")
+    out = [r[0] for r in df.select(pii.phone(F.col("t"), "k")).collect()]
+    assert len(set(out)) == 100 and all(re.fullmatch(r"\+1 [01]\d\d \d{3}-\d{4}", x) for x in out)
+
+
 # -- 4
 
 
