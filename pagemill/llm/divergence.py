@@ -7,8 +7,10 @@ learned from all documents that pass the base rules. Short texts scatter: each
 limit widens in inverse proportion to the length, and texts under ``Limits.min_words`` words
 are not judged by it.
 
-A null text has no words. A document whose lang is null or has no word list is
-compared with the language whose common words it holds most of.
+A null text has no words. The common words of a language without a word list are its
+most frequent ones in documents that pass the base rules. A document whose lang is null
+is compared with the language whose common words it holds most of; if it holds none,
+only the base rules apply.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import carried, written
+from pagemill.llm.common import WORD, carried, written
 from pagemill.llm.tokens import byte_table, slices, words
 
 COMMON = {
@@ -85,8 +87,9 @@ def _repeats(codes: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
     return np.bincount(owner[inside], minlength=docs)
 
 
-def measure(texts: list[str | None], langs: list[str | None]) -> pd.DataFrame:
-    """The counts of every text; see FEATURES."""
+def measure(texts: list[str | None], langs: list[str | None], learned: dict[str, list[str]] | None = None) -> pd.DataFrame:
+    """The counts of every text; see FEATURES. learned: the common words of further languages."""
+    learned = learned or {}
     texts = [t if isinstance(t, str) else "" for t in texts]
     array = pa.array(texts, pa.large_string())
     codes, distinct, starts = words(array, byte_table())
@@ -110,8 +113,20 @@ def measure(texts: list[str | None], langs: list[str | None]) -> pd.DataFrame:
         hit = got >= 0
         table[:, k, :] = np.bincount(owner[hit] * SIZE + got[hit], minlength=docs * SIZE).reshape(docs, SIZE)
     given = np.array([names.index(x) if x in COMMON else -1 for x in langs], dtype=np.int64)
-    which = np.where(given >= 0, given, table.sum(axis=2).argmax(axis=1))
+    hits = table.sum(axis=2)
+    which = np.where(given >= 0, given, hits.argmax(axis=1))
     common = table[np.arange(docs), which]
+    own = [isinstance(x, str) and x not in COMMON for x in langs]
+    refs = [x if other else names[k] if x in COMMON or hits[i].any() else None for i, (x, other, k) in enumerate(zip(langs, own, which))]
+    common[np.array(own, dtype=bool)] = 0
+    for lang in {x for x, other in zip(langs, own) if other and x in learned}:
+        slot = np.full(len(number), -1, dtype=np.int64)
+        for j, word in enumerate(learned[lang]):
+            if word in number:
+                slot[number[word]] = j
+        for i in (i for i, x in enumerate(langs) if x == lang):
+            got = slot[codes[starts[i] : starts[i + 1]]]
+            common[i] = np.bincount(got[got >= 0], minlength=SIZE)
     blanks = hist[:, 3] + hist[:, 4]
     lines = [[x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")] for t in texts]
     return pd.DataFrame({
@@ -120,7 +135,7 @@ def measure(texts: list[str | None], langs: list[str | None]) -> pd.DataFrame:
         "n_symbols": hist[:, 7],
         "n_dup_lines": np.fromiter((len(x) - len(set(x)) for x in lines), np.int64, docs),
         "n_repeat_words": _repeats(codes, starts, 8),
-        "ref": [names[k] for k in which],
+        "ref": refs,
         "chars": list(hist),
         "common": list(common),
     })
@@ -132,16 +147,39 @@ FEATURES = (
 )
 
 
-def _measured(text: pd.Series, lang: pd.Series) -> pd.DataFrame:
+def _measured(text: pd.Series, lang: pd.Series, learned: dict[str, list[str]]) -> pd.DataFrame:
     size = np.fromiter((len(t) if isinstance(t, str) else 0 for t in text), np.int64, len(text))
-    some = [measure(text.iloc[a:b].tolist(), lang.iloc[a:b].tolist()) for a, b in slices(size + 1, 2 << 20)]
+    some = [measure(text.iloc[a:b].tolist(), lang.iloc[a:b].tolist(), learned) for a, b in slices(size + 1, 2 << 20)]
     return pd.concat(some, ignore_index=True) if some else measure([], [])
 
 
+def _with_counts(docs: DataFrame, learned: dict[str, list[str]]) -> DataFrame:
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+
+    def run(text: pd.Series, lang: pd.Series) -> pd.DataFrame:
+        return _measured(text, lang, learned)
+
+    return docs.withColumn("__q", F.pandas_udf(run, FEATURES)(F.col("text").cast("string"), lang))
+
+
+def learned_words(docs: DataFrame) -> dict[str, list[str]]:
+    """The most frequent words of each language without a word list, over all its documents that pass the base rules."""
+    if "lang" not in docs.columns:
+        return {}
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = _with_counts(rows.filter(F.col("lang").isNotNull() & ~F.col("lang").isin(*COMMON)), {}).filter(~base_failed())
+    said = rows.select("lang", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
+    counts = said.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
+    found: dict[str, list[str]] = {}
+    for r in counts.withColumn("rank", rank).filter(F.col("rank") <= SIZE).orderBy("lang", "rank").collect():
+        found.setdefault(r.lang, []).append(r.word)
+    return found
+
+
 def with_features(docs: DataFrame) -> DataFrame:
     """``docs`` with the struct __q of counts and base_failed."""
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.withColumn("__q", F.pandas_udf(_measured, FEATURES)(F.col("text").cast("string"), lang))
+    return _with_counts(docs, learned_words(docs))
 
 
 def base_failed(q: str = "__q") -> Column:
@@ -152,11 +190,11 @@ def base_failed(q: str = "__q") -> Column:
 def references(features: DataFrame, q: str = "__q") -> dict[str, tuple[list[float], list[float]]]:
     """Language -> histograms of classes and of common words (and the rest), over all documents that pass the base rules.
 
-    One row for each word list, at most: what comes to the driver does not grow.
+    One row for each language: what comes to the driver grows with their number only.
     """
     sums = [F.sum(F.col(f"{q}.chars")[i]).alias(f"c{i}") for i in range(CLASSES)]
     sums += [F.sum(F.col(f"{q}.common")[i]).alias(f"w{i}") for i in range(SIZE)]
-    passed = features.filter(~base_failed(q))
+    passed = features.filter(~base_failed(q) & F.col(f"{q}.ref").isNotNull())
     rows = passed.groupBy(F.col(f"{q}.ref").alias("ref")).agg(F.sum(f"{q}.n_words").alias("n"), *sums).collect()
     out = {}
     for r in rows:
@@ -178,22 +216,21 @@ def divergence(counts: Column, reference: Column) -> Column:
 
 def judged(features: DataFrame, found: dict, limits: Limits = Limits(), q: str = "__q") -> DataFrame:
     """Adds base_failed, char_divergence, word_divergence and kept."""
-    def chosen(i: int) -> Column:
-        out = F.lit(None).cast("array<double>")
-        for lang in sorted(found):
-            out = F.when(F.col(f"{q}.ref") == lang, F.array(*map(F.lit, found[lang][i]))).otherwise(out)
-        return out
-
+    rows = [(lang, [float(x) for x in c], [float(x) for x in w]) for lang, (c, w) in sorted(found.items())]
+    known = features.sparkSession.createDataFrame(rows, "__ref string, __chars array<double>, __common array<double>")
+    columns = features.columns
+    features = features.join(F.broadcast(known), F.col(f"{q}.ref") == F.col("__ref"), "left")
     n = F.col(f"{q}.n_words")
     inside = F.aggregate(F.col(f"{q}.common"), F.lit(0).cast("long"), lambda a, x: a + x)
     common = F.concat(F.col(f"{q}.common"), F.array(n - inside))
     out = features.withColumn("base_failed", base_failed(q))
-    out = out.withColumn("char_divergence", F.coalesce(divergence(F.col(f"{q}.chars"), chosen(0)), F.lit(0.0)))
-    out = out.withColumn("word_divergence", F.coalesce(divergence(common, chosen(1)), F.lit(0.0)))
+    out = out.withColumn("char_divergence", F.coalesce(divergence(F.col(f"{q}.chars"), F.col("__chars")), F.lit(0.0)))
+    out = out.withColumn("word_divergence", F.coalesce(divergence(common, F.col("__common")), F.lit(0.0)))
     near = (F.col("char_divergence") <= limits.chars + limits.chars_slack / n) & (
         F.col("word_divergence") <= limits.words + limits.words_slack / n
     )
-    return out.withColumn("kept", ~F.col("base_failed") & ((n < limits.min_words) | near))
+    out = out.withColumn("kept", ~F.col("base_failed") & ((n < limits.min_words) | near))
+    return out.select(*(F.col(f"`{c}`") for c in columns), "base_failed", "char_divergence", "word_divergence", "kept")
 
 
 def quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:

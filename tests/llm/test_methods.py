@@ -185,6 +185,21 @@ def test_divergence_is_jensen_shannon(spark):
     assert abs(got - (kl(share) + kl(q)) / 2) < 1e-12
 
 
+def test_languages_without_a_list(spark, docs):
+    """They learn their own reference and leave those of others alone; a text of no language keeps to the base rules."""
+    rng = np.random.default_rng(5)
+    small = "и в не на что он с как это по но из у за".split()
+    word = lambda: small[int(rng.integers(len(small)))] if rng.random() < 0.4 else "".join(chr(int(c)) for c in rng.integers(0x430, 0x450, 7))
+    rows = [(10**6 + i, " ".join(word() for _ in range(120)), "ru") for i in range(40)]
+    rows += [(2 * 10**6, " ".join("".join(chr(int(c)) for c in rng.integers(0x3B1, 0x3C9, 6)) for _ in range(90)), None), (2 * 10**6 + 1, "0 1 2 3 4 5 6 7 8 9 " * 3 + " ".join(map(str, range(50, 150))), "ru")]
+    own = docs.select("doc_id", "text", "lang")
+    out = {r.doc_id: r for r in divergence.quality(own.unionByName(spark.createDataFrame(rows, own.schema))).collect()}
+    assert all(out[i].kept and out[i].word_divergence > 0 for i, _, _ in rows[:-1] if i < 2 * 10**6) and out[2 * 10**6].kept
+    assert not out[2 * 10**6 + 1].kept
+    alone = {r.doc_id: r for r in divergence.quality(own).collect()}
+    assert all(out[i] == r for i, r in alone.items())
+
+
 # -- 5
 
 
