@@ -670,7 +670,7 @@ def cv_report(spark, sf_dir):
     made = featured(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in columns})
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     table = evaluate.feature_table(made, labels, columns, "doc_id")
-    return evaluate.report(evaluate.cross_validated(table, columns, "doc_id", 3, {k: evaluate.SETTINGS[k] for k in ("entropy_leaf10", "gini_leaf10")}))
+    return evaluate.report(evaluate.cross_validated(table, columns, "doc_id"))
 
 
 # -- sources, sinks, streams

@@ -288,3 +288,13 @@ def test_frontier_depth_and_known(spark):
     found = spark.createDataFrame([("http://ox.ac.uk/a",), ("http://ox.ac.uk/b",), ("http://ox.ac.uk/b",), ("http://else.org/",)], "url string")
     assert [r.url for r in admission.frontier(found, lib).collect()] == ["http://ox.ac.uk/b"]
     assert admission.frontier(found, lib, depth=4).count() == 0
+
+
+def test_cv_report_is_the_whole_report(spark, sf_dir, monkeypatch):
+    from pagemill.operators import evaluate
+    from pagemill.plans import queries
+
+    learned = []
+    monkeypatch.setattr(evaluate, "learn", lambda rows, columns, **named: learned.append((named["impurity"], named["min_leaf"], named["depth"])))
+    assert {r.theta for r in queries.cv_report(spark, sf_dir).collect()} == set(evaluate.SETTINGS)
+    assert learned == [s for s in evaluate.SETTINGS.values() for _ in range(10)]
