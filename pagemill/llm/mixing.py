@@ -11,9 +11,8 @@ to a power, at most ``MOST_GAIN`` times the own share, scaled to sum to one.
 Whether a document is sampled is decided by a hash of its doc_id and the seed, so
 that a rerun, or another cluster, takes the same documents.
 
-Margins are bounded: beyond the ``MOST`` categories with most tokens of a margin,
-the rest form the category "(other)"; their documents take part like any others.
-With that, cells are few enough for the driver and for a broadcast.
+Every category has its own share, whatever their number: up to ``CELLS`` cells are
+raked on the driver, more by aggregations over the table of cells.
 
 A null or empty text has no tokens and is sampled like its cell. Null source or
 language is the category "". A null doc_id counts as the empty id; repeated rows
@@ -31,9 +30,12 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import WORD, carried, written
 
 MARGINS = ("source", "lang", "topic")
+#: Of the SQL: it pools the categories beyond these.
 MOST = {"source": 1000, "lang": 100}
 MOST_GAIN = 1.25
+#: Of the SQL.
 OTHER = "(other)"
+CELLS = 100_000
 ROUNDS = 12
 SEED = "mix"
 
@@ -73,21 +75,6 @@ def with_cell(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__cell", F.struct(*parts))
 
 
-def pooled(cells: DataFrame) -> dict[str, list[str]]:
-    """The categories of each margin that stand for themselves: the largest, as many as MOST says."""
-    out = {}
-    for margin, most in MOST.items():
-        by = cells.groupBy(margin).agg(F.sum("n_tokens").alias("n")).orderBy(F.col("n").desc(), margin).limit(most)
-        out[margin] = [r[0] for r in by.collect()]
-    return out
-
-
-def named(margin: str, column: Column, kept: dict[str, list[str]]) -> Column:
-    if margin not in kept:
-        return column
-    return F.when(column.isin(kept[margin]), column).otherwise(F.lit(OTHER))
-
-
 def tempered(own: np.ndarray, power: float, most_gain: float = MOST_GAIN) -> np.ndarray:
     """Target shares from own shares."""
     t = np.where(own > 0, np.power(own, power, where=own > 0, out=np.zeros_like(own)), 0.0)
@@ -129,22 +116,50 @@ def chance(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def weights(cells: DataFrame, mix: Mix) -> tuple[DataFrame, dict[str, list[str]]]:
-    """Of each cell of ``cells`` (n_tokens, source, lang, topic), as a table that may be broadcast; and the pooling."""
-    spark = cells.sparkSession
-    kept = pooled(cells)
-    keys = [named(m, F.col(m), kept).alias(m) for m in MARGINS]
-    rows = cells.select(*keys, "n_tokens").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n")).orderBy(*MARGINS).collect()
-    raked = rake([(r.source, r.lang, r.topic, r.n) for r in rows], mix)
+def wanted(cells: DataFrame, margin: str, total: float, mix: Mix) -> DataFrame:
+    """The margin's categories with their target share ``want``; as in ``rake``."""
+    own = cells.groupBy(margin).agg((F.sum("n") / F.lit(max(total, 1.0))).alias("own"))
+    if margin in mix.targets:
+        given = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in mix.targets[margin].items()], f"{margin} string, t double")
+        own = own.join(given, margin, "left").withColumn("t", F.when(F.col("own") > 0, F.coalesce("t", F.lit(0.0))).otherwise(F.lit(0.0)))
+    else:
+        own = own.withColumn("t", F.when(F.col("own") > 0, F.pow("own", F.lit(mix.power.get(margin, 1.0)))).otherwise(F.lit(0.0)))
+        own = written(own, "mix-shares")
+        held = own.agg(F.sum("t")).first()[0] or 0.0
+        own = own.withColumn("t", F.least(F.col("t") / F.lit(held), MOST_GAIN * F.col("own"))) if held > 0 else own
+    own = written(own, "mix-shares")
+    held = own.agg(F.sum("t")).first()[0] or 0.0
+    return own.select(margin, (F.col("t") / F.lit(held) if held > 0 else F.col("own") if margin in mix.targets else F.col("t")).alias("want"))
+
+
+def rake_table(cells: DataFrame, mix: Mix) -> DataFrame:
+    """``cells`` (source, lang, topic, n) with w and p, as ``rake`` has them, without the driver."""
+    total = float(cells.agg(F.sum("n")).first()[0] or 0)
+    shares = {m: wanted(cells, m, total, mix) for m in MARGINS}
+    out = cells.withColumn("w", F.lit(1.0))
+    for _ in range(mix.rounds):
+        for m in MARGINS:
+            held = out.groupBy(m).agg(F.sum(F.col("w") * F.col("n")).alias("held")).join(shares[m], m)
+            scale = held.select(m, F.when(F.col("held") > 0, F.col("want") * F.lit(total) / F.col("held")).otherwise(F.lit(1.0)).alias("scale"))
+            out = written(out.join(scale, m).select(*MARGINS, "n", (F.col("w") * F.col("scale")).alias("w")), "mix-raked")
+    top = out.filter("n > 0").agg(F.max("w")).first()[0] or 0.0
+    return out.withColumn("p", F.least(F.lit(1.0), F.col("w") / F.lit(top)) if top > 0 else F.lit(1.0))
+
+
+def weights(cells: DataFrame, mix: Mix) -> DataFrame:
+    """Of each cell of ``cells`` (n_tokens, source, lang, topic), as a table to join."""
+    table = written(cells.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n")), "mix-table")
+    if table.count() > CELLS:
+        return rake_table(table, mix).select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.round("w", 6).alias("__weight"), F.round("p", 9).alias("__probability"))
+    raked = rake([(r.source, r.lang, r.topic, r.n) for r in table.orderBy(*MARGINS).collect()], mix)
     schema = "__source string, __lang string, __topic string, __weight double, __probability double"
-    return spark.createDataFrame([(*k, *v) for k, v in raked.items()], schema), kept
+    return F.broadcast(cells.sparkSession.createDataFrame([(*k, *v) for k, v in raked.items()], schema))
 
 
-def joined(docs: DataFrame, found: DataFrame, kept: dict[str, list[str]], mix: Mix) -> DataFrame:
+def joined(docs: DataFrame, found: DataFrame, mix: Mix) -> DataFrame:
     """``docs`` (with __cell) with __weight, __probability, __sampled."""
-    own = [named(m, F.col(f"__cell.{m}"), kept) for m in MARGINS]
-    at = [a == F.col(f"__{m}") for a, m in zip(own, MARGINS)]
-    out = docs.join(F.broadcast(found), at[0] & at[1] & at[2], "left")
+    at = [F.col(f"__cell.{m}") == F.col(f"__{m}") for m in MARGINS]
+    out = docs.join(found, at[0] & at[1] & at[2], "left")
     return out.withColumn("__sampled", chance(F.col("doc_id"), mix.seed) < F.col("__probability"))
 
 
@@ -152,8 +167,8 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """doc_id, n_tokens, source, lang, topic, weight, probability, sampled of every row."""
     columns = [c for c in ("doc_id", "text", "source", "lang") if c in docs.columns]
     cells = written(with_cell(docs.select(*columns)).select("doc_id", "__cell"), "mix-cells")
-    found, kept = weights(cells.select("__cell.*"), mix)
-    return joined(cells, found, kept, mix).select(
+    found = weights(cells.select("__cell.*"), mix)
+    return joined(cells, found, mix).select(
         F.col("doc_id").cast("long").alias("doc_id"), "__cell.n_tokens", "__cell.source", "__cell.lang", "__cell.topic",
         F.col("__weight").alias("weight"), F.col("__probability").alias("probability"), F.col("__sampled").alias("sampled"),
     )
@@ -165,8 +180,8 @@ def sampled(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     celled = with_cell(docs)
     # Summed by raw categories first: three scans of the texts become one.
     sums = celled.select("__cell.*").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n_tokens"))
-    found, kept = weights(written(sums, "mix-cells"), mix)
-    return joined(celled, found, kept, mix).filter("__sampled").select(*docs.columns)
+    found = weights(sums, mix)
+    return joined(celled, found, mix).filter("__sampled").select(*docs.columns)
 
 
 def _oracle(mix: Mix = Mix()) -> str:

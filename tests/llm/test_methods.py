@@ -56,6 +56,20 @@ def test_pooled_sources_take_part(spark, docs, monkeypatch):
     assert out.count() == docs.count() and out.filter("probability is null").count() == 0
 
 
+def test_every_source_has_its_own_share(spark, monkeypatch):
+    rows = [(i, "word " * (1 + i % 7) * (3 if i < 1300 else 1), "en" if i % 3 else "de", f"s{i % 1300}") for i in range(2600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    last = mixing.Mix(targets={"source": {"s7": 0.5, "s0": 0.5}, "lang": {"en": 0.5, "de": 0.5}}, rounds=3)
+    few = {r.doc_id: r for r in mixing.mixed(df, last).collect()}
+    assert few[0].probability > 0 and few[7].probability > 0 and few[1].probability == 0
+    plain = {r.doc_id: r for r in mixing.mixed(df, mixing.Mix(rounds=2)).collect()}
+    assert len({r.weight for r in plain.values()}) > 20
+    monkeypatch.setattr(mixing, "CELLS", 0)
+    for mix, want in ((last, few), (mixing.Mix(rounds=2), plain)):
+        for r in mixing.mixed(df, mix).collect():
+            assert abs(r.weight - want[r.doc_id].weight) <= 2e-6 and abs(r.probability - want[r.doc_id].probability) <= 2e-6
+
+
 # -- 2
 
 
