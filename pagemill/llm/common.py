@@ -28,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only in local mode, where one process is all there is."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="pagemill-shared-")
         spark.sparkContext.setCheckpointDir(at)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -50,25 +52,49 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def doc_fold(doc_id: str | Column, parts: int) -> Column:
     """crc32(doc_id as text) mod parts; a null id counts as the empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(parts)
 
 
+#: A group's rows in the order of their hashes are cut into stretches of a SLICES-th of what is wanted.
+SLICES = 16
+
+
 def least_hashed(rows: DataFrame, group: str, key: str, most: int, groups: int = 2000) -> DataFrame:
-    """At most ``most`` rows of each group, those with the least hash of ``key``; ties by ``key``.
+    """group, key: at most ``most`` distinct keys of each group, those with the least hash; ties by key.
 
-    Counts come first: they give a bound on the hash under which about four times as
-    many rows lie, so that a hot group sends no more than that to the task that ranks
-    it. Of more than ``groups`` groups the largest take part, which bounds the broadcast.
+    A hash is a place in its group, in stretches that hold ``most`` / SLICES keys on
+    average. Stretches are counted; all keys of those below the one that the last key
+    wanted falls into are taken, and only the keys of that one are ranked, so that no
+    task sorts a group however large it is. Of more than ``groups`` groups the largest
+    take part, which bounds what is broadcast: a row a group, SLICES * 4 counts at most.
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("__n")).orderBy(F.col("__n").desc(), group).limit(groups)
+    spark = rows.sparkSession
+    distinct = written(rows.select(group, key).distinct(), "least-keys")
+    sizes = F.broadcast(distinct.groupBy(group).agg(F.count("*").alias("__n")).orderBy(F.col("__n").desc(), group).limit(groups))
     hashed = F.xxhash64(F.col(key))
-    share = (hashed.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    near = rows.join(F.broadcast(sizes), group).filter(share * F.col("__n") <= 4.0 * most + 64)
+    place = (hashed.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * F.col("__n") * (SLICES / most)
+    near = distinct.join(sizes, group).withColumn("__at", F.floor(place)).filter(F.col("__at") < 4 * SLICES).drop("__n")
+    last, need = {}, {}
+    for r in near.groupBy(group, "__at").agg(F.count("*").alias("n")).orderBy(group, "__at").collect():
+        held = need.get(r[group], most)
+        if held > 0:
+            last[r[group]] = (r["__at"], held)
+        need[r[group]] = held - r["n"]
+    kind = rows.schema[group].dataType.simpleString()
+    cuts = spark.createDataFrame([(g, int(at), int(n)) for g, (at, n) in last.items()], f"`{group}` {kind}, __last long, __need long")
+    near = near.join(F.broadcast(cuts), group)
     rank = F.row_number().over(Window.partitionBy(group).orderBy(hashed, key))
-    return near.withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("__n")
+    edge = near.filter("__at = __last").withColumn("__rank", rank).filter("__rank <= __need")
+    return near.filter("__at < __last").select(group, key).unionByName(edge.select(group, key))
 
 
 #: The columns that stages read; any other is carried through.

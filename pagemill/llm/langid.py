@@ -3,24 +3,27 @@
 A text is first given a language family, then a language of that family. Both
 decisions are votes of one-versus-one linear support vector machines over hashed
 byte trigrams of the letters, ties going to the larger margin. The machines are
-fitted on a bounded sample: at most ``per_lang`` training documents of each
-language, those with the least hash of doc_id, and ``MOST_ROWS`` in all. Every
-text is read whole, for fitting and for prediction.
-
-A null text, or one without a letter, is ``und`` with score 0, as is any text if
-nothing was learned. Training rows with a null doc_id count as the empty id.
+fitted on a bounded sample: at most ``per_lang`` distinct training documents of each
+language, those with the least hash of id and text, and ``MOST_ROWS`` in all. Executors
+count their trigrams; the driver gets counts, never texts. Every text is read whole,
+for fitting and for prediction.
+
+A null text, or one without a letter (of Unicode's category L), is ``und`` with score 0,
+as is any text if nothing was learned. Equal votes go to the larger sum of margins, and
+equal sums to the first language by name. Rows with a null doc_id count as the empty id.
+Repeated rows are predicted alike and learned from once; of texts of one id each counts.
+An empty table gives no rows. Columns beyond doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +44,7 @@ FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs.s
 DIM = 4096
 PER_LANG = 1000
 MOST_ROWS = 12_000
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def family(lang: str) -> str:
@@ -68,14 +71,10 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code, offsets
 
 
-def frequencies(texts: list[str]) -> np.ndarray:
-    """A row of trigram shares for each text."""
-    out = np.zeros((len(texts), DIM), dtype=np.float32)
-    for i, text in enumerate(texts):
-        code, _ = trigrams(pa.array([text], pa.large_string()))
-        row = np.bincount(code, minlength=DIM + 1)[:DIM]
-        out[i] = row / max(1, row.sum())
-    return out
+def counts(text: str) -> np.ndarray:
+    """How often each hashed trigram occurs in a text."""
+    code, _ = trigrams(pa.array([text], pa.large_string()))
+    return np.bincount(code, minlength=DIM + 1)[:DIM]
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = 60, penalty: float = 1e-4) -> np.ndarray:
@@ -123,10 +122,10 @@ class Model:
         return [x[:3] for x in flat], weights, np.array([x[3][-1] for x in flat])
 
 
-def fit(rows: list[tuple[str, str]]) -> Model:
-    """From (text, lang). Families and languages in order, so that the result does not depend on row order alone."""
-    rows = sorted(rows, key=lambda r: (r[1], r[0]))
-    x = frequencies([t for t, _ in rows])
+def fit(rows: list[tuple[np.ndarray, str]]) -> Model:
+    """From (trigram counts, lang), in any order."""
+    rows = sorted(rows, key=lambda r: (r[1], r[0].tobytes()))
+    x = np.array([r / max(1, r.sum()) for r, _ in rows], dtype=np.float32)
     langs = np.array([lang for _, lang in rows])
     homes = np.array([family(lang) for lang in langs])
     languages = {h: sorted(set(langs[homes == h])) for h in sorted(set(homes))}
@@ -187,13 +186,31 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     return names.tolist(), np.clip(score, 0, 1)
 
 
-def sample(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
-    """(text, lang) of at most ``per_lang`` rows of each language and MOST_ROWS in all."""
-    known = docs.filter("lang is not null and text is not null")
-    ids = least_hashed(known.select("doc_id", "lang"), "lang", "doc_id", per_lang)
-    # Ids are chosen before any text moves; MOST_ROWS bounds what reaches the driver.
-    ids = written(ids.orderBy("__rank", "lang").limit(MOST_ROWS).select("doc_id").distinct(), "langid-sample")
-    return [(r.text, r.lang) for r in known.join(F.broadcast(ids), "doc_id").select("text", "lang").limit(2 * MOST_ROWS).toLocalIterator()]
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [counts(t) for t in batch["text"].to_pylist()]
+        at = [np.flatnonzero(c) for c in found]
+        columns = [batch["lang"], pa.array(at, pa.list_(pa.int64())), pa.array([c[i] for c, i in zip(found, at)], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "at", "n"])
+
+
+def sample(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[np.ndarray, str]]:
+    """(trigram counts, lang) of at most ``per_lang`` texts of each language and MOST_ROWS in all."""
+    known = docs.filter("lang is not null and text is not null").select(
+        F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("key")
+    )
+    langs = known.agg(F.count_distinct("lang")).first()[0]
+    most = max(1, min(per_lang, MOST_ROWS // max(1, langs)))
+    # Keys are chosen before any text moves; MOST_ROWS bounds what is broadcast and what reaches the driver.
+    keys = written(least_hashed(known, "lang", "key", most, MOST_ROWS), "langid-sample")
+    # A repeated row has the same counts as its twin: one of them is kept.
+    rows = known.join(F.broadcast(keys), ["lang", "key"]).select("lang", "text").distinct().mapInArrow(_counted, "lang string, at array<long>, n array<long>")
+    out = []
+    for r in rows.toLocalIterator():
+        row = np.zeros(DIM, dtype=np.int64)
+        row[r.at] = r.n
+        out.append((row, r.lang))
+    return out
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -7,8 +7,12 @@ character shapes (letter, capital, digit, kinds of punctuation).
 
 Fitting uses at most ``PER_GRADE`` labelled documents of each grade, those with the
 least hash of doc_id; scoring covers every row. A null text is empty: only the
-thresholds decide. Without labelled rows every grade is null and nothing is kept.
-If a document has several labels, its least grade counts.
+thresholds decide. Without labelled rows, or with those of one grade only, every grade
+is null and nothing is kept. If a document has several labels, its least grade counts;
+labels without doc_id or grade teach nothing. Repeated rows are scored alike; of an id
+with several texts the least text is learned from. Very long texts are taken whole, in
+slices of rows. Tables without rows give none. Further columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -148,8 +152,10 @@ def labelled(docs: DataFrame, labels: DataFrame, grade: Column, per_grade: int =
     """Features and grade of the sample. Ids are chosen before any text moves."""
     graded = labels.select("doc_id", grade.cast("int").alias("grade")).filter("grade is not null and doc_id is not null")
     graded = graded.groupBy("doc_id").agg(F.min("grade").alias("grade")).join(docs.select("doc_id"), "doc_id", "left_semi")
-    chosen = written(least_hashed(graded, "grade", "doc_id", per_grade).select("doc_id", "grade"), "ordinal-sample")
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "grade")
+    chosen = written(least_hashed(graded, "grade", "doc_id", per_grade), "ordinal-sample")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # One text for each id, so that an id that repeats without end sends one row.
+    rows = rows.groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("text", "grade")
     made = rows.mapInArrow(_features, "bucket array<long>, shape array<long>, value array<double>, grade int")
     out = [(np.array(r.bucket), np.array(r.shape, dtype=np.int64), np.array(r.value), r.grade) for r in made.toLocalIterator()]
     return sorted(out, key=lambda r: (r[3], len(r[0]), r[0].tolist()[:8]))
