@@ -20,7 +20,14 @@ without decoding its neighbours.
 Segments are rows of a Parquet table (column ``payload``), because Spark's
 committer is the one writer that works on every shared store and survives lost
 executors; ``doc_ids`` and ``lengths`` list the documents of a segment, and
-``segment`` gives the order. ``layout()`` adds the global start of each segment.
+``segment`` gives the order. ``before`` counts the ids of earlier segments of the same
+part; a part is a range of documents that one task wrote, so that ``layout()`` needs the
+totals of the parts only, a row for each task of the write, to give global starts.
+
+A null or empty text has only the end id. Null doc_ids come first. Rows of one id are
+ordered by a hash of their text and then by text; repeated rows are all kept and have the
+same ids. An empty table writes no segment and gives no rows. Long texts are encoded
+whole. Columns beyond doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -47,7 +54,7 @@ BLOCK = 512
 SEGMENT_IDS = 1 << 21
 WIDTHS = (1, 1, 2)
 SEGMENT_SCHEMA = (
-    "segment long, part int, seq int, doc_ids array<long>, lengths array<long>, n_ids long, payload binary"
+    "segment long, part int, seq int, before long, doc_ids array<long>, lengths array<long>, n_ids long, payload binary"
 )
 
 
@@ -122,8 +129,10 @@ class Reader:
         return upper
 
 
-#: A run of letters, then plain punctuation: the tokenizer always splits between the two.
-STEM = re.compile(r"([^\W\d_]+)([.,!&$%#*|?;:]+)")
+#: A run of Latin letters that stay letters when lower-cased and composed (İ does not: it leaves a mark),
+#: then plain punctuation: the tokenizer always splits between the two.
+MARKS = "[\u0300-\u036f]"
+STEM = re.compile("([a-zÀ-ÖØ-öø-įı-ƿ]+)([.,!&$%#*|?;:]+)")
 
 
 class ChunkCoder:
@@ -133,8 +142,8 @@ class ChunkCoder:
     are those of its blank-free chunks in order. Arrow splits a batch and numbers
     its distinct chunks; a chunk of letters and closing punctuation is the sum of
     both, so that many chunks share a stem. A-Z are lower-cased by the tokenizer
-    in any case. Both tables start afresh when they are full, which bounds memory
-    and changes no result.
+    in any case, and here where no mark follows. Texts that may hold a special token, in whatever case, are encoded whole.
+    Both tables start afresh when they are full, which bounds memory and changes no result.
     """
 
     def __init__(self, path: str, chunks: int = 200_000, stems: int = 450_000):
@@ -145,6 +154,7 @@ class ChunkCoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
@@ -186,7 +196,22 @@ class ChunkCoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of each text's ids."""
-        low = pc.ascii_lower(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        whole = np.zeros(len(texts), dtype=bool)
+        for content in self.special:
+            whole |= pc.match_substring(texts, content, ignore_case=True).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self.encode_chunks(texts)
+        ids, size = self.encode_chunks(pc.if_else(pa.array(whole), "", texts))
+        parts = np.split(ids, np.cumsum(size)[:-1])
+        for i in np.flatnonzero(whole):
+            parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
+        return np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
+
+    def encode_chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` of texts without special tokens."""
+        # A capital and a mark may compose otherwise than its small letter does: such texts are left to the tokenizer.
+        low = pc.if_else(pc.match_substring_regex(texts, MARKS), texts, pc.ascii_lower(texts))
         for blank in "\n\t\r":
             low = pc.replace_substring(low, blank, " ")
         split = pc.split_pattern(low, " ")
@@ -243,12 +268,12 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limit:
     docs: list[int | None] = []
     lengths: list[np.ndarray] = []
     ids: list[np.ndarray] = []
-    held = seq = 0
+    held = seq = before = 0
 
     def flush() -> pa.RecordBatch:
-        row = [[(part << 32) | seq], [part], [seq], [docs], [np.concatenate(lengths).tolist()], [held], [pack(np.concatenate(ids))]]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-        names = ["segment", "part", "seq", "doc_ids", "lengths", "n_ids", "payload"]
+        row = [[(part << 32) | seq], [part], [seq], [before], [docs], [np.concatenate(lengths).tolist()], [held], [pack(np.concatenate(ids))]]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+        names = ["segment", "part", "seq", "before", "doc_ids", "lengths", "n_ids", "payload"]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], names)
 
     for batch in batches:
@@ -263,7 +288,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limit:
             held += len(withend)
             if held >= limit:
                 yield flush()
-                docs, lengths, ids, held, seq = [], [], [], 0, seq + 1
+                docs, lengths, ids, before, held, seq = [], [], [], before + held, 0, seq + 1
     if docs:
         yield flush()
 
@@ -273,15 +298,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, li
 
     Range partitions follow doc_id, so one shuffle of the texts gives the order;
     a partition writes its segments as it reads, holding one of them in memory.
-    A null text has only the end id; null ids come first; repeated ids are kept,
-    ordered by text. Returns the table of segments.
+    Rows of one id are spread by a hash of their text. Returns the table of segments.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Without the text as a second key, repeated ids would have no defined order.
-    ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()
-    )
+    # Without further keys, repeated ids would have no defined order.
+    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, F.col("text").asc_nulls_first())
     ranged.mapInArrow(lambda it: _segments(it, tokenizer, end_id, limit), SEGMENT_SCHEMA).write.mode(
         "overwrite"
     ).option("compression", "none").option("parquet.block.size", str(16 << 20)).parquet(path)
@@ -289,9 +312,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, li
 
 
 def layout(segments: DataFrame) -> DataFrame:
-    """segment, first: ids of all segments before it. One row a segment (2 M ids)."""
-    order = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    return segments.select("segment", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("first"))
+    """part, start: ids of all parts before it. One row for each task of the write."""
+    totals = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"))
+
+
+def placed(segments: DataFrame) -> DataFrame:
+    """``segments`` with first, the ids of all segments before each."""
+    return segments.join(F.broadcast(layout(segments)), "part").withColumn("first", F.col("start") + F.col("before"))
 
 
 def _decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -310,17 +339,12 @@ def _decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_tokens(segments: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone."""
-    placed = segments.join(F.broadcast(layout(segments)), "segment")
-    placed = placed.select("doc_ids", "lengths", "payload", "first")
-    return placed.mapInPandas(_decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed(segments).select("doc_ids", "lengths", "payload", "first").mapInPandas(_decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(segments: DataFrame, position: int) -> int:
     """The id at a position of the whole corpus, by random access into one segment."""
-    first = layout(segments)
-    at = segments.join(F.broadcast(first), "segment").filter(
-        (F.col("first") <= position) & (F.col("first") + F.col("n_ids") > position)
-    )
+    at = placed(segments).filter((F.col("first") <= position) & (F.col("first") + F.col("n_ids") > position))
     row = at.select("payload", "first").first()
     if row is None:
         raise IndexError(position)

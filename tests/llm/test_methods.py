@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.llm import dac, divergence, langid, mixing, ordinal, pii, simhash, suffix, topk, transducer
-from pagemill.llm.queries import TOKENIZERS
+from pagemill.llm.queries import PIECES, WORDS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -458,9 +458,9 @@ def test_codes_round_trip():
 def test_token_files(spark, docs, texts, tmp_path):
     from tokenizers import Tokenizer
 
-    tk = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
+    tk = Tokenizer.from_file(WORDS)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    segments = dac.write_tokens(docs, str(tmp_path / "t"), f"{TOKENIZERS}/word_bpe_49k.json", limit=5000)
+    segments = dac.write_tokens(docs, str(tmp_path / "t"), WORDS, limit=5000)
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert segments.count() > 1
     start, flat = 0, []
@@ -475,25 +475,43 @@ def test_token_files(spark, docs, texts, tmp_path):
         assert dac.lookup(segments, at) == flat[at]
     with pytest.raises(IndexError):
         dac.lookup(segments, len(flat))
+    twice = docs.unionByName(docs.limit(20)).unionByName(spark.createDataFrame([(1, "another text")], "doc_id long, text string"), allowMissingColumns=True)
+    rows = sorted(dac.roundtrip(twice, WORDS).collect(), key=lambda r: r.start)
+    assert len(rows) == len(texts) + 21 and [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:]))
 
 
 def test_words_of_odd_letters():
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = WORDS
     tk, odd = Tokenizer.from_file(path), ["İstanbul ℵ क़ éte don't I'LL ﬁne ǅ", "", " ", "Ⅷ ª 漢字 한국어 😀x under_score 3rd", "<|endoftext|> a"]
     ids, size = dac.ChunkCoder(path).encode(pa.array(odd))
     want = [x.ids for x in tk.encode_batch(odd, add_special_tokens=False)]
     assert size.tolist() == [*map(len, want)] and ids.tolist() == [i for x in want for i in x]
 
 
+def test_random_texts_have_the_librarys_ids():
+    import random
+
+    from tokenizers import Tokenizer
+
+    tk, code, rng = Tokenizer.from_file(WORDS), dac.coder(WORDS), random.Random(11)
+    alphabet = [*"abzAZHTIéÉßİıſKǅŉ½²①٣漢हक़ड़ש🙂’'.,!?;:#*$%&|<>- \t\n\x0b\r", "\u00a0", "\u0307", "\u0331", "\u093c", "\u05b7", "\ufb2a", "<|endoftext|>", "<|EndOfText|>", "don't"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
+    texts += [f"{w}{e}" for w in ("İ", "é", "क़", "ﬁ", "H\u0331", "I\u0307", "²", "ǆ", "ẞ", "ŉ") for e in (".", "?;", "!x", "'s")]
+    ids, size = code.encode(pa.array(texts, pa.large_string()))
+    want = [x.ids for x in tk.encode_batch(texts, add_special_tokens=False)]
+    assert size.tolist() == [*map(len, want)] and ids.tolist() == [i for x in want for i in x]
+
+
 # -- 9
 
 
 def test_pieces_like_the_library(texts):
     import sentencepiece
 
-    path = f"{TOKENIZERS}/piece_bpe_32k.model"
+    path = PIECES
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     machine = transducer.compiled(path)
     odd = ["", " ", "  a   b ", "tab\there\nline\r\n", "漢字 😀​", "\u0000x", "aaaaaaaaaaaaaaaa" * 9, "https://x.y/z?q=1&r=2", "▁x ▁▁y", "<s> </s> <unk>", "don't 3.14%"]
