@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm import mixing, topk
 from pagemill.llm.common import table
 
-TOKENIZERS = os.environ.get("PAGEMILL_TOKENIZERS", "/opt/tokenizers")
+WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op8_directly_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.llm import dac
 
-    return dac.roundtrip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return dac.roundtrip(table(spark, sf_dir, "documents"), WORDS)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op10_ordinal_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_weighted_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.llm import transducer
 
-    return transducer.encoded(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return transducer.encoded(table(spark, sf_dir, "documents"), PIECES)
 
 
 def op5_block_pruned_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

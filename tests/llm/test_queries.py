@@ -4,10 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.llm import dac, divergence, langid, mixing, ordinal, pii, simhash, suffix, topk, transducer
-from pagemill.llm.queries import ORACLES, QUERIES, TOKENIZERS
+from pagemill.llm.queries import ORACLES, PIECES, QUERIES, WORDS
 from tests.conftest import normal
 
-WORDS, PIECES = f"{TOKENIZERS}/word_bpe_49k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
 ALL = {
     "op1": mixing.mixed, "op2": langid.language_id, "op3": pii.pseudonymised, "op4": divergence.quality, "op6": suffix.score,
     "op7": simhash.near_duplicates, "op8": lambda d: dac.roundtrip(d, WORDS), "op9": lambda d: transducer.encoded(d, PIECES),
@@ -66,10 +65,32 @@ def test_ordinal_odd(spark, odd_docs, no_docs):
 
 def test_top_k_odd(spark):
     rows = [(20, [1.0, float("nan")]), (40, None), (60, [1.0, None]), (None, [1.0, 1.0]), (80, [1.0, 2.0]), (80, [1.0, 2.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [1.0]), (4, []), (100, [1e9, 1e9])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = topk.top_k(df, lambda i: i % 20 == 0, 3).filter("query_id = 80").orderBy("rank", "vec_id").collect()
-    assert [r.vec_id for r in got][:3] == [100, 100, 1] or [r.vec_id for r in got][:3] == [100, 1, 2]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(c) for c in ("id", "v", "n", "ids", "score", "rank", "query_id")})
+    got = topk.top_k(df, lambda i: i % 20 == 0, 3).filter("query_id = 80").orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in got] == [(1, 100), (2, 1), (3, 2)]
     assert topk.top_k(df.limit(0), lambda i: i % 20 == 0, 3).count() == 0
+    assert topk.top_k(df, lambda i: i < 0, 3).count() == 0
+
+
+def test_top_k_of_repeated_ids(spark):
+    """An id counts once, with its best score, as query and as candidate; equal scores go to the smaller id."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    rows = [(int(i), rng.integers(-3, 4, 5).astype(float).tolist()) for i in rng.integers(0, 60, 400)]
+    rows += rows[:50] + [(20, [1.0] * 5)] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = {}
+    for q, x in rows:
+        if q % 20 == 0:
+            for d, y in rows:
+                if d != q:
+                    s = sum(int(64 * a) * int(64 * b) for a, b in zip(x, y))
+                    want.setdefault(q, {})[d] = max(s, want.get(q, {}).get(d, s))
+    got = {}
+    for r in topk.top_k(df, lambda i: i % 20 == 0, 7).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == {q: sorted(found.items(), key=lambda f: (-f[1], f[0]))[:7] for q, found in want.items()}
 
 
 def test_queries_over_whole_tables(spark, sf_dir):
