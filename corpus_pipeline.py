@@ -7,14 +7,11 @@ return the columns of ``docs``.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm import divergence, mixing, pii, simhash, transducer
 from pagemill.llm.common import table, written
-
-TOKENIZERS = os.environ.get("PAGEMILL_TOKENIZERS", "/opt/tokenizers")
+from pagemill.llm.queries import PIECES
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +31,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return transducer.encoded(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return transducer.encoded(docs, PIECES)
 
 
 STAGES = [
