@@ -44,12 +44,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Cut the lineage: write to a path of the shared folder and read back."""
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``stored`` at a path of its own."""
+    return stored(df, new_path(df.sparkSession, label))
 
 
 def removed(spark: SparkSession, path: str) -> None:

@@ -1,8 +1,8 @@
 """Operator 1: mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells of source, language and topic. The tokens of the cells
-are raked: each margin in turn is scaled to its target shares, round after round,
-which gives every cell a weight. A document is sampled with a probability in
+are raked: each margin in turn is scaled to its target shares, round after round, until
+no scale differs from one by more than ``TOLERANCE``, which gives every cell a weight. A document is sampled with a probability in
 proportion to its cell's weight, scaled so that the largest is one: no document is
 repeated, and the expected tokens of the sample have the target margins.
 
@@ -14,9 +14,16 @@ that a rerun, or another cluster, takes the same documents.
 Every category has its own share, whatever their number: up to ``CELLS`` cells are
 raked on the driver, more by aggregations over the table of cells.
 
-A null or empty text has no tokens and is sampled like its cell. Null source or
-language is the category "". A null doc_id counts as the empty id; repeated rows
-of an id are taken or left together.
+A document's topic is read from the column that ``Mix.column`` names, or else is the
+name of the pattern of ``Mix.topics`` with most matches in its whole text: the first of
+equals in the order of the patterns, ``PLAIN`` if there are none.
+
+A null or empty text has no tokens and is sampled like its cell. Null source, language or
+topic is the category "". A null doc_id counts as the empty id; repeated rows
+of an id in one cell are taken or left together. Targets that no document can meet, as of
+categories without tokens, are left out and the others scaled to one; targets that
+contradict each other are approached for ``ROUNDS`` rounds. An empty table gives no rows.
+Columns of clashing names are carried through (``sampled``) or not read (``mixed``).
 """
 
 from __future__ import annotations
@@ -27,19 +34,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import WORD, carried, written
+from pagemill.llm.common import WORD, carried, new_path, removed, stored, written
 
 MARGINS = ("source", "lang", "topic")
-#: Of the SQL: it pools the categories beyond these.
-MOST = {"source": 1000, "lang": 100}
 MOST_GAIN = 1.25
-#: Of the SQL.
-OTHER = "(other)"
 CELLS = 100_000
-ROUNDS = 12
+ROUNDS, TOLERANCE = 200, 1e-12
+#: Of the SQL, which has no convergence test: it goes on further than any of the driver's tables needs.
+SQL_ROUNDS = 40
 SEED = "mix"
 
-#: A document's topic is the one with most marks, the first of equals, or the last if there are none.
+#: Topics by marks in the text, for tables that have no column of topics.
 TOPICS = {
     "legal": r"[Ll]icen[cs]e|LICEN[CS]E|[Cc]opyright|[Ww]arranty|[Pp]ermission",
     "contact": r"[A-Za-z0-9]@[A-Za-z0-9]|\+[0-9]",
@@ -50,28 +55,33 @@ PLAIN = "general"
 
 @dataclass(frozen=True)
 class Mix:
-    """power: how far each margin is tempered (1: as it is). targets: shares instead, by margin; what they leave out gets nothing."""
+    """power: how far each margin is tempered (1: as it is). targets: shares instead, by margin; what they leave out gets nothing.
+
+    column: a column of topics; without one they come from ``topics``, name -> pattern.
+    """
 
     power: dict[str, float] = field(default_factory=lambda: {"source": 0.6, "lang": 0.85, "topic": 0.85})
     targets: dict[str, dict[str, float]] = field(default_factory=dict)
     rounds: int = ROUNDS
     seed: str = SEED
+    column: str | None = None
+    topics: dict[str, str] = field(default_factory=lambda: dict(TOPICS))
 
 
-def topic(text: Column) -> Column:
-    hits = [F.regexp_count(text, F.lit(p)) for p in TOPICS.values()]
-    best = F.greatest(*hits)
+def topic(text: Column, topics: dict[str, str]) -> Column:
+    hits = [F.regexp_count(text, F.lit(p)) for p in topics.values()]
+    best = F.greatest(F.lit(0), F.lit(0), *hits)
     out = F.lit(PLAIN)
-    for name, n in reversed([*zip(TOPICS, hits)]):
+    for name, n in reversed([*zip(topics, hits)]):
         out = F.when((n > 0) & (n == best), F.lit(name)).otherwise(out)
     return out
 
 
-def with_cell(docs: DataFrame) -> DataFrame:
+def with_cell(docs: DataFrame, mix: Mix) -> DataFrame:
     """``docs`` with the struct __cell: n_tokens, source, lang, topic."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
-    parts = [F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"), name("source").alias("source"), name("lang").alias("lang"), topic(text).alias("topic")]
+    parts = [F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"), name("source").alias("source"), name("lang").alias("lang"), (name(mix.column) if mix.column else topic(text, mix.topics)).alias("topic")]
     return docs.withColumn("__cell", F.struct(*parts))
 
 
@@ -102,9 +112,13 @@ def rake(cells: list[tuple[str, str, str, int]], mix: Mix = Mix()) -> dict[tuple
         targets.append(want)
     weight = np.ones(len(cells))
     for _ in range(mix.rounds):
+        apart = 0.0
         for code, want in zip(codes, targets):
             held = np.bincount(code, weight * tokens, len(want))
-            weight = weight * np.divide(want * total, held, where=held > 0, out=np.ones_like(held))[code]
+            scale = np.divide(want * total, held, where=held > 0, out=np.ones_like(held))
+            weight, apart = weight * scale[code], max(apart, float(np.abs(scale - 1).max()))
+        if apart < TOLERANCE:
+            break
     top = weight[tokens > 0].max(initial=0.0)
     p = np.minimum(1.0, weight / top) if top > 0 else np.ones(len(cells))
     return {tuple(c[:3]): (round(float(w), 6), round(float(q), 9)) for c, w, q in zip(cells, weight, p)}
@@ -136,12 +150,22 @@ def rake_table(cells: DataFrame, mix: Mix) -> DataFrame:
     """``cells`` (source, lang, topic, n) with w and p, as ``rake`` has them, without the driver."""
     total = float(cells.agg(F.sum("n")).first()[0] or 0)
     shares = {m: wanted(cells, m, total, mix) for m in MARGINS}
+    spark, last = cells.sparkSession, None
     out = cells.withColumn("w", F.lit(1.0))
     for _ in range(mix.rounds):
+        apart = 0.0
         for m in MARGINS:
             held = out.groupBy(m).agg(F.sum(F.col("w") * F.col("n")).alias("held")).join(shares[m], m)
             scale = held.select(m, F.when(F.col("held") > 0, F.col("want") * F.lit(total) / F.col("held")).otherwise(F.lit(1.0)).alias("scale"))
-            out = written(out.join(scale, m).select(*MARGINS, "n", (F.col("w") * F.col("scale")).alias("w")), "mix-raked")
+            scale = written(scale, "mix-scale")
+            apart = max(apart, scale.agg(F.max(F.abs(F.col("scale") - 1))).first()[0] or 0.0)
+            path = new_path(spark, "mix-raked")
+            out = stored(out.join(scale, m).select(*MARGINS, "n", (F.col("w") * F.col("scale")).alias("w")), path)
+            if last:
+                removed(spark, last)
+            last = path
+        if apart < TOLERANCE:
+            break
     top = out.filter("n > 0").agg(F.max("w")).first()[0] or 0.0
     return out.withColumn("p", F.least(F.lit(1.0), F.col("w") / F.lit(top)) if top > 0 else F.lit(1.0))
 
@@ -165,8 +189,8 @@ def joined(docs: DataFrame, found: DataFrame, mix: Mix) -> DataFrame:
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """doc_id, n_tokens, source, lang, topic, weight, probability, sampled of every row."""
-    columns = [c for c in ("doc_id", "text", "source", "lang") if c in docs.columns]
-    cells = written(with_cell(docs.select(*columns)).select("doc_id", "__cell"), "mix-cells")
+    columns = [c for c in dict.fromkeys(("doc_id", "text", "source", "lang", mix.column)) if c in docs.columns]
+    cells = written(with_cell(docs.select(*columns), mix).select("doc_id", "__cell"), "mix-cells")
     found = weights(cells.select("__cell.*"), mix)
     return joined(cells, found, mix).select(
         F.col("doc_id").cast("long").alias("doc_id"), "__cell.n_tokens", "__cell.source", "__cell.lang", "__cell.topic",
@@ -177,7 +201,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 @carried
 def sampled(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The rows of ``docs`` that are sampled. Cells are computed twice, so that no text is shuffled."""
-    celled = with_cell(docs)
+    celled = with_cell(docs, mix)
     # Summed by raw categories first: three scans of the texts become one.
     sums = celled.select("__cell.*").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n_tokens"))
     found = weights(sums, mix)
@@ -193,10 +217,7 @@ def _oracle(mix: Mix = Mix()) -> str:
         f"d0 AS MATERIALIZED (SELECT doc_id, {count(WORD)} AS n_tokens, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {hits} FROM documents)",
         f"d AS MATERIALIZED (SELECT doc_id, CAST(n_tokens AS BIGINT) AS n_tokens, source, lang, CASE {case} ELSE '{PLAIN}' END AS topic FROM d0)",
     ]
-    for m, most in MOST.items():
-        out.append(f"top_{m} AS (SELECT {m} FROM d GROUP BY {m} ORDER BY sum(n_tokens) DESC, {m} LIMIT {most})")
-    keys = [f"CASE WHEN {m} IN (SELECT {m} FROM top_{m}) THEN {m} ELSE '{OTHER}' END AS c_{m}" if m in MOST else f"{m} AS c_{m}" for m in MARGINS]
-    out.append(f"e AS MATERIALIZED (SELECT *, {', '.join(keys)} FROM d)")
+    out.append("e AS MATERIALIZED (SELECT *, source AS c_source, lang AS c_lang, topic AS c_topic FROM d)")
     names = ", ".join(f"c_{m}" for m in MARGINS)
     out.append(f"w0 AS MATERIALIZED (SELECT {names}, CAST(sum(n_tokens) AS DOUBLE) AS n, CAST(1 AS DOUBLE) AS g FROM e GROUP BY {names})")
     for m in MARGINS:
@@ -207,7 +228,7 @@ def _oracle(mix: Mix = Mix()) -> str:
             f"t_{m} AS MATERIALIZED (SELECT c_{m}, t / (SELECT sum(t) FROM q_{m}) * (SELECT sum(n) FROM w0) AS want FROM q_{m})",
         ]
     step = 0
-    for _ in range(mix.rounds):
+    for _ in range(SQL_ROUNDS):
         for m in MARGINS:
             held = f"sum(g * n) OVER (PARTITION BY w{step}.c_{m})"
             cols = ", ".join(f"w{step}.c_{x}" for x in MARGINS)

@@ -8,10 +8,13 @@ document and distinct values stay distinct within a format:
   last digit is computed anew, so that the pseudonym is valid too;
 * telephone numbers: the country code and the punctuation stay; North American
   area and exchange codes keep a first digit of 2 to 9, or of 0 and 1 after +1;
-* IPv4 addresses; US social security numbers (no area 000, 666 or 9xx, ...);
+* IPv4 addresses: every octet keeps its width and a leading zero;
+* US social security numbers (no area 000, 666 or 9xx, ...);
 * IBANs (mod 97): letters and digits keep their places, check digits are anew;
 * dates (2001-02-28, 28.02.2001, 02/28/2001; day first with slashes where only
-  that is valid) from 1800 to 2199: permuted within these 146,097 days;
+  that is valid) from 1800 to 2199: with two digits each for day and month permuted
+  within these 146,097 days, else within the days and months of the same widths and
+  leading zeros, and the 400 years; a 29 February of these within the 97 leap years;
 * e-mail addresses: letters and digits of the local part, upper case kept;
 * credentials (key ids, values of password, secret and token): each character
   within its class.
@@ -21,8 +24,13 @@ two halves which take turns in being shifted, digit by digit modulo its radix, b
 stream that SHA-512 makes of key, kind, round and the other half. Everything is
 built from SQL functions; a text without a digit or @ is not looked at closely.
 
-A null text stays null, an empty one empty. The key is part of the plan as a digest
-for each kind: event logs of a production run are to be kept as safe as the key.
+A null text stays null, an empty one empty; long texts are searched whole. Repeated rows
+get the same pseudonyms, as does a value wherever it occurs. An empty table gives no rows.
+Of overlapping candidates the leftmost is taken, of equal ones the kind that comes first.
+``in_place`` carries further columns of any name, ``pseudonymised`` does not read them.
+
+There is no default key: without ``CONF`` or an argument an error is raised. The key is part
+of the plan as a digest for each kind: event logs are to be kept as safe as the key.
 """
 
 from __future__ import annotations
@@ -38,7 +46,6 @@ from pagemill.llm.common import carried
 
 ROUNDS = 10
 CONF = "spark.pagemill.pii.key"
-DEFAULT_KEY = "change-me"
 
 #: Characters of an IBAN by country.
 IBAN_LENGTH = {
@@ -179,10 +186,14 @@ def ssn(value: Column, key: str) -> Column:
 
 def ipv4(value: Column, key: str) -> Column:
     def image(x: Column) -> Column:
-        moved = F.array_join(feistel(x, longs(256, 256, 256, 256), key).cast("array<string>"), ".")
-        return F.when(F.forall(x, lambda o: o < 256), moved).otherwise(value)
+        zero = lambda o: F.startswith(o, F.lit("0")) & (F.length(o) > 1)
+        least = lambda o: F.when(zero(o) | (F.length(o) == 1), 0).when(F.length(o) == 2, 10).otherwise(100).cast("long")
+        radix = lambda o: F.when(zero(o), F.pow(F.lit(10), F.length(o) - 1)).when(F.length(o) == 1, 10).when(F.length(o) == 2, 90).otherwise(156).cast("long")
+        moved = feistel(F.transform(x, lambda o: o.cast("long") - least(o)), F.transform(x, radix), key)
+        shown = F.zip_with(x, moved, lambda o, v: F.lpad((v + least(o)).cast("string"), F.length(o), F.lit("0")))
+        return F.when(F.forall(x, lambda o: o.cast("long") < 256), F.array_join(shown, ".")).otherwise(value)
 
-    return let(F.transform(F.split(value, r"\."), lambda p: p.cast("long")), image)
+    return let(F.split(value, r"\."), image)
 
 
 def phone(value: Column, key: str) -> Column:
@@ -213,37 +224,76 @@ def phone(value: Column, key: str) -> Column:
 
 #: Days of 400 years; 146,097 is their product.
 DAY_RADICES = (189, 773)
+FIRST_YEAR, YEARS = 1800, 400
+LEAP_YEARS = [y for y in range(FIRST_YEAR, FIRST_YEAR + YEARS) if y % 4 == 0 and (y % 100 != 0 or y % 400 == 0)]
+
+
+def month_days(months: range, days: range) -> Column:
+    """100 * month + day of a common year's days in both ranges."""
+    last = lambda m: 28 if m == 2 else 30 if m in (4, 6, 9, 11) else 31
+    return longs(*(100 * m + d for m in months for d in days if d <= last(m)))
+
+
+def by_day(x: Column, key: str) -> Column:
+    """The image of a date (y, m, d) among all days of the 400 years."""
+    first = F.lit(f"{FIRST_YEAR}-01-01").cast("date")
+    n = F.datediff(x["day"], first).cast("long")
+    d = F.array(F.floor(n / DAY_RADICES[1]), n % DAY_RADICES[1])
+    back = lambda y: F.date_format(F.date_add(first, (y.getItem(0) * DAY_RADICES[1] + y.getItem(1)).cast("int")).cast("timestamp_ntz"), "yyyy-MM-dd")
+    return let(let(feistel(d, longs(*DAY_RADICES), key), back), lambda iso: F.struct(F.substring(iso, 1, 4).alias("y"), F.substring(iso, 6, 2).alias("m"), F.substring(iso, 9, 2).alias("d")))
+
+
+def by_width(x: Column, key: str) -> Column:
+    """The image of a date among those whose day and month have the same widths and leading zeros."""
+    small, large, zero = range(1, 10), range(10, 13), lambda c: F.startswith(c, F.lit("0"))
+    short = lambda c: F.length(c) == 1
+    # A day first that would also be a month is read as a month, so that those days stay above 12.
+    kind = (
+        F.when((x["form"] == "day") & short(x["m"]), month_days(small, range(13, 32))).when(x["form"] == "day", month_days(range(1, 13), range(13, 32)))
+        .when(short(x["m"]) & ~short(x["d"]) & ~zero(x["d"]), month_days(small, range(10, 32)))
+        .when(short(x["d"]) & ~short(x["m"]) & ~zero(x["m"]), month_days(large, small)).otherwise(month_days(small, small))
+    )
 
+    def image(z: Column) -> Column:
+        leap, year = z["at"] == 229, x["y"].cast("long")
+        digits = F.when(leap, F.array(F.array_position(longs(*LEAP_YEARS), year) - 1)).otherwise(F.array(F.array_position(z["kind"], z["at"]) - 1, year - FIRST_YEAR))
+        radices = F.when(leap, longs(len(LEAP_YEARS))).otherwise(F.array(F.size(z["kind"]).cast("long"), F.lit(YEARS).cast("long")))
 
-def date(value: Column, key: str) -> Column:
-    first = F.lit("1800-01-01").cast("date")
+        def back(o: Column) -> Column:
+            place = (o.getItem(0) + 1).cast("int")
+            at = F.when(leap, z["at"]).otherwise(F.element_at(z["kind"], place))
+            y = F.when(leap, F.element_at(longs(*LEAP_YEARS), place)).otherwise(o.getItem(1) + FIRST_YEAR)
+            show = lambda v, like: F.lpad(v.cast("string"), F.length(like), F.lit("0"))
+            return F.struct(y.cast("string").alias("y"), show(F.floor(at / 100), x["m"]).alias("m"), show(at % 100, x["d"]).alias("d"))
 
-    def image(x: Column) -> Column:
-        day = x["day"]
-        valid = day.isNotNull() & day.between(first, F.lit("2199-12-31").cast("date"))
-        n = F.datediff(day, first).cast("long")
-        d = F.array(F.floor(n / DAY_RADICES[1]), n % DAY_RADICES[1])
-        show = lambda y: F.date_format(F.date_add(first, (y.getItem(0) * DAY_RADICES[1] + y.getItem(1)).cast("int")).cast("timestamp_ntz"), "yyyy-MM-dd")
+        return let(feistel(digits, radices, f"{key}/width"), back)
 
-        def layout(iso: Column) -> Column:
-            y, m, d_ = F.substring(iso, 1, 4), F.substring(iso, 6, 2), F.substring(iso, 9, 2)
-            return (
-                F.when(x["form"] == "iso", iso).when(x["form"] == "dot", F.concat_ws(".", d_, m, y))
-                .when(x["form"] == "month", F.concat_ws("/", m, d_, y)).otherwise(F.concat_ws("/", d_, m, y))
-            )
+    return let(F.struct((x["m"].cast("long") * 100 + x["d"].cast("long")).alias("at"), kind.alias("kind")), image)
 
-        return F.when(valid, let(let(feistel(d, longs(*DAY_RADICES), key), show), layout)).otherwise(value)
 
+def date(value: Column, key: str) -> Column:
     parts = F.split(value, r"[-./]")
-    at = lambda i, n: F.lpad(parts.getItem(i), n, "0")
-    as_date = lambda y, m, d: F.concat_ws("-", at(y, 4), at(m, 2), at(d, 2)).try_cast("date")
-    month_first, day_first = as_date(2, 0, 1), as_date(2, 1, 0)
+    as_date = lambda y, m, d: F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
+
+    def row(form: str, y: int, m: int, d: int) -> Column:
+        y_, m_, d_ = (parts.getItem(i) for i in (y, m, d))
+        return F.struct(F.lit(form).alias("form"), y_.alias("y"), m_.alias("m"), d_.alias("d"), as_date(y_, m_, d_).alias("day"))
+
     form = (
-        F.when(F.contains(value, F.lit("-")), F.lit("iso")).when(F.contains(value, F.lit(".")), F.lit("dot"))
-        .when(month_first.isNotNull(), F.lit("month")).otherwise(F.lit("day"))
+        F.when(F.contains(value, F.lit("-")), row("iso", 0, 1, 2)).when(F.contains(value, F.lit(".")), row("dot", 2, 1, 0))
+        .when(as_date(parts.getItem(2), parts.getItem(0), parts.getItem(1)).isNotNull(), row("month", 2, 0, 1)).otherwise(row("day", 2, 1, 0))
     )
-    day = F.when(F.contains(value, F.lit("-")), as_date(0, 1, 2)).when(F.contains(value, F.lit(".")), day_first).otherwise(F.coalesce(month_first, day_first))
-    return let(F.struct(day.alias("day"), form.alias("form")), image)
+
+    def image(x: Column) -> Column:
+        valid = x["day"].isNotNull() & F.year(x["day"]).between(FIRST_YEAR, FIRST_YEAR + YEARS - 1)
+        wide = (F.length(x["m"]) == 2) & (F.length(x["d"]) == 2) & (x["form"] != "day")
+        layout = lambda o: (
+            F.when(x["form"] == "iso", F.concat_ws("-", o["y"], o["m"], o["d"])).when(x["form"] == "dot", F.concat_ws(".", o["d"], o["m"], o["y"]))
+            .when(x["form"] == "month", F.concat_ws("/", o["m"], o["d"], o["y"])).otherwise(F.concat_ws("/", o["d"], o["m"], o["y"]))
+        )
+        return F.when(valid & wide, let(by_day(x, key), layout)).when(valid, let(by_width(x, key), layout)).otherwise(value)
+
+    return let(form, image)
 
 
 def _mod97(text: Column) -> Column:
@@ -312,8 +362,11 @@ def with_pseudonyms(docs: DataFrame, key: str, column: str = "text") -> DataFram
 
 
 def key_of(docs: DataFrame) -> str:
-    """The session's secret key."""
-    return docs.sparkSession.conf.get(CONF, DEFAULT_KEY)
+    """The session's secret key; a run without one is refused, since anyone could invert its pseudonyms."""
+    key = docs.sparkSession.conf.get(CONF, None)
+    if not key:
+        raise ValueError(f"set {CONF}")
+    return key
 
 
 def pseudonymised(docs: DataFrame, key: str | None = None) -> DataFrame:

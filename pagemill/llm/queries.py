@@ -13,6 +13,13 @@ from pagemill.llm.common import table
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
+def key_for_checks(spark: SparkSession) -> str:
+    """The session's key; else a published one, fit for synthetic tables only: the operator itself has no default."""
+    from pagemill.llm import pii
+
+    return spark.conf.get(pii.CONF, "published key for synthetic tables")
+
+
 def op8_directly_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.llm import dac
 
@@ -62,7 +69,7 @@ def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.llm import pii
 
-    return pii.pseudonymised(table(spark, sf_dir, "documents"))
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), key_for_checks(spark))
 
 
 def op1_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,10 +50,20 @@ def test_rake_without_tokens():
     assert mixing.rake([]) == {} and mixing.rake([("a", "b", "c", 0)]) == {("a", "b", "c"): (1.0, 1.0)}
 
 
-def test_pooled_sources_take_part(spark, docs, monkeypatch):
-    monkeypatch.setitem(mixing.MOST, "source", 3)
-    out = mixing.mixed(docs)
-    assert out.count() == docs.count() and out.filter("probability is null").count() == 0
+def test_given_topics_and_ties(spark, monkeypatch):
+    """A column of topics, patterns of the caller, ties by their order, a source named like any other, targets without documents."""
+    rows = [(i, "cat dog" if i % 2 else "dog bird fish", "en", "(other)" if i % 5 else None, f"t{i % 3}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    mix = mixing.Mix(topics={"pets": "cat|fish", "dogs": "dog"}, targets={"topic": {"pets": 1.0}, "source": {"(other)": 0.5, "": 0.4, "absent": 0.1}})
+    out = mixing.mixed(df, mix).collect()
+    assert {r.topic for r in out} == {"pets"} and {r.source for r in out} == {"(other)", ""}
+    held = lambda c, v, rows: sum(r.weight * r.n_tokens for r in rows if r[c] == v) / sum(r.weight * r.n_tokens for r in rows)
+    assert abs(held("source", "", out) - 4 / 9) < 1e-5
+    given = mixing.Mix(column="topic", targets={"topic": {"t0": 0.2, "t1": 0.3, "t2": 0.5}})
+    for cells in (mixing.CELLS, 0):
+        monkeypatch.setattr(mixing, "CELLS", cells)
+        out = mixing.mixed(df, given).collect()
+        assert all(abs(held("topic", t, out) - v) < 1e-4 for t, v in given.targets["topic"].items())
 
 
 def test_every_source_has_its_own_share(spark, monkeypatch):
@@ -168,6 +178,33 @@ def test_no_value_stays_in_clear(spark):
     assert len(set(out)) == 100 and all(re.fullmatch(r"\+1 [01]\d\d \d{3}-\d{4}", x) for x in out)
 
 
+def test_widths_stay(spark):
+    """Dates and addresses keep widths, leading zeros and validity, and distinct ones stay distinct."""
+    shapes = {
+        "1/2/2001": r"[1-9]/[1-9]/\d{4}", "3.4.1990": r"[1-9]\.[1-9]\.\d{4}", "1/12/2001": r"[1-9]/[1-3]\d/\d{4}", "1/05/2001": r"[1-9]/0\d/\d{4}", "11/5/2001": r"1[0-2]/[1-9]/\d{4}",
+        "25/3/2001": r"(1[3-9]|[23]\d)/[1-9]/\d{4}", "25/03/2001": r"(1[3-9]|[23]\d)/[01]\d/\d{4}", "29.2.2000": r"29\.2\.\d{4}", "02/28/2001": r"\d\d/\d\d/\d{4}",
+        "192.168.001.001": r"(1\d\d|2[0-5]\d)\.(1\d\d|2[0-5]\d)\.0\d\d\.0\d\d", "10.0.0.1": r"[1-9]\d\.\d\.\d\.\d",
+    }
+    for (text, shape), out in zip(shapes.items(), pseudonyms(spark, *shapes)):
+        assert out != text and re.fullmatch(shape, out), (text, out)
+    import datetime
+
+    for form, span in (("{0.month}/{0.day}/{0.year}", 3000), ("{0.day}.{0.month}.{0.year}", 3000)):
+        days = [datetime.date(1999, 1, 1) + datetime.timedelta(i) for i in range(span)]
+        df = spark.createDataFrame([(form.format(d),) for d in days], "t string")
+        out = [r[0] for r in df.select(pii.date(F.col("t"), "k")).collect()]
+        assert len(set(out)) == span
+        order = (2, 0, 1) if "/" in form else (2, 1, 0)
+        for a, b in zip(df.collect(), out):
+            datetime.date(*(int(re.split(r"[./]", b)[i]) for i in order))
+            assert [*map(len, re.split(r"[./]", a[0]))] == [*map(len, re.split(r"[./]", b))]
+
+
+def test_no_key_no_pseudonyms(spark):
+    with pytest.raises(ValueError):
+        pii.pseudonymised(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+
+
 # -- 4
 
 

@@ -4,14 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.llm import dac, divergence, langid, mixing, ordinal, pii, simhash, suffix, topk, transducer
-from pagemill.llm.queries import ORACLES, PIECES, QUERIES, WORDS
+from pagemill.llm.queries import ORACLES, PIECES, QUERIES, WORDS, key_for_checks
 from tests.conftest import normal
 
 ALL = {
-    "op1": mixing.mixed, "op2": langid.language_id, "op3": pii.pseudonymised, "op4": divergence.quality, "op6": suffix.score,
+    "op1": mixing.mixed, "op2": langid.language_id, "op3": lambda d: pii.pseudonymised(d, "k"), "op4": divergence.quality, "op6": suffix.score,
     "op7": simhash.near_duplicates, "op8": lambda d: dac.roundtrip(d, WORDS), "op9": lambda d: transducer.encoded(d, PIECES),
 }
-STAGES = {"op1": mixing.sampled, "op3": pii.in_place, "op4": divergence.keep_good, "op7": simhash.keep_one}
+STAGES = {"op1": mixing.sampled, "op3": lambda d: pii.in_place(d, "k"), "op4": divergence.keep_good, "op7": simhash.keep_one}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -110,5 +110,5 @@ def test_pipeline(spark, sf_dir):
     assert kept.count() == out.count()
     good = divergence.quality(docs).filter("kept").select("doc_id")
     assert kept.join(good, "doc_id", "left_anti").count() == 0
-    at_hand = pii.in_place(docs).join(kept, "doc_id").select("doc_id", F.col("text").alias("t"))
+    at_hand = pii.in_place(docs, key_for_checks(spark)).join(kept, "doc_id").select("doc_id", F.col("text").alias("t"))
     assert out.join(at_hand, "doc_id").filter("decoded <> t").count() == 0
