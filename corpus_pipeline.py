@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm import divergence, mixing, pii, simhash, transducer
 from pagemill.llm.common import table, written
-from pagemill.llm.queries import PIECES
+from pagemill.llm.queries import PIECES, key_for_checks
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.in_place(docs)
+    return pii.in_place(docs, key_for_checks(spark))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
