@@ -2,39 +2,35 @@
 
 A document is rejected by base rules (too few words, too much repetition), or if
 its histogram of character classes or of common words is too far, by
-Jensen-Shannon divergence in bits, from its language's reference. References are
-learned from all documents that pass the base rules. Short texts scatter: each
-limit widens in inverse proportion to the length, and texts under ``Limits.min_words`` words
-are not judged by it.
-
-A null text has no words. The common words of a language without a word list are its
-most frequent ones in documents that pass the base rules. A document whose lang is null
-is compared with the language whose common words it holds most of; if it holds none,
-only the base rules apply.
+Jensen-Shannon distance (the root of the divergence in bits), from its language's
+reference. Common words, the ``SIZE`` most frequent words of letters of each language,
+and references are learned from all documents that pass the base rules. Short texts
+scatter: limits widen with the root of the inverse length, and texts under
+``Limits.min_words`` words are not judged by them.
+
+A null or empty text has no words. A document without a lang is compared with the
+language whose common words it holds most of, the first by name of equals; if it holds
+none, or no document of its language passes the base rules, only the base rules apply.
+Repeated rows are judged alike and learned from as often as they occur; equally frequent
+words come in the order of their bytes. Long texts are read whole. An empty table gives
+no rows. Columns beyond doc_id, text and lang are carried by ``keep_good``, whatever
+their names, and not read otherwise.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import WORD, carried, written
-from pagemill.llm.tokens import byte_table, slices, words
-
-COMMON = {
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden".split(),
-    "en": "the of and to a in is that it for on was with as be this by at are from or an have not".split(),
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o".split(),
-    "fr": "de la le et les des en un du une est que pour qui dans au sur par pas avec il ce se ne".split(),
-    "it": "di e il la che in a per è un del con non una i le da si al dei come della sono più".split(),
-    "nl": "de van het een en in is dat op te met zijn voor niet aan er om ook als door maar bij uit wordt".split(),
-    "pt": "de a o que e do da em um para é com não uma os no se na por mais as dos como mas".split(),
-}
+from pagemill.llm.common import carried, written
+from pagemill.llm.tokens import byte_table, mapped, raw_bytes, slices, words
+
 SIZE = 24
 #: a-z, A-Z, 0-9, blank, line end, full stop and comma, ! and ?, symbols of the contract, other ASCII, further characters.
 CLASSES = 10
@@ -43,12 +39,12 @@ SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class Limits:
-    """Bits of divergence at most, and what is added per word of the text's inverse length."""
+    """Distances at most, for a text without end; ``slack`` over the root of the number of words is added in squares."""
 
-    chars: float = 0.02
-    chars_slack: float = 2.5
-    words: float = 0.055
-    words_slack: float = 4.0
+    chars: float = 0.15
+    chars_slack: float = 1.8
+    words: float = 0.235
+    words_slack: float = 2.0
     min_words: int = 30
 
 
@@ -87,58 +83,51 @@ def _repeats(codes: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
     return np.bincount(owner[inside], minlength=docs)
 
 
-def measure(texts: list[str | None], langs: list[str | None], learned: dict[str, list[str]] | None = None) -> pd.DataFrame:
-    """The counts of every text; see FEATURES. learned: the common words of further languages."""
-    learned = learned or {}
-    texts = [t if isinstance(t, str) else "" for t in texts]
-    array = pa.array(texts, pa.large_string())
-    codes, distinct, starts = words(array, byte_table())
+def base_counts(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Of every text: the contract's counts, the histogram of classes; and the words as ``words`` has them."""
+    codes, distinct, starts = words(texts, byte_table())
     docs = len(texts)
-    number = {w: i for i, w in enumerate(distinct.to_pylist())}
-    owner = np.repeat(np.arange(docs), np.diff(starts))
-    # chars
-    raw = np.frombuffer(b"".join(t.encode("utf-8", "replace") for t in texts), dtype=np.uint8)
-    sizes = np.fromiter((len(t.encode("utf-8", "replace")) for t in texts), np.int64, docs)
+    raw, offsets = raw_bytes(mapped(texts, np.arange(256, dtype=np.uint8)))
     wide = CLASSES + 1
-    hist = np.bincount(np.repeat(np.arange(docs) * wide, sizes) + _classes()[raw], minlength=docs * wide).reshape(docs, wide)[:, :CLASSES]
-    # common words of the own language, or of the one with most hits
-    names = list(COMMON)
-    table = np.zeros((docs, len(names), SIZE), dtype=np.int64)
-    for k, lang in enumerate(names):
-        slot = np.full(len(number), -1, dtype=np.int64)
-        for j, word in enumerate(COMMON[lang]):
-            if word in number:
-                slot[number[word]] = j
-        got = slot[codes]
-        hit = got >= 0
-        table[:, k, :] = np.bincount(owner[hit] * SIZE + got[hit], minlength=docs * SIZE).reshape(docs, SIZE)
-    given = np.array([names.index(x) if x in COMMON else -1 for x in langs], dtype=np.int64)
-    hits = table.sum(axis=2)
-    which = np.where(given >= 0, given, hits.argmax(axis=1))
-    common = table[np.arange(docs), which]
-    own = [isinstance(x, str) and x not in COMMON for x in langs]
-    refs = [x if other else names[k] if x in COMMON or hits[i].any() else None for i, (x, other, k) in enumerate(zip(langs, own, which))]
-    common[np.array(own, dtype=bool)] = 0
-    for lang in {x for x, other in zip(langs, own) if other and x in learned}:
-        slot = np.full(len(number), -1, dtype=np.int64)
-        for j, word in enumerate(learned[lang]):
-            if word in number:
-                slot[number[word]] = j
-        for i in (i for i, x in enumerate(langs) if x == lang):
-            got = slot[codes[starts[i] : starts[i + 1]]]
-            common[i] = np.bincount(got[got >= 0], minlength=SIZE)
-    blanks = hist[:, 3] + hist[:, 4]
-    lines = [[x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")] for t in texts]
-    return pd.DataFrame({
+    hist = np.bincount(np.repeat(np.arange(docs) * wide, np.diff(offsets)) + _classes()[raw], minlength=docs * wide).reshape(docs, wide)[:, :CLASSES]
+    lines = ([x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")] for t in pc.fill_null(texts, "").to_pylist())
+    made = {
         "n_words": np.diff(starts).astype(np.int64),
-        "word_chars": hist.sum(axis=1) - blanks,
+        "word_chars": hist.sum(axis=1) - hist[:, 3] - hist[:, 4],
         "n_symbols": hist[:, 7],
         "n_dup_lines": np.fromiter((len(x) - len(set(x)) for x in lines), np.int64, docs),
         "n_repeat_words": _repeats(codes, starts, 8),
-        "ref": refs,
-        "chars": list(hist),
-        "common": list(common),
-    })
+    }
+    return made, hist, codes, distinct, starts
+
+
+def common_counts(codes: np.ndarray, distinct: pa.Array, starts: np.ndarray, langs: list[str | None], learned: dict[str, list[str]]) -> tuple[list[str | None], np.ndarray]:
+    """The language that each text is compared with, and how often it has each of its common words."""
+    docs = len(langs)
+    owner = np.repeat(np.arange(docs), np.diff(starts))
+    refs = [x if x in learned else None for x in langs]
+    out = np.zeros((docs, SIZE), dtype=np.int64)
+
+    def counted(lang: str, rows: np.ndarray) -> np.ndarray:
+        """Of the texts that ``rows`` marks."""
+        slot = pc.fill_null(pc.index_in(distinct, pa.array(learned[lang], distinct.type)), -1).to_numpy().astype(np.int64)
+        own = rows[owner]
+        got, at = slot[codes[own]], owner[own]
+        return np.bincount(at[got >= 0] * SIZE + got[got >= 0], minlength=docs * SIZE).reshape(docs, SIZE)
+
+    for lang in sorted({x for x in refs if x is not None}):
+        rows = np.array([x == lang for x in refs], dtype=bool)
+        out[rows] = counted(lang, rows)[rows]
+    free = np.array([x is None for x in langs], dtype=bool)
+    most = np.zeros(docs, dtype=np.int64)
+    if free.any():
+        for lang in sorted(learned):
+            found = counted(lang, free)
+            better = np.flatnonzero(found.sum(axis=1) > most)
+            out[better], most[better] = found[better], found[better].sum(axis=1)
+            for i in better:
+                refs[i] = lang
+    return refs, out
 
 
 FEATURES = (
@@ -147,29 +136,45 @@ FEATURES = (
 )
 
 
-def _measured(text: pd.Series, lang: pd.Series, learned: dict[str, list[str]]) -> pd.DataFrame:
-    size = np.fromiter((len(t) if isinstance(t, str) else 0 for t in text), np.int64, len(text))
-    some = [measure(text.iloc[a:b].tolist(), lang.iloc[a:b].tolist(), learned) for a, b in slices(size + 1, 2 << 20)]
-    return pd.concat(some, ignore_index=True) if some else measure([], [])
+def _lists(table: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(table.ravel().astype(np.int64)), table.shape[1]).cast(pa.list_(pa.int64()))
 
 
-def _with_counts(docs: DataFrame, learned: dict[str, list[str]]) -> DataFrame:
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+def _in_slices(texts: pa.Array, most: int) -> list[tuple[int, int]]:
+    return slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1, most)
+
 
-    def run(text: pd.Series, lang: pd.Series) -> pd.DataFrame:
-        return _measured(text, lang, learned)
+def measure(texts: pa.Array, langs: pa.Array, learned: dict[str, list[str]]) -> pa.Array:
+    """The counts of every text; see FEATURES."""
+    names, some = [x.split()[0] for x in FEATURES.split(", ")], []
+    for a, b in _in_slices(texts, 1 << 20):
+        made, hist, codes, distinct, starts = base_counts(texts.slice(a, b - a))
+        refs, common = common_counts(codes, distinct, starts, langs.slice(a, b - a).to_pylist(), learned)
+        some.append(pa.StructArray.from_arrays([*map(pa.array, made.values()), pa.array(refs, pa.string()), _lists(hist), _lists(common)], names))
+    return pa.concat_arrays(some) if some else pa.array([], pa.struct([(n, pa.int64()) for n in names[:5]] + [("ref", pa.string())] + [(n, pa.list_(pa.int64())) for n in names[6:]]))
 
-    return docs.withColumn("__q", F.pandas_udf(run, FEATURES)(F.col("text").cast("string"), lang))
+
+def _said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, word, n: the words of each language in the texts that pass the base rules."""
+    for batch in batches:
+        for a, b in _in_slices(batch["text"], 4 << 20):
+            made, _, codes, distinct, starts = base_counts(batch["text"].slice(a, b - a))
+            good = ~_failed(made["n_words"], made["n_repeat_words"])
+            owner = np.repeat(np.arange(b - a), np.diff(starts))
+            langs = np.array(batch["lang"].slice(a, b - a).to_pylist(), dtype=object)
+            for lang in sorted(set(langs)):
+                n = np.bincount(codes[(good & (langs == lang))[owner]], minlength=len(distinct))
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), distinct.take(pa.array(at)).cast(pa.string()), pa.array(n[at].astype(np.int64))], ["lang", "word", "n"])
 
 
 def learned_words(docs: DataFrame) -> dict[str, list[str]]:
-    """The most frequent words of each language without a word list, over all its documents that pass the base rules."""
+    """The most frequent words of letters of each language, over all its documents that pass the base rules. SIZE words a language reach the driver."""
     if "lang" not in docs.columns:
         return {}
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = _with_counts(rows.filter(F.col("lang").isNotNull() & ~F.col("lang").isin(*COMMON)), {}).filter(~base_failed())
-    said = rows.select("lang", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
-    counts = said.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    said = rows.filter("lang is not null and text is not null").mapInArrow(_said, "lang string, word string, n long")
+    counts = said.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.rlike("word", F.lit(r"^\p{L}+$")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
     found: dict[str, list[str]] = {}
     for r in counts.withColumn("rank", rank).filter(F.col("rank") <= SIZE).orderBy("lang", "rank").collect():
@@ -178,13 +183,23 @@ def learned_words(docs: DataFrame) -> dict[str, list[str]]:
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """``docs`` with the struct __q of counts and base_failed."""
-    return _with_counts(docs, learned_words(docs))
+    """``docs`` with the struct __q of counts."""
+    learned = learned_words(docs)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+
+    def run(text: pa.Array, lang: pa.Array) -> pa.Array:
+        return measure(text, lang, learned)
+
+    return docs.withColumn("__q", F.arrow_udf(run, FEATURES)(F.col("text").cast("string"), lang))
+
+
+def _failed(n_words, n_repeat_words):
+    """The base rules, of columns or of arrays."""
+    return (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
 
 
 def base_failed(q: str = "__q") -> Column:
-    words_, repeats = F.col(f"{q}.n_words"), F.col(f"{q}.n_repeat_words")
-    return (words_ < 20) | (100 * repeats > 30 * words_)
+    return _failed(F.col(f"{q}.n_words"), F.col(f"{q}.n_repeat_words"))
 
 
 def references(features: DataFrame, q: str = "__q") -> dict[str, tuple[list[float], list[float]]]:
@@ -205,17 +220,17 @@ def references(features: DataFrame, q: str = "__q") -> dict[str, tuple[list[floa
     return out
 
 
-def divergence(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon divergence in bits of a histogram of counts from a distribution."""
+def distance(counts: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance of a histogram of counts from a distribution: the root of the divergence in bits."""
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
     share = F.transform(counts, lambda x: x / total)
     side = lambda x, m: F.when(x > 0, 0.5 * x * F.log2(x / m)).otherwise(F.lit(0.0))
     terms = F.zip_with(share, reference, lambda p, r: side(p, (p + r) / 2) + side(r, (p + r) / 2))
-    return F.when(total > 0, F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)).otherwise(F.lit(0.0))
+    return F.when(total > 0, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))).otherwise(F.lit(0.0))
 
 
 def judged(features: DataFrame, found: dict, limits: Limits = Limits(), q: str = "__q") -> DataFrame:
-    """Adds base_failed, char_divergence, word_divergence and kept."""
+    """Adds base_failed, char_distance, word_distance and kept."""
     rows = [(lang, [float(x) for x in c], [float(x) for x in w]) for lang, (c, w) in sorted(found.items())]
     known = features.sparkSession.createDataFrame(rows, "__ref string, __chars array<double>, __common array<double>")
     columns = features.columns
@@ -224,23 +239,22 @@ def judged(features: DataFrame, found: dict, limits: Limits = Limits(), q: str =
     inside = F.aggregate(F.col(f"{q}.common"), F.lit(0).cast("long"), lambda a, x: a + x)
     common = F.concat(F.col(f"{q}.common"), F.array(n - inside))
     out = features.withColumn("base_failed", base_failed(q))
-    out = out.withColumn("char_divergence", F.coalesce(divergence(F.col(f"{q}.chars"), F.col("__chars")), F.lit(0.0)))
-    out = out.withColumn("word_divergence", F.coalesce(divergence(common, F.col("__common")), F.lit(0.0)))
-    near = (F.col("char_divergence") <= limits.chars + limits.chars_slack / n) & (
-        F.col("word_divergence") <= limits.words + limits.words_slack / n
-    )
+    out = out.withColumn("char_distance", F.coalesce(distance(F.col(f"{q}.chars"), F.col("__chars")), F.lit(0.0)))
+    out = out.withColumn("word_distance", F.coalesce(distance(common, F.col("__common")), F.lit(0.0)))
+    limit = lambda most, slack: F.sqrt(F.lit(most * most) + slack * slack / n)
+    near = (F.col("char_distance") <= limit(limits.chars, limits.chars_slack)) & (F.col("word_distance") <= limit(limits.words, limits.words_slack))
     out = out.withColumn("kept", ~F.col("base_failed") & ((n < limits.min_words) | near))
-    return out.select(*(F.col(f"`{c}`") for c in columns), "base_failed", "char_divergence", "word_divergence", "kept")
+    return out.select(*(F.col(f"`{c}`") for c in columns), "base_failed", "char_distance", "word_distance", "kept")
 
 
 def quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """One row a document with its counts, divergences and verdict."""
+    """One row a document with its counts, distances and verdict."""
     columns = [c for c in ("doc_id", "text", "lang") if c in docs.columns]
     features = written(with_features(docs.select(*columns)).select("doc_id", "__q"), "quality")
     out = judged(features, references(features), limits)
     return out.select(
         "doc_id", "__q.n_words", "__q.word_chars", "__q.n_symbols", "__q.n_dup_lines", "__q.n_repeat_words",
-        "base_failed", "kept", "char_divergence", "word_divergence",
+        "base_failed", "kept", "char_distance", "word_distance",
     )
 
 

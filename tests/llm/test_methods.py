@@ -227,13 +227,60 @@ def test_quality_counts(spark, docs, texts):
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept)
 
 
-def test_divergence_is_jensen_shannon(spark):
+def test_distance_is_jensen_shannon(spark):
     p, q = [3, 0, 5, 2], [0.25, 0.25, 0.5, 0.0]
     share = [x / 10 for x in p]
     m = [(a + b) / 2 for a, b in zip(share, q)]
     kl = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m) if x > 0)
-    got = spark.range(1).select(divergence.divergence(F.array(*(F.lit(x).cast("long") for x in p)), F.array(*map(F.lit, q)))).first()[0]
-    assert abs(got - (kl(share) + kl(q)) / 2) < 1e-12
+    got = spark.range(1).select(divergence.distance(F.array(*(F.lit(x).cast("long") for x in p)), F.array(*map(F.lit, q)))).first()[0]
+    assert abs(got - math.sqrt((kl(share) + kl(q)) / 2)) < 1e-12
+
+
+def test_learned_words_and_verdicts_are_brute_force(spark, docs):
+    """Words, references, distances and verdicts of every document, from the definition."""
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.select("doc_id", "text", "lang").collect()]
+    rows += [(10**6 + i, t, g) for i, (t, g) in enumerate([(rows[3][1], None), (None, "en"), ("", None), ("zz " * 40, "xx"), ("und der die " * 3, "de")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bad = lambda t: (lambda c: c[0] < 20 or 100 * c[4] > 30 * c[0])(brute_counts(t))
+    kinds = divergence._classes()
+    said, hists = defaultdict(Counter), {}
+    for i, t, g in rows:
+        hists[i] = np.bincount(kinds[np.frombuffer((t or "").encode(), np.uint8)], minlength=divergence.CLASSES + 1)[: divergence.CLASSES]
+        if g is not None and not bad(t):
+            said[g].update(w for w in WORD.findall(t) if all(c.isalpha() for c in w))
+    learned = {g: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[: divergence.SIZE]] for g, c in said.items()}
+    assert divergence.learned_words(df) == learned
+    common, refs = {}, {}
+    for i, t, g in rows:
+        c = Counter(WORD.findall(t or ""))
+        of = lambda g: [c[w] for w in learned[g]] + [0] * (divergence.SIZE - len(learned[g]))  # noqa: E731, B023
+        ref = g if g in learned else None
+        if g is None:
+            ref = max(sorted(learned), key=lambda g: sum(of(g)))
+            ref = ref if sum(of(ref)) else None
+        refs[i], common[i] = ref, np.array([*of(ref), sum(c.values()) - sum(of(ref))]) if ref else None
+    sums = defaultdict(lambda: [np.zeros(divergence.CLASSES), np.zeros(divergence.SIZE + 1)])
+    for i, t, _ in rows:
+        if refs[i] and not bad(t):
+            sums[refs[i]][0] += hists[i]
+            sums[refs[i]][1] += common[i]
+
+    def js(counts, ref):
+        if ref is None or not counts.sum():
+            return 0.0
+        p, q = counts / counts.sum(), ref / ref.sum()
+        m = (p + q) / 2
+        kl = lambda a: float((a[a > 0] * np.log2(a[a > 0] / m[a > 0])).sum())
+        return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+    limits, texts = divergence.Limits(), {i: t for i, t, _ in rows}
+    for r in divergence.quality(df).collect():
+        own = sums.get(refs[r.doc_id], [None, None])
+        x, y = js(hists[r.doc_id], own[0]), js(common[r.doc_id], own[1]) if refs[r.doc_id] else 0.0
+        assert abs(r.char_distance - x) < 1e-6 and abs(r.word_distance - y) < 1e-6
+        n = r.n_words
+        good = n < limits.min_words or (x <= math.sqrt(limits.chars**2 + limits.chars_slack**2 / n) and y <= math.sqrt(limits.words**2 + limits.words_slack**2 / n))
+        assert r.kept == (good and not bad(texts[r.doc_id]))
 
 
 def test_languages_without_a_list(spark, docs):
@@ -245,7 +292,7 @@ def test_languages_without_a_list(spark, docs):
     rows += [(2 * 10**6, " ".join("".join(chr(int(c)) for c in rng.integers(0x3B1, 0x3C9, 6)) for _ in range(90)), None), (2 * 10**6 + 1, "0 1 2 3 4 5 6 7 8 9 " * 3 + " ".join(map(str, range(50, 150))), "ru")]
     own = docs.select("doc_id", "text", "lang")
     out = {r.doc_id: r for r in divergence.quality(own.unionByName(spark.createDataFrame(rows, own.schema))).collect()}
-    assert all(out[i].kept and out[i].word_divergence > 0 for i, _, _ in rows[:-1] if i < 2 * 10**6) and out[2 * 10**6].kept
+    assert all(out[i].kept and out[i].word_distance > 0 for i, _, _ in rows[:-1] if i < 2 * 10**6) and out[2 * 10**6].kept
     assert not out[2 * 10**6 + 1].kept
     alone = {r.doc_id: r for r in divergence.quality(own).collect()}
     assert all(out[i] == r for i, r in alone.items())
@@ -467,9 +514,53 @@ def test_near_copies_by_shingles(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
     monkeypatch.setattr(simhash, "BLOCK", 1)
+    monkeypatch.setattr(simhash, "BUCKET", 2)
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
 
 
+def test_buckets_in_parts_give_the_same_components(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**62, 3, dtype=np.int64)
+    rows = []
+    for i in range(400):
+        x = int(base[i % 3])
+        for bit in rng.integers(0, 62, rng.integers(0, 7)).tolist():
+            x ^= 1 << bit
+        rows.append((int(i % 4 == 0), i, x, x, int(i % 5 == 0)))
+    df = spark.createDataFrame(rows, "bucket long, id long, fp long, check long, role int")
+    parts = lambda: {frozenset(x) for x in _groups(simhash.components(simhash.compared(df, 8, 8)).collect())}
+    whole = parts()
+    up = {}
+    find = lambda i: i if up.setdefault(i, i) == i else find(up[i])
+    for a, i, x, _, p in rows:
+        for b, j, y, _, q in rows[:i]:
+            if a == b and (p == 0 or q == 0) and (x ^ y).bit_count() <= 8:
+                up[find(i)] = find(j)
+    want = defaultdict(set)
+    for i in list(up):
+        want[find(i)].add(i)
+    assert whole == {frozenset(x) for x in want.values() if len(x) > 1}
+    monkeypatch.setattr(simhash, "BUCKET", 20)
+    assert parts() == whole
+
+
+def _groups(rows):
+    out = defaultdict(set)
+    for r in rows:
+        out[r.root].add(r.node)
+    return out.values()
+
+
+def test_even_join_of_hubs(spark):
+    from pagemill.llm.common import even_join, written
+
+    rows = spark.range(3000).select((F.col("id") % F.when(F.col("id") < 2000, 1).otherwise(400)).alias("k"), "id")
+    table = written(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("m")).filter("k < 300"), "t")
+    want = rows.join(table.drop("n"), "k", "left").select("k", "id", "m")
+    assert sorted(even_join(rows, table, "k", "left", 50).select("k", "id", "m").collect(), key=str) == sorted(want.collect(), key=str)
+    assert even_join(rows, table, "k", "inner", 50).count() == want.filter("m is not null").count()
+
+
 def test_repeated_id_keeps_different_texts(spark):
     one, two = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
     df = spark.createDataFrame([(1, one), (1, one), (1, two), (2, one), (3, two), (3, "else " * 30)], "doc_id long, text string")
