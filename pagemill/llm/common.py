@@ -61,6 +61,30 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of a few numbers each that may be broadcast: some 50 MB in memory.
+BROADCAST_ROWS = 500_000
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast if it has no more than BROADCAST_ROWS."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def even_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", hub: int = 1000) -> DataFrame:
+    """rows join table on key without a hot task; table is stored, has each key once, and in ``n`` how many rows have it.
+
+    Keys of more than ``hub`` rows are broadcast; the bound rises with the rows, so that
+    they never are more than BROADCAST_ROWS. The result lacks ``n``.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    many = F.col("n") > max(hub, total // BROADCAST_ROWS)
+    hubs = table.filter(many).drop("n")
+    if hubs.isEmpty():
+        return rows.join(table.drop("n"), key, how)
+    names = F.broadcast(hubs.select(key))
+    return rows.join(F.broadcast(hubs), key).unionByName(rows.join(names, key, "left_anti").join(table.filter(~many).drop("n"), key, how))
+
+
 def doc_fold(doc_id: str | Column, parts: int) -> Column:
     """crc32(doc_id as text) mod parts; a null id counts as the empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

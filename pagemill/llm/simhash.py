@@ -10,34 +10,42 @@ Search, on the distinct fingerprints only, so that exact copies never meet:
    (-1: not probed) with sum max_bits - m + 1 are chosen by dynamic programming
    on the estimated number of candidates and probes. The sample only steers cost.
 2. Probe. Every fingerprint is filed under each partition's own bits and probed
-   under all values within t_i flips. Buckets of at most ``HOT`` rows are
-   verified in vectors and give a spanning forest of their links, not pairs.
-3. The rest. Fingerprints in larger buckets are linked exactly in another way:
-   two words differ in at most 2 bits if and only if a third lies within one bit
-   of both. Each files itself under its 65 nearest words; no such word can gather
-   more than 65 distinct fingerprints, so that no group is hot.
+   under all values within t_i flips. Buckets are verified in vectors and give a
+   spanning forest of their links, not pairs.
+3. Hot buckets, of more than ``HOT`` rows, are set aside and their fingerprints filed
+   again under finer partitions: two words within 2 bits agree in all but 2 of 8 groups
+   of correlated bits, so that each is filed under 28 keys of 48 bits; what is still
+   hot, under 120 keys of 14 of 16 groups, where no key has more than 256 fingerprints.
+   Nothing is cut, and each level is exact for what it takes over.
 4. Components by alternating large-star and small-star steps on the links.
+
+Null and empty texts have fingerprint 0 and link like any other; texts of fewer words
+than a shingle are one shingle. Rows without a doc_id belong to the component of their
+fingerprint, null if no row of it has an id. Repeated rows share fingerprint and
+component. Long texts are taken whole. An empty table gives no rows. Columns beyond
+doc_id and text are carried by ``keep_one`` and not read otherwise.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import carried, written
+from pagemill.llm.common import carried, even_join, new_path, removed, sized, stored, written
+from pagemill.llm.tokens import slices
 
 SEED = 42
 HOT = 4096
 SAMPLE = 2048
 BITS = 64
-MOST_FLIPS = 3
 #: Bits in which the fingerprints of near copies over two and over five words may differ.
 WIDE, WIDE_CHECK = 8, 14
 #: Near copies of the stage: the least Jaccard similarity of the sets of five-word shingles.
@@ -46,23 +54,40 @@ ALIKE, SHINGLE = 0.8, 5
 LOOSE, BANDS, BAND_ROWS = 20, 20, 5
 #: Texts of a block: proposed groups of more are compared block by block.
 BLOCK = 256
+#: Rows of a bucket that are compared in one task; larger ones are compared by pairs of parts.
+BUCKET = 100_000
 #: What one filed row costs, in pairs compared.
 ROW_COST = 400.0
 
 
+def hashes_of(text: str | None, width: int) -> list[int]:
+    """The hashes of a text's shingles in order, repeats included; of fewer words, of the whole; none without words."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode("utf-8", "replace").lower().split() if isinstance(text, str) else []
+    join = b" ".join
+    if len(words) < width:
+        return [xxh64_intdigest(join(words), SEED)] if words else []
+    return [xxh64_intdigest(join(s), SEED) for s in zip(*(words[k:] for k in range(width)))]
+
+
 def fingerprints(texts: list[str | None], width: int = 3) -> np.ndarray:
     """Unsigned 64-bit SimHash of each text; 0 for a text without words."""
-    from xxhash import xxh64_intdigest
+    return prints_of((hashes_of(t, width) for t in texts), len(texts))
 
-    out = np.zeros(len(texts), dtype=np.uint64)
-    hashes: list[int] = []
+
+def prints_of(found: Iterable[list[int] | np.ndarray], n: int) -> np.ndarray:
+    """The SimHash of each of n lists of hashes."""
+    out = np.zeros(n, dtype=np.uint64)
+    hashes: list[np.ndarray] = []
     owners: list[int] = []
     starts: list[int] = []
+    held = 0
 
     def settle() -> None:
         if not hashes:
             return
-        h = np.array(hashes, dtype="<u8")
+        h = np.concatenate(hashes)
         bounds = np.array([*starts, len(h)], dtype=np.int64)
         # Long texts are summed in pieces: 64 bytes a shingle would not fit at once.
         sums = np.zeros((len(starts), BITS), dtype=np.int64)
@@ -77,33 +102,23 @@ def fingerprints(texts: list[str | None], width: int = 3) -> np.ndarray:
         out[owners] = np.packbits(ones, axis=1, bitorder="little").view("<u8")[:, 0]
         hashes.clear(), owners.clear(), starts.clear()
 
-    for i, text in enumerate(texts):
-        words = text.encode("utf-8", "replace").lower().split() if isinstance(text, str) else []
-        if not words:
+    for i, own in enumerate(found):
+        if not len(own):
             continue
         owners.append(i)
-        starts.append(len(hashes))
-        if len(words) < width:
-            hashes.append(xxh64_intdigest(b" ".join(words), SEED))
-        else:
-            join = b" ".join
-            hashes.extend([xxh64_intdigest(join(s), SEED) for s in zip(*(words[k:] for k in range(width)))])
-        if len(hashes) > 1 << 19:
+        starts.append(held)
+        hashes.append(np.array(own, dtype="<u8"))
+        held += len(own)
+        if held > 1 << 19:
             settle()
+            held = 0
     settle()
     return out
 
 
 def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
-    """The set of a text's shingles as sorted 64-bit hashes; a text of fewer words is one shingle, none of no words."""
-    from xxhash import xxh64_intdigest
-
-    words = text.encode("utf-8", "replace").lower().split() if isinstance(text, str) else []
-    if len(words) < width:
-        found = [b" ".join(words)] if words else []
-    else:
-        found = map(b" ".join, zip(*(words[k:] for k in range(width))))
-    return np.unique(np.array([xxh64_intdigest(s, SEED) for s in found], dtype=np.uint64))
+    """The set of a text's shingles as sorted 64-bit hashes."""
+    return np.unique(np.array(hashes_of(text, width), dtype=np.uint64))
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +152,20 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return whole, bands
 
 
+def _in_parts(rows: DataFrame, make: Callable[[pa.RecordBatch, list[str | None]], list[pa.Array]], schema: str, most: int = 2 << 20) -> DataFrame:
+    """make(part, texts) of runs of rows of about ``most`` bytes of text, since hashes take eight bytes a word more than once."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b in slices(size + 1, most):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays(make(part, part["text"].to_pylist()), names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def hashed(docs: DataFrame) -> DataFrame:
     """doc_id, text and own, a hash of the text, of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -146,30 +175,21 @@ def hashed(docs: DataFrame) -> DataFrame:
 def with_signature(docs: DataFrame) -> DataFrame:
     """doc_id, own (a hash of the text), fingerprints fp and check over two and five words, whole and bands of every row."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = frame["text"].tolist()
-            whole, bands = signatures([shingles(t) for t in texts])
-            yield pd.DataFrame({
-                "doc_id": frame["doc_id"].astype("Int64"), "own": frame["own"], "fp": fingerprints(texts, 2).view(np.int64), "check": fingerprints(texts, SHINGLE).view(np.int64),
-                "whole": whole.view(np.int64), "bands": list(bands.view(np.int64)),
-            })
-
-    return hashed(docs).mapInPandas(run, "doc_id long, own long, fp long, check long, whole long, bands array<long>")
+    def make(part: pa.RecordBatch, texts: list[str | None]) -> list[pa.Array]:
+        five = [np.array(hashes_of(t, SHINGLE), dtype=np.uint64) for t in texts]
+        check = prints_of(five, len(five))
+        whole, bands = signatures([np.unique(h) for h in five])
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+        prints = [fingerprints(texts, 2), check, whole]
+        return [part["doc_id"], part["own"], *(pa.array(x.view(np.int64)) for x in prints), flat]
 
+    return _in_parts(hashed(docs), make, "doc_id long, own long, fp long, check long, whole long, bands array<long>")
 
-def with_fingerprint(docs: DataFrame, width: int = 3, check: int | None = None) -> DataFrame:
-    """doc_id, fp (signed long) of every row, and check over another width; a null text has no words."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = {"doc_id": frame["doc_id"].astype("Int64"), "fp": fingerprints(frame["text"].tolist(), width).view(np.int64)}
-            if check is not None:
-                made["check"] = fingerprints(frame["text"].tolist(), check).view(np.int64)
-            yield pd.DataFrame(made)
 
+def with_fingerprint(docs: DataFrame, width: int = 3) -> DataFrame:
+    """doc_id, fp (signed long) of every row; a null text has no words."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, fp long" + ", check long" * (check is not None))
+    return _in_parts(rows, lambda part, texts: [part["doc_id"], pa.array(fingerprints(texts, width).view(np.int64))], "doc_id long, fp long")
 
 
 def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
@@ -205,7 +225,7 @@ def plan(sample: np.ndarray, n: int, max_bits: int, row_cost: float = 8.0) -> li
             mask = np.uint64(sum(1 << b for b in bits))
             apart = np.bitwise_count((sample[:, None] ^ sample[None, :]) & mask)
             row = {-1: 0.0}
-            for t in range(min(max_bits, MOST_FLIPS) + 1):
+            for t in range(max_bits + 1):
                 keys = sum(comb(len(bits), k) for k in range(t + 1))
                 seen = (int((apart <= t).sum()) - len(sample)) / max(1, len(sample) * (len(sample) - 1))
                 pairs = 0.5 * float(n) * n * max(seen, keys / 2.0 ** len(bits))
@@ -265,28 +285,55 @@ def _forest(run: np.ndarray, fp: np.ndarray, role: np.ndarray, max_bits: int) ->
     return np.concatenate(left), np.concatenate(right)
 
 
-def _verified(frames: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.DataFrame]:
-    """Links within the runs of equal (part, key) of a sorted partition."""
+def _verified(frames: Iterator[pd.DataFrame], max_bits: int, most: int) -> Iterator[pd.DataFrame]:
+    """Links a, b within the runs of equal (part, key) of a sorted partition; runs of more than ``most`` rows give their fingerprints as ``hot`` instead."""
 
-    def links(frame: pd.DataFrame) -> pd.DataFrame:
-        part, key = frame["part"].to_numpy(), frame["key"].to_numpy()
-        new = np.ones(len(frame), dtype=np.int64)
+    def links(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        part, key, fp = frame["part"].to_numpy(), frame["key"].to_numpy(), frame["fp"].to_numpy()
+        new = np.ones(len(frame), dtype=bool)
         new[1:] = (part[1:] != part[:-1]) | (key[1:] != key[:-1])
-        a, b = _forest(np.cumsum(new), frame["fp"].to_numpy().view(np.uint64), frame["role"].to_numpy(), max_bits)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        starts = np.flatnonzero(new)
+        hot = np.repeat(np.diff(np.append(starts, len(frame))) > most, np.diff(np.append(starts, len(frame))))
+        if hot.any():
+            yield told(hot=np.unique(fp[hot]))
+        cold = ~hot
+        a, b = _forest(np.cumsum(new)[cold], fp[cold].view(np.uint64), frame["role"].to_numpy()[cold], max_bits)
+        yield told(a.view(np.int64), b.view(np.int64))
+
+    def told(a: np.ndarray | None = None, b: np.ndarray | None = None, hot: np.ndarray | None = None) -> pd.DataFrame:
+        n = len(a if hot is None else hot)
+        made = {"a": a, "b": b, "hot": hot}
+        return pd.DataFrame({c: pd.array([None] * n if v is None else v, dtype="Int64") for c, v in made.items()})
 
     held: pd.DataFrame | None = None
+    hot_key: tuple[int, int] | None = None  # of a run so large that it is handed on as it comes
     for frame in frames:
+        if hot_key is not None:
+            inside = ((frame["part"] == hot_key[0]) & (frame["key"] == hot_key[1])).to_numpy()
+            if inside.any():
+                yield told(hot=np.unique(frame["fp"].to_numpy()[inside]))
+            frame = frame[~inside]
         if not len(frame):
             continue
+        hot_key = None
         frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-        last = (frame["part"].to_numpy() == frame["part"].iat[-1]) & (frame["key"].to_numpy() == frame["key"].iat[-1])
-        cut = len(frame) if not last.any() else int(np.argmax(last))
+        end = (int(frame["part"].iat[-1]), int(frame["key"].iat[-1]))
+        last = ((frame["part"] == end[0]) & (frame["key"] == end[1])).to_numpy()
+        cut = int(np.argmax(last))
         if cut:
-            yield links(frame.iloc[:cut].reset_index(drop=True))
+            yield from links(frame.iloc[:cut].reset_index(drop=True))
         held = frame.iloc[cut:].reset_index(drop=True)
+        if len(held) > most:
+            yield told(hot=np.unique(held["fp"].to_numpy()))
+            held, hot_key = None, end
     if held is not None and len(held):
-        yield links(held)
+        yield from links(held)
+
+
+def exact_masks(sample: np.ndarray, groups: int, max_bits: int) -> list[int]:
+    """Masks such that words within ``max_bits`` agree under at least one: all groups of correlated bits but ``max_bits``."""
+    made = [sum(1 << b for b in bits) for bits in group_bits(sample, groups)]
+    return [sum(some) for some in combinations(made, groups - max_bits)]
 
 
 def near(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
@@ -300,37 +347,23 @@ def near(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     if n < 2:
         return none
     rows = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    chosen = plan(np.array([r.fp for r in rows], dtype=np.int64).view(np.uint64), n, max_bits)
-    keys: list[Column] = []
-    for number, (bits, threshold) in enumerate(chosen):
-        if threshold < 0:
-            continue
-        own = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
-        entry = lambda key, role, number=number: F.struct(
-            F.lit(number).alias("part"), key.alias("key"), F.lit(role).alias("role")
-        )
-        keys += [entry(own, 0), *(entry(own.bitwiseXOR(F.lit(_signed(x))), 1) for x in flips(bits, threshold))]
-    filed = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.part", "k.key", "fp", "k.role")
-    hot = written(filed.groupBy("part", "key").count().filter(F.col("count") > HOT).select("part", "key"), "simhash-hot")
-    crowded = hot.count()
-    cold = filed
-    if crowded:
-        # A crowded key stands for over 4,096 rows, so that there are few; checked all the same.
-        keys_ = F.broadcast(hot) if crowded <= 100_000 else hot
-        cold = filed.join(keys_, ["part", "key"], "left_anti")
-    runs = cold.repartition("part", "key").sortWithinPartitions("part", "key", "fp")
-    links = runs.mapInPandas(lambda it: _verified(it, max_bits), "a long, b long")
-    if crowded:
-        inside = filed.join(keys_, ["part", "key"], "left_semi").select("fp").distinct()
-        words = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(BITS)))
-        ball = inside.select("fp", F.explode(words).alias("word"))
-        met = ball.groupBy("word").agg(F.sort_array(F.collect_list("fp")).alias("fps")).filter(F.size("fps") > 1)
-        if max_bits == 2:
-            star = met.select(F.col("fps")[0].alias("a"), F.explode("fps").alias("b")).filter("a <> b")
-        else:  # at most 65 words meet, so that their pairs are bounded
-            star = met.select(F.explode("fps").alias("a"), "fps").select("a", F.explode("fps").alias("b"))
-            star = star.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
-        links = links.unionByName(star.distinct())
+    sample = np.array([r.fp for r in rows], dtype=np.int64).view(np.uint64)
+    # Each level: (mask, flip, role) of the keys; the last has no key of more than 2**(64/16*2) words.
+    levels = [[(sum(1 << b for b in bits), x, int(x != 0)) for bits, threshold in plan(sample, n, max_bits) if threshold >= 0 for x in (0, *flips(bits, threshold))]]
+    levels += [[(mask, 0, 0) for mask in exact_masks(sample, groups, max_bits)] for groups in (8, 16)]
+    links = none
+    for depth, level in enumerate(levels):
+        number = {m: i for i, m in enumerate(dict.fromkeys(m for m, _, _ in level))}
+        keys = [F.struct(F.lit(number[m]).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).bitwiseXOR(F.lit(_signed(x))).alias("key"), F.lit(role).alias("role")) for m, x, role in level]
+        filed = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.part", "k.key", "fp", "k.role")
+        runs = filed.repartition("part", "key").sortWithinPartitions("part", "key", "fp")
+        most = HOT if depth + 1 < len(levels) else 1 << 30
+        told = written(runs.mapInPandas(lambda it, most=most: _verified(it, max_bits, most), "a long, b long, hot long"), "simhash-links")
+        links = links.unionByName(told.filter("a is not null").select("a", "b"))
+        distinct = told.filter("hot is not null").select(F.col("hot").alias("fp")).distinct()
+        if depth + 1 == len(levels) or distinct.isEmpty():
+            break
+        distinct = written(distinct, "simhash-hot")
     return links
 
 
@@ -374,32 +407,79 @@ def _stars(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray, check: np.ndarra
 
 
 def compared(filed: DataFrame, max_bits: int, max_check: int) -> DataFrame:
-    """Links a, b that span what the rows (bucket, id, fp, check, role) of each bucket join."""
+    """Links a, b that span what the rows (bucket, id, fp, check, role) of each bucket join.
+
+    Buckets of more than BUCKET rows are only named by the first pass. Their rows are dealt
+    into parts, and every pair of parts is compared in a task of its own.
+    """
+    told = written(_bucketed(filed, max_bits, max_check, BUCKET), "near-links")
+    links = told.filter("a is not null").select("a", "b")
+    hot = told.filter("hot is not null").groupBy(F.col("hot").alias("bucket")).agg(F.sum("n").alias("n"))
+    hot = written(hot, "near-hot")
+    if hot.isEmpty():
+        return links
+    # At most rows / BUCKET buckets are hot; checked all the same.
+    rows = filed.join(sized(hot), "bucket")
+    parts = F.ceil(F.col("n") / F.lit(BUCKET // 2)).cast("long")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(SEED)), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    rows = rows.select(pair.alias("bucket"), "id", "fp", "check", "role")
+    return links.unionByName(_bucketed(rows, max_bits, max_check, 1 << 40).filter("a is not null").select("a", "b"))
+
+
+def _bucketed(filed: DataFrame, max_bits: int, max_check: int, most: int) -> DataFrame:
+    """a, b of links; or hot, n: a bucket of more than ``most`` rows and how many of them these are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        count = 0
+        count, hot = 0, None
+
+        def told(a=(), b=(), bucket=(), n=()) -> pa.RecordBatch:
+            size = max(len(a), len(bucket))
+            columns = [pa.array(x, pa.int64()) if len(x) == size else pa.nulls(size, pa.int64()) for x in (a, b, bucket, n)]
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "hot", "n"])
 
-        def links(to_end: bool) -> pa.RecordBatch:
+        def links(to_end: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, count
             columns = [np.concatenate(c) for c in zip(*held)]
             cut = len(columns[0]) if to_end else int(np.searchsorted(columns[0], columns[0][-1]))
             held = [[c[cut:] for c in columns]]
             count = len(columns[0]) - cut
-            bucket, ids, fp, check, role = (c[:cut] for c in columns)
-            a, b = _stars(bucket, ids, fp.view(np.uint64), check.view(np.uint64), role, max_bits, max_check) if cut else (ids, ids)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            columns = [c[:cut] for c in columns]
+            if cut:
+                names, size = np.unique(columns[0], return_counts=True)
+                if (size > most).any():
+                    yield told(bucket=names[size > most], n=size[size > most])
+                    own = np.repeat(size <= most, size)
+                    columns = [c[own] for c in columns]
+                if len(columns[0]):
+                    bucket, ids, fp, check, role = columns
+                    yield told(*_stars(bucket, ids, fp.view(np.uint64), check.view(np.uint64), role, max_bits, max_check))
 
         for batch in batches:
-            if batch.num_rows:
-                held.append([batch.column(c).to_numpy() for c in range(5)])
-                count += batch.num_rows
-                if count >= 300_000 and held[-1][0][-1] != held[0][0][0]:
-                    yield links(False)
+            rows = [batch.column(c).to_numpy() for c in range(5)]
+            if hot is not None:  # the rest of a bucket that is known to be hot
+                own = rows[0] == hot
+                if own.any():
+                    yield told(bucket=[hot], n=[int(own.sum())])
+                    rows = [c[~own] for c in rows]
+            if not len(rows[0]):
+                continue
+            hot = None
+            held.append(rows)
+            count += len(rows[0])
+            if count < max(300_000, most if most < 1 << 40 else 0):
+                continue
+            if held[-1][0][-1] != held[0][0][0]:
+                yield from links(False)
+            elif count > most:
+                hot = int(rows[0][-1])
+                yield told(bucket=[hot], n=[count])
+                held, count = [], 0
         if count:
-            yield links(True)
+            yield from links(True)
 
-    return filed.repartition("bucket").sortWithinPartitions("bucket", "role", "id").mapInArrow(run, "a long, b long")
+    return filed.repartition("bucket").sortWithinPartitions("bucket", "role", "id").mapInArrow(run, "a long, b long, hot long, n long")
 
 
 def near_copies(nodes: DataFrame, max_bits: int = WIDE, max_check: int = WIDE_CHECK) -> DataFrame:
@@ -441,11 +521,17 @@ def alike(ids: np.ndarray, sets: list[np.ndarray], least: float = ALIKE) -> tupl
         starts = np.concatenate(([0], np.cumsum(size[full])[:-1]))
         mark = np.zeros(len(names), dtype=np.int64)
         for k, i in enumerate(full):
-            own = codes[starts[k] : starts[k] + size[i]]
+            rest = np.flatnonzero(label[full] != label[i])  # sets that are linked already need no comparing
+            rest = rest[size[full[rest]] * least <= size[i] + 1e-9]
+            rest = rest[size[full[rest]] >= least * size[i] - 1e-9]
+            if not len(rest):
+                continue
+            own, others = codes[starts[k] : starts[k] + size[i]], full[rest]
             mark[own] = 1
-            both = np.add.reduceat(mark[codes], starts)
+            at = np.repeat(starts[rest] - np.concatenate(([0], np.cumsum(size[others])[:-1])), size[others]) + np.arange(size[others].sum())
+            both = np.add.reduceat(mark[codes[at]], np.concatenate(([0], np.cumsum(size[others])[:-1])))
             mark[own] = 0
-            hit = full[both >= least * (size[i] + size[full] - both) - 1e-9]
+            hit = np.append(others[both >= least * (size[i] + size[others] - both) - 1e-9], i)
             joined = np.unique(label[hit])
             if len(joined) > 1:
                 label[np.isin(label, joined)] = joined[0]
@@ -458,38 +544,49 @@ def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     Groups of more than BLOCK texts are compared by pairs of blocks, so that no group falls to one task.
     """
-    large = members.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
-    rows = members.join(F.broadcast(large), "root", "left")
+    # A row for each group of more than BLOCK texts; texts move only where a group asks for them.
+    large = sized(written(members.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), "large-groups"))
+    rows = hashed(docs).join(sized(members), ["doc_id", "own"]).join(large, "root", "left")
     blocks = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / F.lit(BLOCK)).cast("long")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(SEED)), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("doc_id", "own", "node", "root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    rows = rows.select("node", "text", "root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates("node")  # a text whose row repeats
         a, b = alike(frame["node"].to_numpy(), [shingles(t) for t in frame["text"]])
         return pd.DataFrame({"a": a, "b": b})
 
-    return rows.join(hashed(docs), ["doc_id", "own"]).groupBy("root", "x", "y").applyInPandas(run, "a long, b long").distinct()
+    return rows.groupBy("root", "x", "y").applyInPandas(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (the least node reachable) of every node of links a, b of longs."""
-    edges = written(
-        links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links"
-    )
+    spark = links.sparkSession
+    path = new_path(spark, "links")
+    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), path)
 
     def stamp(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     before = stamp(edges)
     while True:
+        done = []
+
+        def kept(df: DataFrame) -> DataFrame:
+            done.append(new_path(spark, "links"))
+            return stored(df, done[-1])
+
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = large.filter("a <> b")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = written(small.select("e.a", "e.b").filter("a <> b").distinct(), "links")
+        least = kept(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")))
+        large = even_join(both, least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = kept(large.filter("a <> b"))
+        low = kept(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = even_join(large, low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        last, path = path, new_path(spark, "links")
+        edges = stored(small.select("e.a", "e.b").filter("a <> b").distinct(), path)
         after = stamp(edges)
+        for old in (last, *done):
+            removed(spark, old)
         if after == before:
             break
         before = after
@@ -499,14 +596,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def clusters(prints: DataFrame, max_bits: int = 2) -> DataFrame:
-    """fp, component of the fingerprints that more than one document shares or that have links."""
+    """fp, component, n (its rows) of the fingerprints that more than one document shares or that have links."""
     groups = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "prints")
     roots = components(near(groups.select("fp"), max_bits))
-    linked = roots.join(groups, roots.node == groups.fp).select("fp", "root", "least")
-    named = linked.groupBy("root").agg(F.min("least").alias("component"))
-    linked = linked.join(named, "root").select("fp", "component")
-    copies = groups.filter("n > 1").select("fp", F.col("least").alias("component"))
-    both = copies.unionByName(linked).groupBy("fp").agg(F.min("component").alias("component"))
+    linked = written(roots.join(groups, roots.node == groups.fp).select("fp", "root", "least", F.col("n").alias("rows")), "linked")
+    named = written(linked.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n")), "named")
+    linked = even_join(linked, named, "root").select("fp", "component", F.col("rows").alias("n"))
+    copies = groups.filter("n > 1").select("fp", F.col("least").alias("component"), "n")
+    both = copies.unionByName(linked).groupBy("fp").agg(F.min("component").alias("component"), F.max("n").alias("n"))
     return written(both, "clusters")
 
 
@@ -518,7 +615,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2) -> DataFrame:
     """
     prints = written(with_fingerprint(docs), "fp")
     found = clusters(prints, max_bits)
-    return prints.join(found, "fp", "left").select(
+    return even_join(prints, found, "fp", "left").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.coalesce("component", "doc_id").alias("component_id"),
@@ -544,12 +641,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     near_ = components(proposed(groups))
     members = written(near_.join(groups.select(F.col("id").alias("node"), "least"), "node").select("least.*", "node", "root"), "proposed")
     roots = components(verified(named, members))
-    linked = roots.join(groups.select(F.col("id").alias("node"), "least"), "node").select("node", "root", "least")
+    linked = written(roots.join(groups.select(F.col("id").alias("node"), "least"), "node").select("node", "root", "least"), "linked")
     # Who is not the least of his group goes: as a copy by its shingles, or as a node whose group has a lesser.
-    first = linked.groupBy("root").agg(F.min_by("node", F.struct("least", "node")).alias("keeps"))
-    gone = linked.join(first, "root").filter("node <> keeps").select(F.col("node").alias("id"))
-    ids = written(groups.join(gone, "id", "left_anti").select("least.*").withColumnRenamed("own", "__own"), "kept")
-    rows = named.withColumn("__own", F.xxhash64(F.col("text").cast("string"))).join(ids, ["doc_id", "__own"])
-    one = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(F.lit(0)))
-    rows = rows.withColumn("__nth", one).filter("__nth = 1").select(*docs.columns)
-    return rows.unionByName(docs.filter("doc_id is null"))
+    first = written(linked.groupBy("root").agg(F.min_by("node", F.struct("least", "node")).alias("keeps"), F.count("*").alias("n")), "first")
+    gone = even_join(linked, first, "root").filter("node <> keeps").select(F.col("node").alias("id"))
+    stays = groups.join(gone, "id", "left_anti").select("least.*", F.lit(True).alias("stays"))
+    # Rows that go, and rows that repeat and of which one stays: keys of two numbers, so that texts need not move.
+    keys = prints.groupBy("doc_id", "own").agg(F.count("*").alias("n")).join(stays, ["doc_id", "own"], "left")
+    odd = written(keys.filter("stays is null or n > 1").select(F.col("doc_id").alias("__id"), F.col("own").alias("__own"), F.col("n").alias("__n"), F.col("stays").alias("__stays")), "odd-rows")
+    same_row = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__own"))
+    out = named.join(sized(odd), same_row, "left_anti")
+    twice = odd.filter("__stays")
+    if not twice.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("__id", "__own").orderBy(F.lit(0)))
+        out = out.unionByName(named.join(sized(twice), same_row).withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns))
+    return out.unionByName(docs.filter("doc_id is null"))
