@@ -1,34 +1,41 @@
 """Operator 6: scoring texts with a probabilistic suffix tree.
 
-A text is the sequence of its words, A-Z lower-cased, and one end. The tree reads
-it as bytes: words with one blank between them, then the end symbol. Its states
-are contexts of up to ``depth`` preceding bytes:
+A text is the sequence of its words, A-Z lower-cased, and one end. The tree reads it as
+bytes: words with one blank between them, then the end. Its states are contexts of up to
+``DEPTH`` preceding bytes, whatever words they lie in; before a text are ends.
 
-1. All windows of depth + 1 bytes of all training texts are counted, summed before
+1. The windows (context and next byte) of all training texts are counted, summed before
    the shuffle, so that the counts cover the whole corpus.
-2. A context is a candidate if its share of all positions is at least ``P_MIN``;
-   at most depth / P_MIN contexts can be, so that what the driver gets is bounded.
-3. A candidate is retained if its next-symbol distribution diverges from that of
-   its suffix, one byte shorter, by at least ``BITS`` bits (Kullback-Leibler) and,
-   over all its occurrences, ``GAIN`` bits for each symbol seen to follow, or
-   if a longer retained context ends in it.
-4. The distribution of a state is smoothed: its counts plus ``PRIOR`` for each symbol seen times the
-   smoothed distribution of its suffix; the root's by one more of each symbol.
-5. A byte is scored in the state of the longest suffix before it.
+2. A context is a candidate if it occurs ``MIN_COUNT`` times: nothing is cut by share, so
+   that the tree grows with the corpus.
+3. A candidate is retained if its next-byte distribution diverges from that of its
+   suffix, one byte shorter, by at least ``BITS`` bits (Kullback-Leibler) and, over all
+   its occurrences, ``GAIN`` bits for each byte seen to follow, or if a longer retained
+   context ends in it. Contexts of up to ``LOW`` bytes are all retained: they name the
+   shard in which the longer ones that end in them are built, each in one task.
+4. A state's distribution is its counts plus ``PRIOR`` for each byte seen times the
+   smoothed distribution of its suffix; the root's adds one for each of 256 bytes. Only
+   bytes seen are stored; the rest of the weight goes to the suffix.
+5. A byte is scored in the state of the longest suffix of its context. A tree of up to
+   ``MOST_ROWS`` rows is broadcast at once. A larger one goes out by groups of shards; a
+   pass over the texts for each group scores the bytes whose contexts end in its shards,
+   so that each byte is looked up once however many passes there are.
 
 The base score needs the training count of every word of every document. Chunks
 of documents list their distinct words, so that words are joined to their counts
-once a chunk and not once a document.
+once a chunk and not once a document; words that many chunks list are broadcast, up to a
+fixed number, so that no task gets all rows of one word.
 
-A null text is empty and has only the end. Repeated rows are scored alike and
-counted as often as they occur; a null doc_id counts as the empty id. Without
-training texts every byte has the same probability, and the base score is zero.
+A null or empty text has only the end. Repeated rows are scored alike and counted as
+often as they occur; a null doc_id counts as the empty id. Long texts are read whole.
+Without training texts every byte has the same probability, and the base score is zero.
+An empty table gives no rows. Columns beyond doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +43,141 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import doc_fold, written
+from pagemill.llm.common import doc_fold, even_join, written
 from pagemill.llm.tokens import byte_table, mapped, raw_bytes, slices, words
 
 #: No word holds a line end, so that it can stand for the end and for what precedes a text.
-END = 10
-DEPTH = 5
-P_MIN = 2e-6
+END, BLANK = 10, 32
+#: Contexts of seven bytes at most go into one number with the next byte.
+DEPTH, LOW = 6, 2
+MIN_COUNT = 8
 BITS = 0.02
-GAIN = 2.0
+GAIN = 3.0
 PRIOR = 2.0
-CHUNK = 8 << 20
+CHUNK = 16 << 20
 HELD_WINDOWS = 1_500_000
+#: Rows of a tree that are broadcast at once, 12 bytes each.
+MOST_ROWS = 4_000_000
+#: A word that more chunks list is joined by broadcast.
+HUB = 16
+
+
+def _suffix(key: np.ndarray, d: int) -> np.ndarray:
+    """The last d bytes of the context and the next byte."""
+    return key if d >= 7 else key & np.uint64((1 << (8 * (d + 1))) - 1)
+
+
+def _found(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted number in the sorted names, and whether it is there."""
+    if not len(names):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+    return at, names[at] == wanted
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    names, back = np.unique(key, return_inverse=True)
+    return names, np.bincount(back, n, len(names))
+
+
+@dataclass
+class Level:
+    """States of one length: contexts with the weight that is left to their suffix; and contexts with a next byte seen, as one number, with its probability."""
+
+    context: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    seen: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    p: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+
+def root_of(n: np.ndarray) -> np.ndarray:
+    """From the counts of the 256 bytes."""
+    return (n + 1.0) / (n.sum() + 256.0)
+
+
+def grow(key: np.ndarray, n: np.ndarray, first: int, last: int, above: tuple[np.ndarray, np.ndarray], all_kept: bool = False) -> list[Level]:
+    """States of ``first`` to ``last`` bytes from windows (distinct or not) and their counts.
+
+    above: the smoothed probabilities of all windows of one byte less, as sorted windows and values.
+    """
+    levels: list[tuple[Level, np.ndarray, np.ndarray]] = []
+    for d in range(first, last + 1):
+        seen, counts = _summed(_suffix(key, d), n)
+        context, owner = np.unique(seen >> np.uint64(8), return_inverse=True)
+        total = np.bincount(owner, counts, len(context))
+        kinds = np.bincount(owner, minlength=len(context))
+        often = (total >= MIN_COUNT)[owner]
+        at, _ = _found(above[0], _suffix(seen, d - 1))
+        up = above[1][at]
+        weight = PRIOR * kinds
+        p = (counts + weight[owner] * up) / (total + weight)[owner]
+        # A rarer context is no state; the longer ones that end in it are rarer still.
+        p = np.where(often, p, up)
+        above = (seen, p)
+        share = counts / total[owner]
+        apart = np.maximum(np.bincount(owner, share * np.log2(share / up), len(context)), 0.0)
+        kept = total >= MIN_COUNT
+        if not all_kept:
+            kept &= (apart >= BITS) & (apart * total >= GAIN * kinds)
+        levels.append((Level(context, weight / (total + weight), seen, p), kept, owner))
+    out: list[Level] = []
+    needed = np.zeros(0, np.uint64)
+    for (level, kept, owner), d in zip(reversed(levels), range(last, first - 1, -1)):
+        kept |= np.isin(level.context, needed)
+        needed = np.unique(level.context[kept] & np.uint64((1 << (8 * (d - 1))) - 1))
+        rows = kept[owner]
+        out.append(Level(level.context[kept], level.rest[kept].astype(np.float32), level.seen[rows], level.p[rows].astype(np.float32)))
+    return out[::-1]
+
+
+@dataclass
+class Tree:
+    """root: 256 probabilities; levels: states of 1, 2, ... bytes."""
+
+    root: np.ndarray
+    levels: list[Level]
+
+    def log10(self, key: np.ndarray) -> np.ndarray:
+        """Of the next byte of each window, in the state of the longest suffix of its context."""
+        windows, back = np.unique(key, return_inverse=True)
+        p = self.root[(windows & np.uint64(255)).astype(np.int64)]
+        alive = np.arange(len(windows))
+        for d, level in enumerate(self.levels, 1):
+            own = _suffix(windows[alive], d)
+            at, there = _found(level.context, own >> np.uint64(8))
+            alive, own, at = alive[there], own[there], at[there]
+            if not len(alive):
+                break
+            to, seen = _found(level.seen, own)
+            p[alive] = np.where(seen, level.p[to] if len(level.p) else 0.0, level.rest[at] * p[alive])
+        return np.log10(p)[back]
+
+
+def one_tree(key: np.ndarray, n: np.ndarray, depth: int, low: int = 0) -> Tree:
+    """The tree of windows in memory; contexts of up to ``low`` bytes are all retained."""
+    root = root_of(np.bincount((key & np.uint64(255)).astype(np.int64), n, 256))
+    above = (np.arange(256, dtype=np.uint64), root)
+    levels: list[Level] = []
+    if low:
+        levels = grow(key, n, 1, low, above, all_kept=True)
+        above = smoothed(root, key, n, low)
+    return Tree(root, levels + (grow(key, n, low + 1, depth, above) if depth > low else []))
+
+
+def smoothed(root: np.ndarray, key: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of ``depth`` bytes of context with their smoothed probabilities."""
+    above = (np.arange(256, dtype=np.uint64), root)
+    for d in range(1, depth + 1):
+        seen, counts = _summed(_suffix(key, d), n)
+        context, owner = np.unique(seen >> np.uint64(8), return_inverse=True)
+        total, kinds = np.bincount(owner, counts, len(context)), np.bincount(owner, minlength=len(context))
+        up = above[1][_found(above[0], _suffix(seen, d - 1))[0]]
+        p = (counts + PRIOR * kinds[owner] * up) / (total + PRIOR * kinds)[owner]
+        above = (seen, np.where((total >= MIN_COUNT)[owner], p, up))
+    return above
+
+
+# -- windows
 
 
 def stream(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +185,7 @@ def stream(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
     trimmed = pc.ascii_trim(mapped(texts, byte_table(lower=True)), characters=" ")
     ends = pa.scalar("\n" * depth, pa.large_string())
     raw, offsets = raw_bytes(pc.binary_join_element_wise(trimmed, ends, pa.scalar("", pa.large_string())))
-    blank = raw == 32
+    blank = raw == BLANK
     double = blank[1:] & blank[:-1]
     if double.any():  # of a run of blanks the last stays
         gone = np.flatnonzero(double)
@@ -64,21 +194,28 @@ def stream(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((np.full(depth, END, dtype=np.uint8), raw)), offsets[1:]  # depth ends before, as many after each text
 
 
-def scored(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Places of the bytes that count: all but the ends that only fill up."""
+def windows(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every byte and end of the texts in turn the ``depth`` bytes before it and itself, as one number; and where each text's begin."""
+    data, at = stream(texts, depth)
     place = np.ones(len(data), dtype=bool)
     place[:depth] = False
     for k in range(1, depth):
         place[at + k] = False
-    return np.flatnonzero(place)
+    place[at[-1] + 1 :] = False
+    out = np.zeros(len(data), dtype=np.uint64)
+    for k in range(depth, -1, -1):
+        out[k:] |= data[: len(data) - k].astype(np.uint64) << np.uint64(8 * k)
+    size = np.diff(np.concatenate(([0], at))) - np.concatenate(([depth - 1], np.full(len(at) - 1, depth - 1)))
+    return out[place], np.cumsum(size) - size
 
 
-def windows(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The ``depth`` bytes before each scored byte and the byte, as one number."""
-    out = np.zeros(len(data), dtype=np.int64)
-    for k in range(depth, -1, -1):
-        out[k:] |= data[: len(data) - k].astype(np.int64) << (8 * k)
-    return out[scored(data, at, depth)]
+def _text_slices(texts: pa.Array, most: int) -> list[tuple[int, int]]:
+    return slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8, most)
+
+
+def _arrays(rows: DataFrame, *columns: str) -> list[np.ndarray]:
+    table = rows.toArrow()
+    return [table[c].to_numpy() for c in columns]
 
 
 def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
@@ -86,24 +223,22 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
     held = 0
 
     def summed() -> tuple[np.ndarray, np.ndarray]:
-        key, back = np.unique(np.concatenate(keys), return_inverse=True)
-        return key, np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
+        return _summed(np.concatenate(keys), np.concatenate(counts))
 
     def sent(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(key), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)]), pa.array(n[a : a + (1 << 16)])], ["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)].view(np.int64)), pa.array(n[a : a + (1 << 16)].astype(np.int64))], ["key", "n"])
 
     for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for a, b in slices(size + 8, 4 << 20):
-            key, n = np.unique(windows(*stream(batch["text"].slice(a, b - a), depth), depth), return_counts=True)
+        for a, b in _text_slices(batch["text"], 4 << 20):
+            key, n = np.unique(windows(batch["text"].slice(a, b - a), depth)[0], return_counts=True)
             keys.append(key)
             counts.append(n)
             held += len(key)
-            if held >= HELD_WINDOWS:
+            if held >= 2 * HELD_WINDOWS:
                 key, n = summed()
                 keys, counts, held = [key], [n], len(key)
-                if held >= HELD_WINDOWS // 2:  # hardly any repeat: no use in keeping them
+                if held >= HELD_WINDOWS:  # few repeat: no use in keeping them
                     yield from sent(key, n)
                     keys, counts, held = [], [], 0
     if keys:
@@ -117,108 +252,111 @@ def count_windows(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return parts.groupBy("key").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Tree:
-    """Row 0 is the root. classes: byte -> column; child: longer context by the byte before it, or -1."""
-
-    depth: int
-    classes: np.ndarray
-    child: np.ndarray
-    logp: np.ndarray
-
-
-def candidates(counted: DataFrame, depth: int, p_min: float) -> pa.Table:
-    """d, ctx, next, n of every context that is frequent enough."""
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    each = [
-        F.struct(F.lit(d).alias("d"), F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * d)) - 1)).alias("ctx")) for d in range(depth + 1)
-    ]
-    rows = counted.select(F.explode(F.array(*each)).alias("s"), F.col("key").bitwiseAND(F.lit(255)).alias("next"), "n")
-    rows = rows.groupBy("s.d", "s.ctx", "next").agg(F.sum("n").alias("n"))
-    often = rows.groupBy("d", "ctx").agg(F.sum("n").alias("m")).filter(F.col("m") >= p_min * total).select("d", "ctx")
-    return rows.join(often, ["d", "ctx"]).toArrow()
-
-
-def build(table: pa.Table, depth: int, bits: float = BITS, gain: float = GAIN, prior: float = PRIOR) -> Tree:
-    """Divergence tests and smoothing, from the shortest contexts to the longest."""
-    d, ctx, nxt, n = (table[c].to_numpy().astype(np.int64) for c in ("d", "ctx", "next", "n"))
-    used = np.unique(np.concatenate((nxt, [END])))
-    classes = np.full(256, len(used), dtype=np.int64)  # the last column stands for each byte that never occurred
-    classes[used] = np.arange(len(used))
-    wide = len(used) + 1
-    missing = 256 - len(used)
-    root = np.zeros(wide)
-    np.add.at(root, classes[nxt[d == 0]], n[d == 0])
-    root = (root + 1) / (root.sum() + 256)
-    if missing == 0:
-        root[-1] = 0
-    names: list[dict[int, int]] = [{0: 0}]
-    dist, parents, needed = [root], [-1], [True]
-    for level in range(1, depth + 1):
-        own = np.flatnonzero(d == level)
-        own = own[np.argsort(ctx[own], kind="stable")]
-        names.append({})
-        if not len(own):
+# -- the tree
+
+
+TREE = "shard int, d int, name long, seen boolean, value float"
+
+
+def _shards(batches: Iterator[pa.RecordBatch], low: tuple[np.ndarray, np.ndarray], depth: int) -> Iterator[pa.RecordBatch]:
+    """The states of more than LOW bytes, shard by shard, from windows sorted by shard."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        key, n = (np.concatenate(x) for x in zip(*held))
+        shard = int(_suffix(key[:1], LOW)[0] >> np.uint64(8))
+        for d, level in enumerate(grow(key, n, LOW + 1, depth, low), LOW + 1):
+            for name, value, seen in ((level.context, level.rest, False), (level.seen, level.p, True)):
+                if len(name):
+                    columns = [np.full(len(name), shard, np.int32), np.full(len(name), d, np.int32), name.view(np.int64), np.full(len(name), seen), value]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], [c.split()[0] for c in TREE.split(", ")])
+
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        keys, first = np.unique(ctx[own], return_index=True)
-        for key, a, b in zip(keys.tolist(), first, [*first[1:], len(own)]):
-            up = names[level - 1].get(key & ((1 << (8 * (level - 1))) - 1))
-            if up is None:
-                continue
-            rows = own[a:b]
-            counts = np.zeros(wide)
-            counts[classes[nxt[rows]]] = n[rows]
-            weight = prior * len(rows)  # Witten-Bell: the more symbols follow, the less a context's own counts say
-            p = ((counts + weight * dist[up]) / (counts.sum() + weight)).astype(np.float32)
-            own_p = counts[counts > 0] / counts.sum()
-            apart = float((own_p * np.log2(own_p / dist[up][counts > 0])).sum())
-            k = names[level][key] = len(dist)
-            dist.append(p)
-            parents.append(up)
-            needed.append(apart >= bits and apart * counts.sum() >= gain * len(rows))
-            if needed[k]:
-                while up >= 0 and not needed[up]:  # the suffixes of a retained context are states too
-                    needed[up] = True
-                    up = parents[up]
-    order = np.flatnonzero(needed)
-    number = {int(k): i for i, k in enumerate(order)}
-    child = np.full((len(order), wide), -1, dtype=np.int32)
-    for level in range(1, depth + 1):
-        for key, k in names[level].items():
-            if k in number:
-                child[number[parents[k]], classes[key >> (8 * (level - 1))]] = number[k]
-    with np.errstate(divide="ignore"):
-        logp = np.log10(np.array([dist[k] for k in order])).astype(np.float32)
-    return Tree(depth, classes, child, logp)
-
-
-def fit(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN) -> Tree:
-    """The tree of all texts of ``docs``."""
+        key, n = batch["key"].to_numpy().view(np.uint64), batch["n"].to_numpy().astype(np.float64)
+        shard = _suffix(key, LOW) >> np.uint64(8)
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(key)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and (_suffix(held[-1][0][-1:], LOW) >> np.uint64(8))[0] != shard[a]:
+                yield from rows()
+                held = []
+            held.append((key[a:b], n[a:b]))
+    if held:
+        yield from rows()
+
+
+def fit(docs: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
+    """The root and the LOW levels, of at most 2**24 windows, on the driver; the further states as a stored table (TREE)."""
     counted = written(count_windows(docs, depth), "suffix-windows")
-    return build(candidates(counted, depth, p_min), depth)
-
-
-def log10_probability(tree: Tree, texts: pa.Array) -> np.ndarray:
-    """Of each whole text, its end included."""
-    data, at = stream(texts, tree.depth)
-    first = tree.depth  # every place has so many bytes before it
-    column = tree.classes[data].astype(np.int32)
-    wide = np.int32(tree.child.shape[1])
-    child = tree.child.ravel()
-    state = np.zeros(len(data) - first, dtype=np.int32)
-    alive = np.ones(len(state), dtype=bool)
-    for k in range(1, tree.depth + 1):
-        found = child[state * wide + column[first - k : len(data) - k]]
-        alive &= found >= 0
-        np.copyto(state, found, where=alive)
-    value = tree.logp.ravel()[state * wide + column[first:]].astype(np.float64)
-    # The ends that only fill up, behind each text's own, count nothing.
-    sums = np.concatenate(([0.0], np.cumsum(value)))
-    starts = np.concatenate(([first], at[:-1] + tree.depth))
-    return sums[at + 1 - first] - sums[starts - first]
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.RecordBatch]:
+    short = counted.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * (LOW + 1))) - 1)).alias("key")).agg(F.sum("n").alias("n"))
+    key, n = _arrays(short, "key", "n")
+    key, n = key.view(np.uint64), n.astype(np.float64)
+    top = one_tree(key, n, LOW, LOW)
+    low = smoothed(top.root, key, n, LOW)
+    shard = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * LOW)) - 1))
+    rows = counted.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard").select("key", "n")
+    return top, written(rows.mapInArrow(lambda it: _shards(it, low, depth), TREE), "suffix-tree")
+
+
+def shard_groups(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
+    """Shards (number, rows) in groups of at most ``most`` rows; a larger shard stands alone."""
+    out: list[list[int]] = []
+    held = most + 1
+    for shard, n in sorted(sizes):
+        if held + n > most:
+            out.append([])
+            held = 0
+        out[-1].append(shard)
+        held += n
+    return out
+
+
+def trees(top: Tree, states: DataFrame, depth: int, most: int) -> Iterator[tuple[Tree, np.ndarray]]:
+    """The tree by groups of shards of ``most`` rows, each with a mark for the contexts that it scores."""
+    sizes = [(r.shard, r["count"]) for r in states.groupBy("shard").count().collect()]  # at most 2**16
+    groups = shard_groups(sizes, most) or [[]]
+    for i, group in enumerate(groups):
+        mine = np.zeros(1 << (8 * LOW), dtype=bool)
+        mine[group] = True
+        if not i:  # contexts of no shard are scored with the first group
+            mine[[s for s in range(len(mine)) if s not in {s for g in groups for s in g}]] = True
+        d, name, seen, value = _arrays(states if len(groups) == 1 else states.filter(F.col("shard").isin(group)), "d", "name", "seen", "value")
+        levels = list(top.levels)
+        for level in range(LOW + 1, depth + 1):
+            made = []
+            for kind in (False, True):
+                at = np.flatnonzero((d == level) & (seen == kind))
+                at = at[np.argsort(name[at].view(np.uint64))]
+                made += [name[at].view(np.uint64), value[at].astype(np.float32)]
+            levels.append(Level(*made))
+        yield Tree(top.root, levels), mine
+
+
+def log10_probability(tree: Tree, mine: np.ndarray, depth: int, texts: pa.Array) -> np.ndarray:
+    """Of each whole text, its end included: of the bytes whose contexts are ``mine``."""
+    key, begins = windows(texts, depth)
+    value = np.zeros(len(key))
+    own = mine[(_suffix(key, LOW) >> np.uint64(8)).astype(np.int64)]
+    if own.all():
+        value = tree.log10(key)
+    elif own.any():
+        value[own] = tree.log10(key[own])
+    return np.add.reduceat(value, begins)
+
+
+# -- documents
+
+
+def _partial(batches: Iterator[pa.RecordBatch], tree: Tree, mine: np.ndarray, depth: int) -> Iterator[pa.RecordBatch]:
+    """own, part: what the contexts of one further group add to each text."""
+    for batch in batches:
+        for a, b in _text_slices(batch["text"], 2 << 20):
+            value = log10_probability(tree, mine, depth, batch["text"].slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([batch["own"].slice(a, b - a), pa.array(value)], ["own", "part"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], tree: Tree, mine: np.ndarray, depth: int) -> Iterator[pa.RecordBatch]:
     """A row for each chunk of documents; see CHUNKS."""
     from pyspark import TaskContext
 
@@ -229,17 +367,18 @@ def _chunks(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.Record
     def row() -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
         texts = table["text"].chunk(0)
-        codes, distinct, starts = words(texts, byte_table(lower=True))
-        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        score = [log10_probability(tree, texts.slice(a, b - a)) for a, b in slices(size + 8, 2 << 20)]
-        owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(starts))
+        codes, distinct, begins = words(texts, byte_table(lower=True))
+        score = []
+        for a, b in _text_slices(texts, 2 << 20):
+            score.append(log10_probability(tree, mine, depth, texts.slice(a, b - a)))
+        owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(begins))
         pair, times = np.unique(owner * max(1, len(distinct)) + codes, return_counts=True)
         doc, code = pair // max(1, len(distinct)), pair % max(1, len(distinct))
         held_out = table["held_out"].to_numpy(zero_copy_only=False).astype(bool)
         train = np.bincount(code, times * ~held_out[doc], len(distinct)).astype(np.int64)
         values = [
-            (part << 32) | seq, table["doc_id"].to_pylist(), held_out.tolist(), (np.diff(starts) + 1).tolist(), np.concatenate(score).tolist(),
-            doc.astype("<i4").tobytes(), code.astype("<i4").tobytes(), times.astype("<i4").tobytes(), distinct.to_pylist(), train.tolist(),
+            (part << 32) | seq, table["doc_id"].to_pylist(), held_out.tolist(), (np.diff(begins) + 1).tolist(), np.concatenate(score).tolist(),
+            doc.astype("<i4").tobytes(), code.astype("<i4").tobytes(), times.astype("<i4").tobytes(), table["own"].to_pylist(), distinct.to_pylist(), train.tolist(),
         ]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(values, CHUNKS)], [n for n, _ in CHUNKS])
 
@@ -257,14 +396,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.Record
 
 CHUNKS = [
     ("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())),
-    ("score", pa.list_(pa.float64())), ("doc", pa.binary()), ("code", pa.binary()), ("times", pa.binary()),
+    ("score", pa.list_(pa.float64())), ("doc", pa.binary()), ("code", pa.binary()), ("times", pa.binary()), ("own", pa.list_(pa.int64())),
     ("word", pa.list_(pa.string())), ("train", pa.list_(pa.int64())),
 ]
 CHUNKS_SQL = (
     "chunk long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, score array<double>, "
-    "doc binary, code binary, times binary, word array<string>, train array<long>"
+    "doc binary, code binary, times binary, own array<long>, word array<string>, train array<long>"
 )
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, own long"
 
 
 def with_base(chunk: pa.Table, counts: pa.Table, tokens: int, distinct: int, ends: int) -> pa.Table:
@@ -279,23 +418,36 @@ def with_base(chunk: pa.Table, counts: pa.Table, tokens: int, distinct: int, end
     base = np.bincount(doc, times * np.log10(c[code] + 1.0), n) + np.log10(ends + 1.0) - size * np.log10(tokens + distinct + 1.0)
     columns = [
         pa.array(r["doc_id"], pa.int64()), pa.array(r["held_out"], pa.bool_()), pa.array(size), pa.array(known),
-        pa.array(np.full(n, tokens, dtype=np.int64)), pa.array(base), pa.array(r["score"], pa.float64()),
+        pa.array(np.full(n, tokens, dtype=np.int64)), pa.array(base), pa.array(r["score"], pa.float64()), pa.array(r["own"], pa.int64()),
     ]
     return pa.Table.from_arrays(columns, [x.split()[0] for x in RESULT.split(", ")])
 
 
-def score(docs: DataFrame, depth: int = DEPTH, parts: int = 7, out: int = 2) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, parts: int = 7, out: int = 2, most: int | None = None) -> DataFrame:
     """Learn from documents whose crc32(doc_id as text) mod ``parts`` is not ``out``; score all."""
+    spark = docs.sparkSession
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (doc_fold("doc_id", parts) == out).alias("held_out"), F.col("text").cast("string").alias("text")
-    )
-    tree = docs.sparkSession.sparkContext.broadcast(fit(rows.filter(~F.col("held_out")), depth))
-    packed = written(rows.mapInArrow(lambda it: _chunks(it, tree.value), CHUNKS_SQL), "suffix-chunks")
+    ).withColumn("own", F.xxhash64("doc_id", "text"))
+    further = None
+    for number, (tree, mine) in enumerate(trees(*fit(rows.filter(~F.col("held_out")), depth), depth, MOST_ROWS if most is None else most)):
+        shared = spark.sparkContext.broadcast((tree, mine))
+        if not number:
+            packed = written(rows.mapInArrow(lambda it, s=shared: _chunks(it, *s.value, depth), CHUNKS_SQL), "suffix-chunks")
+        else:  # repeated rows have the same part
+            part = rows.select("own", "text").mapInArrow(lambda it, s=shared: _partial(it, *s.value, depth), "own long, part double")
+            part = written(part.groupBy("own").agg(F.max("part").alias("part")), "suffix-parts")
+            further = part if further is None else further.unionByName(part)
+        shared.unpersist()
     listed = packed.select(F.col("chunk").alias("at"), F.posexplode(F.arrays_zip("word", "train")).alias("code", "w")).select("at", "code", "w.word", "w.train")
-    counts = written(listed.filter("train > 0").groupBy("word").agg(F.sum("train").alias("c")), "suffix-words")
+    counts = written(listed.groupBy("word").agg(F.sum("train").alias("c"), F.count("*").alias("n")).filter("c > 0"), "suffix-words")
     total = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     ends = packed.select(F.explode("held_out").alias("h")).filter("not h").count()
     tokens, distinct = total[1] + ends, total[0] + (ends > 0)
-    found = listed.select("at", "code", "word").join(counts, "word").select("at", "code", "c")
+    found = even_join(listed.select("at", "code", "word"), counts, "word", hub=HUB).select("at", "code", "c")
     both = packed.drop("word", "train").groupBy("chunk").cogroup(found.groupBy("at"))
-    return both.applyInArrow(lambda a, b: with_base(a, b, tokens, distinct, ends), RESULT)
+    made = both.applyInArrow(lambda a, b: with_base(a, b, tokens, distinct, ends), RESULT)
+    if further is not None:
+        added = further.groupBy("own").agg(F.sum("part").alias("part"))
+        made = made.join(added, "own", "left").withColumn("score", F.col("score") + F.coalesce("part", F.lit(0.0)))
+    return made.drop("own", "part")
