@@ -1,23 +1,32 @@
 """Operator 9: SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three machines are compiled from a model file:
-
-* normaliser: maps blanks to the mark U+2581 and inserts the dummy prefix;
-* pieces: a trie from characters to pieces, each with weight -score;
-* byte fallback: a character without a piece goes to the ids of its UTF-8 bytes.
-
-A unigram model is their composition with the text, and its encoding the shortest
-path in the tropical semiring. A BPE model is not: it merges by rank, whatever the
-sum of scores. It is composed with one more acceptor, whose states are pieces and
-which has an arc from piece a to piece b, of weight zero, exactly if merging a + b
-gives a, b again; any other arc weighs infinity. A sequence is the BPE encoding of
-its text if and only if every adjacent pair has such an arc, so that one path of
-finite weight remains, one state alive at each position, and the shortest path is
-the encoding. Arcs of this acceptor are made when first asked for. Equal ranks
-(runs of blanks) break that property; units with such runs are merged directly.
+Three weighted machines are compiled from a model file:
+
+* normaliser: the model's table of replacements, of which the longest that matches is
+  taken at each place (leftmost first); blanks at the ends and runs of them go, if the
+  model says so; blanks become the mark U+2581 and the dummy prefix is put in;
+* pieces: a trie from characters to pieces, each with its weight, -score;
+* byte fallback: a character without a piece goes to the ids of its UTF-8 bytes, or to
+  the unknown id where there are none, at the weight of 10 beyond the worst piece.
+
+A text is put through the normaliser and composed with the other two; its encoding is
+the shortest path of the composition in the tropical semiring (weights add along a path,
+the least of the paths into a state is kept; of equal ones the one with the longest
+last piece, which is found first).
+
+A unigram model is that composition. A BPE model merges by rank, whatever the sum of
+scores, and is composed with one more acceptor, whose states are pieces and whose arc
+from piece a to piece b weighs nothing if merging a + b gives a, b again, and infinity
+otherwise. A sequence is the BPE encoding of its text if and only if every adjacent pair
+has a finite arc. Arcs of this acceptor are made when first asked for. Equal ranks (runs
+of blanks) break that property; a unit with such a run is one arc, made by merging.
 
 Characters that no piece joins cut the text into units; the paths of units that
-recur are kept in bounded tables.
+recur are kept in bounded tables, those of very long units are not.
+
+A null or empty text has no ids and decodes to the empty text. Repeated rows are encoded
+alike. Long texts are encoded whole. An empty table gives no rows. Columns beyond doc_id
+and text are not read. Models with user-defined pieces are refused.
 """
 
 from __future__ import annotations
@@ -37,8 +46,9 @@ from pagemill.llm.tokens import slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+INFINITE = float("inf")
 UNIGRAM, BPE = 1, 2
-MOST_UNITS, MOST_ARCS = 400_000, 400_000
+MOST_UNITS, MOST_ARCS, LONG_UNIT = 400_000, 400_000, 64
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -66,6 +76,38 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+class Replacements:
+    """The normaliser's table: a double array over the bytes of what is replaced, and the replacements, each ended by a zero.
+
+    Fixed values: the layout of a unit. Bits 0-7 are its label and bit 31 marks values; bit 8
+    says that a value follows; bits 10-30 are the offset to its children, in steps of 256 if bit 9 is set.
+    """
+
+    def __init__(self, table: bytes):
+        (size,) = struct.unpack_from("<I", table, 0)
+        self.units = np.frombuffer(table, "<u4", size // 4, 4).tolist()
+        self.texts = table[4 + size :]
+
+    @staticmethod
+    def offset(unit: int) -> int:
+        return (unit >> 10) << (8 if unit & 512 else 0)
+
+    def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
+        """Bytes that the longest match at a place takes, and what replaces them."""
+        units, found = self.units, None
+        node = self.offset(units[0])
+        for end in range(at, len(data)):
+            node ^= data[end]
+            unit = units[node]
+            if unit & 0x800000FF != data[end]:
+                break
+            node ^= self.offset(unit)
+            if unit & 256:
+                start = units[node] & 0x7FFFFFFF
+                found = end + 1 - at, self.texts[start : self.texts.index(0, start)]
+        return found
+
+
 class Transducer:
     """Compiled from the bytes of a model file."""
 
@@ -73,7 +115,8 @@ class Transducer:
         self.pieces: list[str] = []
         self.scores: list[float] = []
         kinds: list[int] = []
-        self.kind, self.prefix = UNIGRAM, True
+        self.kind, self.prefix, self.squeeze, self.mark = UNIGRAM, True, True, True
+        self.replacements: Replacements | None = None
         for number, value in _fields(model):
             if number == 1:
                 piece = dict(_fields(value))
@@ -84,9 +127,8 @@ class Transducer:
                 self.kind = dict(_fields(value)).get(3, UNIGRAM)
             elif number == 3:
                 norm = dict(_fields(value))
-                self.prefix = bool(norm.get(3, 1))
-                if norm.get(2) or norm.get(4, 1) or not norm.get(5, 1):
-                    raise ValueError("only the identity normaliser that keeps and marks blanks is compiled")
+                self.prefix, self.squeeze, self.mark = (bool(norm.get(k, 1)) for k in (3, 4, 5))
+                self.replacements = Replacements(norm[2]) if norm.get(2) else None
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("unigram and BPE models only")
         if USER in kinds:
@@ -123,8 +165,23 @@ class Transducer:
     # -- machines
 
     def normalise(self, text: str) -> str:
-        text = text.replace(" ", MARK)
-        return MARK + text if self.prefix and text else text
+        if self.replacements is not None:
+            data, at, out = text.encode("utf-8", "replace"), 0, []
+            while at < len(data):
+                found = self.replacements.longest(data, at)
+                if found is None:  # one character as it is
+                    end = at + 1
+                    while end < len(data) and data[end] & 0xC0 == 0x80:
+                        end += 1
+                    found = end - at, data[at:end]
+                out.append(found[1])
+                at += found[0]
+            text = b"".join(out).decode("utf-8", "replace")
+        if self.squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
+        if self.prefix and text:
+            text = " " + text
+        return text.replace(" ", MARK) if self.mark else text
 
     def fallback(self, char: str) -> list[int]:
         found = [self.bytes.get(b) for b in char.encode("utf-8", "replace")]
@@ -175,72 +232,50 @@ class Transducer:
     # -- composition with a unit and its shortest path
 
     def path(self, unit: str) -> list[int]:
-        if self.kind == BPE:
-            return self.bpe_path(unit)
-        n = len(unit)
-        cost, back = [float("inf")] * (n + 1), [(0, -1)] * (n + 1)
+        """Ids on the shortest path of the composition with a unit."""
+        bpe = self.kind == BPE
+        if bpe and MARK + MARK in unit:
+            return self.merged_ids(unit)
+        n, size = len(unit), len(self.pieces)
+        trie, arcs, scores = self.trie, self.arcs, self.scores
+        cost = [INFINITE] * (n + 1)
+        last, start = [-1] * (n + 1), [0] * (n + 1)  # the piece that ends here on the best path, and where it begins
         cost[0] = 0.0
         for i in range(n):
-            node, j, single = self.trie, i, False
+            here = cost[i]
+            if here == INFINITE:
+                continue
+            node, j, single, base = trie, i, False, last[i] * size
             while j < n and (node := node.get(unit[j])) is not None:
                 j += 1
                 k = node.get("")
-                if k is not None:
-                    single |= j == i + 1
-                    if cost[i] - self.scores[k] < cost[j]:
-                        cost[j], back[j] = cost[i] - self.scores[k], (i, k)
-            if not single and cost[i] - self.worst < cost[i + 1]:
-                cost[i + 1], back[i + 1] = cost[i] - self.worst, (i, -1)
-        out, at = [], n
-        while at:
-            i, k = back[at]
-            out.append(self.fallback(unit[i]) if k < 0 else [k])
-            at = i
-        return [k for part in reversed(out) for k in part]
-
-    def bpe_path(self, unit: str) -> list[int]:
-        if MARK + MARK in unit:
-            return [k for p in self.merged(unit) for k in ([self.ids[p]] if p in self.ids else self.fallback(p))]
-        whole = self.ids.get(unit)
-        if whole is not None and self.arc_alone(whole):
-            return [whole]
-        n = len(unit)
-        state: list[int | None] = [None] * (n + 1)  # the piece that ends here on the path of finite weight
-        start = [0] * (n + 1)
-        state[0] = -1
-        trie, arcs, size = self.trie, self.arcs, len(self.pieces)
-        for i in range(n):
-            last = state[i]
-            if last is None:
-                continue
-            node = trie.get(unit[i])
-            if node is None:
-                state[i + 1], start[i + 1] = -1, i  # by bytes: joins nothing, so the acceptor starts afresh
-                continue
-            j = i + 1
-            base = last * size
-            while True:
-                k = node.get("")
-                if k is not None and state[j] is None:
-                    if last < 0:
-                        good = self.arc_alone(k)
-                    else:
-                        good = arcs.get(base + k)
-                        if good is None:
-                            good = self.arc(last, k)
-                    if good:
-                        state[j], start[j] = k, i
-                if j >= n or (node := node.get(unit[j])) is None:
-                    break
-                j += 1
+                if k is None:
+                    continue
+                single = single or j == i + 1
+                weight = here - scores[k]
+                if weight >= cost[j]:
+                    continue
+                if bpe:
+                    good = self.arc_alone(k) if last[i] < 0 else arcs.get(base + k)
+                    if good is None:
+                        good = self.arc(last[i], k)
+                    if not good:  # an arc of infinite weight
+                        continue
+                cost[j], last[j], start[j] = weight, k, i
+            # A character by bytes joins nothing, so that the acceptor starts afresh behind it.
+            if not single and (not bpe or unit[i] not in trie) and here - self.worst < cost[i + 1]:
+                cost[i + 1], last[i + 1], start[i + 1] = here - self.worst, -1, i
+        if cost[n] == INFINITE:  # a character that is no piece but part of some
+            return self.merged_ids(unit)
         out: list[list[int]] = []
-        at = n
-        while at:
-            i, k = start[at], state[at]
-            out.append(self.fallback(unit[i:at]) if k < 0 else [k])
-            at = i
+        while n:
+            out.append(self.fallback(unit[start[n] : n]) if last[n] < 0 else [last[n]])
+            n = start[n]
         return [k for part in reversed(out) for k in part]
 
+    def merged_ids(self, unit: str) -> list[int]:
+        return [k for p in self.merged(unit) for k in ([self.ids[p]] if p in self.ids else self.fallback(p))]
+
     def arc_alone(self, k: int) -> bool:
         """Whether a piece is the encoding of its own text."""
         key = -1 - k
@@ -258,24 +293,31 @@ class Transducer:
         units = cut.findall(text)
         kept = self.units
         try:
-            return b"".join(map(kept.__getitem__, units))
+            out = b"".join(map(kept.__getitem__, units))
         except KeyError:
-            pass
-        for unit in set(units):
-            if unit not in kept:
-                if len(kept) >= MOST_UNITS:
-                    break
-                kept[unit] = struct.pack(f"<{len(p := self.path(unit))}i", *p)
-        else:
-            return b"".join(map(kept.__getitem__, units))
-        # The table is full: it starts afresh with this text, however many units that has.
-        self.units = {unit: struct.pack(f"<{len(p := self.path(unit))}i", *p) for unit in set(units)}
-        return b"".join(map(self.units.__getitem__, units))
+            out = b"".join([kept.get(u) or self.unit(u) for u in units])
+        return out if self.bytes else self.one_unknown(out)
+
+    def unit(self, unit: str) -> bytes:
+        """The ids of a unit; the table starts afresh when it is full, and long units are not kept."""
+        found = struct.pack(f"<{len(p := self.path(unit))}i", *p)
+        if len(unit) <= LONG_UNIT:
+            if len(self.units) >= MOST_UNITS:
+                self.units.clear()
+            self.units[unit] = found
+        return found
+
+    def one_unknown(self, ids: bytes) -> bytes:
+        """Unknown characters in a row are one unknown."""
+        found = np.frombuffer(ids, "<i4")
+        again = np.zeros(len(found), dtype=bool)
+        again[1:] = (found[1:] == self.unk) & (found[:-1] == self.unk)
+        return found[~again].tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         surface = self.surface
         out = b"".join([surface[k] for k in ids.tolist()]).decode("utf-8", "replace")
-        return out[1:] if self.prefix and out.startswith(" ") else out
+        return out[1:] if (self.prefix or self.squeeze) and out.startswith(" ") else out
 
 
 _MADE: dict[str, Transducer] = {}

@@ -669,23 +669,29 @@ def test_pieces_like_the_library(texts):
         assert machine.decode(ids) == sp.decode(sp.encode(t))
 
 
-def test_unigram_shortest_path():
-    def varint(n):
-        out = b""
-        while True:
-            out += bytes([n & 127 | (128 if n > 127 else 0)])
-            n >>= 7
-            if not n:
-                return out
+def _varint(n):
+    out = b""
+    while True:
+        out += bytes([n & 127 | (128 if n > 127 else 0)])
+        n >>= 7
+        if not n:
+            return out
+
+
+def _sub(number, data):
+    return _varint(number << 3 | 2) + _varint(len(data)) + data
 
-    def sub(number, data):
-        return varint(number << 3 | 2) + varint(len(data)) + data
 
+def _model(pieces, kind, normaliser):
     import struct
 
+    made = b"".join(_sub(1, _sub(1, p.encode()) + b"\x15" + struct.pack("<f", s) + b"\x18" + _varint(k)) for p, s, k in pieces)
+    return made + _sub(2, b"\x18" + _varint(kind)) + _sub(3, normaliser)
+
+
+def test_unigram_shortest_path():
     pieces = [("<unk>", 0.0, 2), ("a", -1.0, 1), ("b", -1.2, 1), ("ab", -1.5, 1), ("aba", -3.9, 1), ("▁", -2.0, 1), ("▁a", -2.5, 1)]
-    model = b"".join(sub(1, sub(1, p.encode()) + b"\x15" + struct.pack("<f", s) + b"\x18" + varint(k)) for p, s, k in pieces)
-    machine = transducer.Transducer(model + sub(2, b"\x18\x01") + sub(3, b"\x18\x01\x20\x00\x28\x01"))
+    machine = transducer.Transducer(_model(pieces, 1, b"\x18\x01\x20\x00\x28\x01"))
     score = {p: s for p, s, k in pieces if k == 1}
 
     def best(t):
@@ -698,6 +704,49 @@ def test_unigram_shortest_path():
         assert abs(sum(score[p] for p in got) - best("▁" + t.replace(" ", "▁"))[0]) < 1e-6
 
 
+def test_normaliser_like_the_library(texts):
+    """The table of replacements of the usual normaliser, with and without blanks squeezed, marks and prefix, under a unigram model."""
+    import random
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    (table,) = [dict(transducer._fields(v))[2] for k, v in transducer._fields(library.serialized_model_proto()) if k == 3]
+    rng = random.Random(4)
+    alphabet = [*"abcAZ é①ﬁＡ漢½Å\t\n\u00a0\u0301\u3000\u200b\u00ad♪가", "e\u0301", "  "]
+    some = [t[:400] for t in list(texts.values())[:40]] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(800)] + ["", " ", "  a  "]
+    letters = sorted({c for t in some for c in library.Normalize(t)} - {"漢", "가", "♪"})
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((c, -4.0 - i / 100, 1) for i, c in enumerate(letters)), ("▁a", -3.0, 1), ("fi", -3.1, 1), ("ab", -3.2, 1)]
+    for flags in (b"\x18\x01\x20\x01\x28\x01", b"\x18\x00\x20\x00\x28\x01", b"\x18\x01\x20\x00\x28\x01"):
+        model = _model(pieces, 1, _sub(2, table) + flags)
+        sp, machine = sentencepiece.SentencePieceProcessor(model_proto=model), transducer.Transducer(model)
+        for t in some:
+            ids = np.frombuffer(machine.encode(t), "<i4")
+            assert ids.tolist() == sp.encode(t), (flags, t)
+
+
+def test_bpe_is_the_only_finite_path(texts):
+    """Of all ways to cut a word into pieces exactly one has finite arcs only: what merging gives."""
+    machine = transducer.compiled(PIECES)
+    words = sorted({w for t in list(texts.values())[:30] for w in t.split()}, key=len)
+    for w in [*words[:200:9], *words[200:600:40], "aaaaaaaa", "lower", "é漢x"]:
+        unit = "▁" + w[:12]
+
+        def ways(t):
+            if not t:
+                yield []
+            for k in range(1, len(t) + 1):
+                if t[:k] in machine.ids or (k == 1 and t[0] not in machine.trie):
+                    yield from ([t[:k], *r] for r in ways(t[k:]))
+
+        finite = []
+        for way in ways(unit):
+            own = [machine.ids.get(p, -1) for p in way]
+            if all(machine.arc_alone(k) for k in own if k >= 0) and all(a < 0 or b < 0 or machine.arc(a, b) for a, b in zip(own, own[1:])):
+                finite.append(way)
+        assert finite == [machine.merged(unit)], unit
+
+
 # -- 10
 
 
