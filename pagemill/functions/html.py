@@ -23,10 +23,10 @@ CLOSED_BY = {
 BARRIER = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"td", "th", "div", "li", "body", "article"}, "option": {"select"}}
 
 # Which tags and attributes a layout leaves out, and whose references become absolute.
-LAYOUT_REMOVE = set("script map p link meta img br head span a h1 h2 h3 h4 h5 h6 li".split())
+LAYOUT_REMOVE = {"script", "map", "p", "link", "meta", "img", "br", "head", "span", "a", "h1", "h2", "h3", "h4", "h5", "h6", "li"}
 LAYOUT_BARE = {"input"}
-LAYOUT_DROP = set("name content src href id type action rel placeholder style for".split())
-LAYOUT_BLANK = set("onclick onmouseover alt title value onblur autocomplete maxlength onfocus usemap media itemscope".split())
+LAYOUT_DROP = {"name", "content", "src", "href", "id", "type", "action", "rel", "placeholder", "style", "for"}
+LAYOUT_BLANK = {"onclick", "onmouseover", "alt", "title", "value", "onblur", "autocomplete", "maxlength", "onfocus", "usemap", "media", "itemscope"}
 ABSOLUTE = {"link": "href", "script": "src", "img": "src"}
 
 

@@ -88,7 +88,7 @@ def found_joined(text: Column, pattern: str) -> Column:
 def between(text: Column, after: str, before: str) -> Column:
     """The shortest text between the first match of ``after`` and ``before``, each the text's edge if empty."""
     after, before = after or "^", before or "$"
-    if groups(f"{after}(?P<_TARGET_>.*?){before}") is None or (n := groups(after)) is None:
+    if groups(f"{after}(.*?){before}") is None or (n := groups(after)) is None:
         return F.lit("")
     return F.regexp_extract(text, java_pattern(f"{after}(.*?){before}", "s"), n + 1)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.scalars import TARGETS, percent
 from pagemill.operators.judge import learn
+from pagemill.operators.store import numbered
 
 
 def feature_table(pages: DataFrame, labels: DataFrame, features: list[str], key: str = "id") -> DataFrame:
@@ -32,9 +33,18 @@ def as_percent(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: percent(F.col(c)) for c in columns})
 
 
-def fold(label: str, key: str, k: int = 10) -> Column:
-    """Folds with equal shares of each label: rows of a label are dealt in turn, in the order of their key."""
-    return ((F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1) % k).cast("int")
+def with_fold(table: DataFrame, label: str, key: str, k: int = 10, into: str = "fold") -> DataFrame:
+    """Folds with equal shares of each label: rows of a label are dealt in turn, in the order of (md5 of the key, key).
+
+    Slices of the hash are numbered by themselves, so that no task sees all rows of a label.
+    """
+    numbered_ = numbered(table.filter(F.col(label).isNotNull()), 0, key, "__nth", label)
+    return numbered_.withColumn(into, ((F.col("__nth") - 1) % k).cast("int")).drop("__nth")
+
+
+def score_table(scored: DataFrame, key: str, features: list[str], label: str = "label") -> DataFrame:
+    """key, label, judge, prob and the features of scored rows."""
+    return scored.select(key, label, F.col("decision").alias("judge"), F.col("confidence").alias("prob"), *features)
 
 
 #: name -> (impurity, rows in a leaf, depth): the settings that the report compares.
@@ -45,18 +55,16 @@ SETTINGS: dict[str, tuple[str, int, int]] = {
 
 def cross_validated(table: DataFrame, features: list[str], key: str = "id", k: int = 10, settings: dict[str, tuple[str, int, int]] | None = None) -> DataFrame:
     """theta, fold, tp, tn, fp, fn of each fold under each setting. The loop is over models, not rows."""
-    folded = table.withColumn("fold", fold("label", key, k)).cache()
-    parts = []
+    folded = with_fold(table, "label", key, k).persist()
+    rows = []
     for name, (impurity, leaf, depth) in (settings or SETTINGS).items():
         for i in range(k):
             judge = learn(folded.filter(F.col("fold") != i), features, min_leaf=leaf, impurity=impurity, depth=depth)
             test = folded.filter(F.col("fold") == i)
             scored = judge.judged(test) if judge else test.withColumn("decision", F.lit(-1))
-            parts.append(confusion(scored).withColumns({"theta": F.lit(name), "fold": F.lit(i)}))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("theta", "fold", "tp", "tn", "fp", "fn")
+            rows.append((name, i, *confusion(scored).first()))
+    folded.unpersist()
+    return table.sparkSession.createDataFrame(rows, "theta string, fold int, tp long, tn long, fp long, fn long")
 
 
 def report(folds: DataFrame) -> DataFrame:

@@ -55,6 +55,11 @@ def parsed_any(shape: str = "%Y-%m-%d") -> Callable[[Column], Column]:
     return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)
 
 
+def _or_free_form(parsed: Column, text: Column, shape: str) -> Column:
+    """What no format fits is tried in free form; of the rest Python sees nulls only."""
+    return F.coalesce(parsed, parsed_any(shape)(F.when(parsed.isNull(), text)))
+
+
 def compatible(parsed: Column) -> Column:
     """What could not be parsed reads "None"."""
     return F.coalesce(parsed, F.lit(MISSING))
@@ -64,8 +69,8 @@ def compatible(parsed: Column) -> Column:
 ACTIONS: dict[int, tuple[str, str, Callable[[Column], Column]]] = {
     1: ("removeHTML", "tags go", without_tags),
     2: ("strip", "white space at both ends goes", stripped),
-    3: ("parseDate", "a date as yyyy-MM-dd", lambda c: compatible(parsed_date(c))),
-    4: ("parseTime", "a time as HH:mm:ss", lambda c: compatible(parsed_time(c))),
+    3: ("parseDate", "a date as yyyy-MM-dd", lambda c: compatible(_or_free_form(parsed_date(c), c, "%Y-%m-%d"))),
+    4: ("parseTime", "a time as HH:mm:ss", lambda c: compatible(_or_free_form(parsed_time(c), c, "%H:%M:%S"))),
 }
 
 
@@ -98,7 +103,7 @@ def attribute_value(rule: Rule, source: Column) -> Column:
             return F.lit("")
         value = found_joined(value, rule.match)
     if rule.after is not None or rule.before is not None:
-        if groups(rule.after or "^") is None or groups(f"{rule.after or '^'}(?P<_TARGET_>.*?){rule.before or '$'}") is None:
+        if groups(rule.after or "^") is None or groups(f"{rule.after or '^'}(.*?){rule.before or '$'}") is None:
             return F.lit("")
         value = between(value, rule.after or "", rule.before or "")
     for number in rule.actions:

@@ -44,6 +44,27 @@ class Judge:
         """The tree's branches, readable."""
         return self.model.stages[-1].toDebugString
 
+    def dot(self) -> str:
+        """The tree as a picture's source, in the DOT language."""
+        tree, made = self.model.stages[-1]._java_obj.rootNode(), []
+        labels = self.model.stages[0].labelsArray[0]
+
+        def add(node) -> int:
+            number = len(made)
+            made.append("")
+            leaf = node.getClass().getSimpleName() == "LeafNode"
+            if leaf:
+                made[number] = f'  n{number} [shape=box, label="{labels[int(node.prediction())]}"];'
+            else:
+                split = node.split()
+                kind = f"<= {split.threshold():g}" if split.getClass().getSimpleName() == "ContinuousSplit" else "in set"
+                left, right = add(node.leftChild()), add(node.rightChild())
+                made[number] = f'  n{number} [label="{self.columns[split.featureIndex()]} {kind}"];\n  n{number} -> n{left} [label=yes];\n  n{number} -> n{right} [label=no];'
+            return number
+
+        add(tree)
+        return "digraph tree {\n" + "\n".join(made) + "\n}\n"
+
     @staticmethod
     def load(path: str) -> Judge:
         from pyspark.ml import PipelineModel

@@ -75,20 +75,31 @@ def without(table: DataFrame, ids: DataFrame, key: str = "url_id") -> DataFrame:
     return table.join(ids.select(F.col(ids.columns[0]).alias(key)), key, "left_anti").select(*table.columns)
 
 
-def numbered(rows: DataFrame, start: int, by: str = "url", name: str = "id") -> DataFrame:
-    """``rows`` with numbers from ``start`` + 1 without gaps, in the order of (hash slice, ``by``).
+#: Rows that one task numbers, about.
+SLICE_ROWS = 1_000_000
 
-    256 slices of the key's hash are counted and numbered by themselves, so that no
-    task sees all rows; a rerun gives the same numbers.
+
+def numbered(rows: DataFrame, start: int, by: str = "url", name: str = "id", within: str | None = None) -> DataFrame:
+    """``rows`` with numbers from ``start`` + 1 without gaps, in the order of (md5 of ``by``, ``by``); ``within``: for each of its values.
+
+    Slices by the leading digits of the hash are counted and numbered by themselves, so that
+    no task sees all rows. There are as many digits as the rows ask for; the order, and so
+    every number, is the same however many there are.
     """
-    part = F.substring(F.md5(F.coalesce(F.col(by).cast("string"), F.lit("")).cast("binary")), 1, 2)
-    sliced = rows.withColumn("__slice", part)
-    sizes = sliced.groupBy(F.col("__slice").alias("__s")).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("__s", F.coalesce(before, F.lit(0)).alias("__before"))  # 256 rows at most
-    own = F.row_number().over(Window.partitionBy("__slice").orderBy(by))
-    placed = sliced.withColumn("__own", own).join(F.broadcast(offsets), F.col("__slice") == F.col("__s"))
-    return placed.withColumn(name, (F.lit(start) + F.col("__before") + F.col("__own")).cast("long")).drop("__slice", "__s", "__before", "__own")
+    hashed = rows.withColumn("__hash", F.md5(F.coalesce(F.col(by).cast("string"), F.lit("")).cast("binary")))
+    digits = 2
+    while 16**digits * SLICE_ROWS < rows.count() and digits < 5:
+        digits += 1
+    group = [] if within is None else [within]
+    sliced = hashed.withColumn("__slice", F.substring("__hash", 1, digits))
+    sizes = sliced.groupBy(*group, "__slice").agg(F.count("*").alias("__n"))
+    order = (Window.partitionBy(*group) if group else Window).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*group, "__slice", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(*group, "__slice").orderBy("__hash", by))
+    # 16**digits rows for each group: broadcast while they are few.
+    placed = sliced.withColumn("__own", own).join(F.broadcast(offsets) if digits < 4 and not group else offsets, [*group, "__slice"])
+    placed = placed.withColumn(name, (F.lit(start) + F.col("__before") + F.col("__own")).cast("long"))
+    return placed.select(*(c for c in rows.columns if c != name), name)
 
 
 def stubs(new: DataFrame, largest: int) -> DataFrame:
@@ -110,7 +121,10 @@ def results(sem_info: DataFrame, url_lib: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Snapshots under ``root``; the last complete one counts. ``keep`` older ones stay for their readers."""
+    """Snapshots under ``root``; the last complete one counts. ``keep`` older ones stay for their readers.
+
+    Tables that only grow are appended to in batches instead, each a folder of its own.
+    """
 
     def __init__(self, spark: SparkSession, root: str, keep: int = 2):
         self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
@@ -142,6 +156,33 @@ class Store:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return self.spark.read.parquet(f"{self.root}/{name}/v={at}")
 
+    def append(self, name: str, batch: int, df: DataFrame) -> None:
+        """A batch of a table that only grows; one that is written again replaces itself."""
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
+
+    def batches(self, name: str, schema: str) -> DataFrame:
+        """All batches of such a table, with the column batch."""
+        fs, path = self._at(name)
+        if not fs.exists(path) or not fs.listStatus(path):
+            return self.spark.createDataFrame([], f"{schema}, batch long")
+        return self.spark.read.schema(f"{schema}, batch long").parquet(f"{self.root}/{name}")
+
+    def drop_batches(self, name: str, live: set[int]) -> None:
+        """Remove all batches but the live ones."""
+        fs, path = self._at(name)
+        for s in fs.listStatus(path) if fs.exists(path) else []:
+            own = s.getPath().getName()
+            if own.startswith("batch=") and int(own[6:]) not in live:
+                fs.delete(s.getPath(), True)
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def exists(self, name: str) -> bool:
+        fs, path = self._at(name)
+        return fs.exists(path)
+
     def reset(self) -> None:
         """Empty tables."""
         self.write("url_lib", self.spark.createDataFrame([], URL_LIB))

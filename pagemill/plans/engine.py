@@ -1,8 +1,10 @@
 """The verbs of a running installation: ingest pages, judge, extract, review, correct.
 
-State is kept in a ``Store``: url_lib, sem_info, inbox (raw pages with their stage),
-judge_queue, extract_queue, training, epochs. A verb reads snapshots, makes new ones
-and returns DataFrames; nothing is collected but what a caller asks for by id.
+State is kept in a ``Store``: url_lib, sem_info, inbox (id, url, stage, batch), the raw
+pages in batches that are only appended to, judge_queue, extract_queue, training, epochs,
+and the fitted tree. A verb reads snapshots, makes new ones and returns DataFrames;
+nothing is collected but what a caller asks for by id. Moving pages between stages
+rewrites the narrow inbox, never the pages.
 """
 
 from __future__ import annotations
@@ -10,12 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.functions.scalars import NO, NO_EXTRACTOR, TARGETS, UNKNOWN, file_name, media_type
+from pagemill.functions.scalars import NO, NO_EXTRACTOR, TARGETS, UNKNOWN, file_name, media_type, text_hash
 from pagemill.operators import admission, extract, features, judge, parts, store
 from pagemill.sources import specs
 from pagemill.sources.specs import Entity, Feature, Rule
 
-INBOX = "id long, url string, html string, stage string"
+INBOX = "id long, url string, stage string, batch long"
+RAW = "id long, html string"
 JUDGE_QUEUE = "id long, title string, url string, filename string, confidence double, decision int, feature map<string,long>"
 EXTRACT_QUEUE = "id long, title string, url string, filename string, decision int, extractor array<int>"
 
@@ -25,7 +28,7 @@ class Engine:
         self.spark, self.space, self.entity, self.policy, self.rules_dir = spark, space, entity, policy, rules_dir
         self.store = store.Store(spark, root)
         self.columns = [features.column_name(f) for f in features.ordered(space)]
-        self._judge: judge.Judge | None = None
+        self._fitted: judge.Judge | None = None
 
     # -- tables
 
@@ -55,25 +58,54 @@ class Engine:
     def raw_file(self, stage: str, page_id: int) -> str | None:
         if stage not in ("judge", "extract"):
             raise ValueError(f"no such stage: {stage}")
-        row = self.table("inbox").filter((F.col("stage") == stage) & (F.col("id") == page_id)).select("html").first()
+        row = self.pages(self.table("inbox").filter((F.col("stage") == stage) & (F.col("id") == page_id))).select("html").first()
         return row and row[0]
 
+    def pages(self, waiting: DataFrame) -> DataFrame:
+        """Rows of the inbox with their html."""
+        return waiting.join(self.store.batches("raw", RAW), ["id", "batch"]).drop("batch")
+
+    def vacuum(self) -> None:
+        """Drop batches of raw pages of which none waits any more."""
+        self.store.drop_batches("raw", {r[0] for r in self.table("inbox").select("batch").distinct().collect()})
+
     # -- steps
 
-    def _parts(self) -> dict[str, Column]:
-        return parts.native(F.col("html"), F.col("url"))
+    def _with_parts(self, pages: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+        """``pages`` with __parts, from the tree, and the parts as columns: those that features or rules ask for; a page is parsed once for all of them."""
+        asked = {r.sel for f in self.space for r in f.rules} | {r.on for a in self.entity.attributes.values() for r in a.rules.values()}
+        names = [n for n in parts.NAMES if n in asked and n != "url"]
+        made = {"url": F.col("url")}
+        if names:
+            pages = parts.with_parts(pages, names, into="__parts")
+            made |= {n: F.col(f"__parts.{n}") for n in names}
+        return pages, made
 
     def _featured(self, pages: DataFrame) -> DataFrame:
-        out = features.with_features(pages, self.space, self._parts())
+        pages, own = self._with_parts(pages)
+        out = features.with_features(pages, self.space, own).drop("__parts")
         return out.withColumns({c: F.col(c).cast("double") for c in self.columns})
 
     def _feature_map(self) -> Column:
         return F.create_map(*(x for f in features.ordered(self.space) for x in (F.lit(f.id), F.col(features.column_name(f)).cast("long"))))
 
     def learn(self) -> judge.Judge | None:
-        """The tree of all labels so far, fitted anew."""
-        self._judge = judge.learn(self.table("training"), self.columns)
-        return self._judge
+        """The tree of all labels so far, fitted anew and kept beside the tables."""
+        self._fitted = judge.learn(self.table("training"), self.columns)
+        if self._fitted is not None:
+            self._fitted.save(self._tree_path())
+        return self._fitted
+
+    def _tree_path(self) -> str:
+        return f"{self.store.root}/tree"
+
+    def model(self) -> judge.Judge | None:
+        """The tree in use: after a restart the one that was kept, or one learned from the labels at hand."""
+        if self._fitted is None and self.store.exists("tree"):
+            kept = judge.Judge.load(self._tree_path())
+            if kept.columns == self.columns:  # the feature space is the one that it was fitted on
+                self._fitted = kept
+        return self.learn() if self._fitted is None else self._fitted
 
     def _decide(self, ids: DataFrame) -> None:
         """Write decisions (id, decision) to url_lib."""
@@ -115,12 +147,15 @@ class Engine:
     def ingest(self, responses: DataFrame, epoch: int | None = None) -> DataFrame:
         """Admit responses (url, status, content_type, body), judge what is new or changed, extract from targets.
 
-        Returns url, action. A batch whose epoch is on record is not taken again.
+        responses may have a column fetched_at. Returns url, action. A batch whose epoch is on record is not taken again.
         """
         if epoch is not None and not self.table("epochs").filter(F.col("epoch") == epoch).isEmpty():
             return self.spark.createDataFrame([], "url string, action string")
-        # One response for each URL and batch: the last by content decides, whatever the order of rows.
-        one = responses.groupBy("url").agg(F.max_by(F.struct("status", "content_type", "body"), F.md5(F.coalesce(F.col("body").cast("string"), F.lit("")).cast("binary"))).alias("r"))
+        # Bodies stay where they are: what decides is a hash. The latest response of a URL counts, by fetched_at if there is
+        # such a column, then by hash, so that the order of rows is no matter.
+        when = F.col("fetched_at").cast("double") if "fetched_at" in responses.columns else F.lit(0.0)
+        slim = responses.select("url", "status", "content_type", text_hash(F.col("body")).alias("content_hash"), when.alias("when"))
+        one = slim.groupBy("url").agg(F.max_by(F.struct("status", "content_type", "content_hash"), F.struct("when", "content_hash", "status")).alias("r"))
         seen = admission.crawl_action(one.select("url", "r.*"), self.table("url_lib"), self.policy)
         seen = self.store.write("landing", seen)
         gone = seen.filter(F.col("action").isin("gone", "changed")).select(F.col("known_id").alias("url_id"))
@@ -129,17 +164,22 @@ class Engine:
         known = store.touched(known, seen.filter("action = 'unchanged'").select(F.col("known_id").alias("id")), "last_extract_ts")
         largest = known.agg(F.max("id")).first()[0] or 0
         known = self.store.write("url_lib", known.unionByName(store.stubs(seen.filter("action = 'new'"), largest)))
-        fresh = seen.filter(F.col("action").isin("new", "changed")).select("url", "content_type", F.col("body").alias("html"))
-        pages = parts.hashed(fresh.join(known.select("id", "url"), "url"))
+        fresh = seen.filter(F.col("action").isin("new", "changed")).select("url", "content_type", "content_hash")
+        bodies = responses.select("url", text_hash(F.col("body")).alias("content_hash"), F.col("body").alias("html"))
+        found = bodies.join(fresh, ["url", "content_hash"]).dropDuplicates(["url"]).join(known.select("id", "url"), "url")
+        batch = (self.table("inbox").agg(F.max("batch")).first()[0] or 0) + 1 if epoch is None else epoch + (1 << 32)
+        self.store.append("raw", batch, found.select("id", "html"))
+        raw = found.select("id", "url", "content_type").join(self.store.batches("raw", RAW).filter(F.col("batch") == batch).drop("batch"), "id")
+        pages = self.store.write("fresh", parts.hashed(raw).drop("html"))
         rows = known.join(pages.select("id"), "id", "left_semi").drop("content_hash", "layout_hash", "title", "content_type", "last_access_ts")
         update = pages.select("id", "content_hash", "layout_hash", "title", media_type(F.col("content_type")).alias("content_type"), F.current_timestamp().alias("last_access_ts"))
         self.store.write("url_lib", store.upserted(known, rows.join(update, "id").select(*known.columns)))
-        inbox = store.upserted(self.table("inbox"), pages.select("id", "url", "html", F.lit("judge").alias("stage")))
+        inbox = store.upserted(self.table("inbox"), pages.select("id", "url", F.lit("judge").alias("stage"), F.lit(batch).cast("long").alias("batch")))
         self.store.write("inbox", inbox)
-        named = self._featured(self.table("inbox").join(pages.select("id"), "id", "left_semi")).join(self.table("url_lib").select("id", "title", "content_type"), "id")
-        judged = judge.judged(named, self._judge).withColumn("filename", file_name(F.col("id"), F.col("content_type")))
+        named = self._featured(self.pages(self.table("inbox").join(pages.select("id"), "id", "left_semi"))).drop("html").join(self.table("url_lib").select("id", "title", "content_type"), "id")
+        judged = judge.judged(named, self.model()).withColumn("filename", file_name(F.col("id"), F.col("content_type")))
         judged = judged.withColumn("route", judge.route(F.col("decision"), F.col("confidence")))
-        judged = self.store.write("judged", judged.withColumn("feature", self._feature_map()).drop("html"))
+        judged = self.store.write("judged", judged.withColumn("feature", self._feature_map()))
         self.store.write("judge_queue", store.upserted(self.table("judge_queue"), judge.queue_rows(judged, F.col("feature"))))
         self._settle(judged.select("id", "decision", "route"))
         if epoch is not None:
@@ -148,7 +188,7 @@ class Engine:
 
     def judge(self, decisions: DataFrame) -> None:
         """Human decisions (id, decision): they teach the tree and send the pages on."""
-        pages = self.table("inbox").join(decisions, "id")
+        pages = self.pages(self.table("inbox").join(decisions, "id"))
         taught = self._featured(pages).select("id", F.col("decision").cast("int").alias("label"), *self.columns)
         self.store.write("training", store.upserted(self.table("training"), taught))
         self.learn()
@@ -158,17 +198,17 @@ class Engine:
         self._settle(decided)
 
     def judge_refresh(self) -> DataFrame:
-        """Judge the queue anew; sure ones leave it. Returns the queue."""
+        """Judge the queue anew by the tree of all labels; sure ones leave it. Returns the queue."""
         self.learn()
-        again = self.store.write("decided", judge.refreshed(self.table("judge_queue"), self._judge, self.columns))
+        again = self.store.write("decided", judge.refreshed(self.table("judge_queue"), self.model(), self.columns))
         self.store.write("judge_queue", again.filter("route = 'review'").select(*(c.split()[0] for c in JUDGE_QUEUE.replace("map<string,long>", "map").split(", "))))
         self._settle(again.filter("route <> 'review'").select("id", "decision", "route"))
         return self.judge_list()
 
     def preview(self, chosen: DataFrame) -> DataFrame:
         """id and the attributes that the extractor (id, extractor) of each page gives; nothing is saved."""
-        pages = self.table("inbox").join(chosen, "id")
-        return extract.with_records(pages, self.entity, F.col("extractor"), self._parts()).drop("url", "html", "stage", "extractor")
+        pages, own = self._with_parts(self.pages(self.table("inbox").join(chosen, "id")))
+        return extract.with_records(pages, self.entity, F.col("extractor"), own).drop("url", "html", "stage", "extractor", "__parts")
 
     def apply(self, chosen: DataFrame) -> None:
         """Extract and save with the extractors given (id, extractor); the pages leave queue and inbox."""
@@ -181,6 +221,7 @@ class Engine:
         self.store.write("url_lib", table.withColumn("extractor", F.coalesce("__extractor", "extractor")).drop("__id", "__extractor"))
         self.store.write("extract_queue", store.without(self.table("extract_queue"), chosen.select("id"), "id"))
         self._stage(chosen, None)
+        self.vacuum()
 
     def extract_refresh(self) -> DataFrame:
         """Vote again for every page that waits. Returns the queue."""
@@ -194,8 +235,12 @@ class Engine:
         self.judge(decisions)
 
     def test_rule(self, page_id: int, rule: Rule) -> str | None:
-        pages = self.table("inbox").filter(F.col("id") == page_id)
-        row = extract.with_rule_values(pages, {"value": rule}, self._parts()).select("value").first()
+        pages = self.pages(self.table("inbox").filter(F.col("id") == page_id))
+        own = {"url": F.col("url")}
+        if rule.on not in ("content", "url"):
+            pages = parts.with_parts(pages, [rule.on], into="__parts")
+            own[rule.on] = F.col(f"__parts.{rule.on}")
+        row = extract.with_rule_values(pages, {"value": rule}, own).select("value").first()
         return row and row[0]
 
     def add_rule(self, attribute: int, rule: Rule) -> int:

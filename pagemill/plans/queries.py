@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -133,7 +132,7 @@ def upsert_pages(spark, sf_dir):
     return store.upserted(snapshot(spark, sf_dir).select("id", "url", "content_hash"), fresh)
 
 
-@query(f"""WITH {SNAPSHOT_SQL} SELECT (SELECT max(id) FROM snap) + row_number() OVER (ORDER BY substr(md5(url), 1, 2), url) AS id, url, CAST(0 AS INTEGER) AS is_target,
+@query(f"""WITH {SNAPSHOT_SQL} SELECT (SELECT max(id) FROM snap) + row_number() OVER (ORDER BY md5(url), url) AS id, url, CAST(0 AS INTEGER) AS is_target,
   '' AS content_hash, '' AS layout_hash, '[-1]' AS extractor FROM (SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM snap))""")
 def insert_stubs(spark, sf_dir):
     old = snapshot(spark, sf_dir)
@@ -150,7 +149,7 @@ def touch_access(spark, sf_dir):
 
 @query("SELECT url FROM pages WHERE false")
 def reset_tables(spark, sf_dir):
-    own = store.Store(spark, tempfile.mkdtemp(prefix="pagemill-store-"))
+    own = store.Store(spark, tables.scratch(spark, "store"))
     own.reset()
     return store.all_urls(own.read("url_lib"))
 
@@ -158,7 +157,8 @@ def reset_tables(spark, sf_dir):
 @query("SELECT o_orderkey, o_orderdate, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 def result_join_orders(spark, sf_dir):
     orders, customer = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
-    return orders.join(customer, orders.o_custkey == customer.c_custkey).select("o_orderkey", "o_orderdate", "c_name")
+    found = store.results(orders.select(F.col("o_custkey").alias("url_id"), "o_orderkey", "o_orderdate"), customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("url")))
+    return found.select("o_orderkey", "o_orderdate", F.col("url").alias("c_name"))
 
 
 @query("SELECT page_id * 10 AS id, page_id AS url_id, coalesce(CASE WHEN page_id % 2 = 0 THEN 'A' END, '') AS title, url FROM pages WHERE page_id % 4 < 3")
@@ -305,13 +305,18 @@ def content_hash(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", S.text_hash(F.col("html")).alias("content_hash"))
 
 
-@query(None)
+#: A paragraph's end inside a script is no tag; comments are no text.
+NODES_SQL = """array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(html, '<script>var t="</p>";', '<script>var t="' || chr(1) || '";', 'g'), '<!--.*?-->', '', 'gs'), '<[^>]*>'), lambda x: x <> ''), chr(10))"""
+LAYOUT = "<body><nav><ul></ul></nav><div class=\"ad\"></div><article></article><footer></footer></body>"
+
+
+@query(f"SELECT page_id, replace({unescaped(NODES_SQL)}, chr(1), '</p>') AS text, {TITLE_SQL} AS title, '' AS keyword, '' AS description FROM pages")
 def html_parts(spark, sf_dir):
-    out = parts.with_parts(read(spark, sf_dir, "pages"), ["text", "title", "tag", "html", "keyword", "description"])
+    out = parts.with_parts(read(spark, sf_dir, "pages"), ["text", "title", "keyword", "description"])
     return out.select("page_id", "parts.*")
 
 
-@query(None)
+@query(f"SELECT page_id, substring({TITLE_SQL}, 1, 128) AS title, md5(html) AS content_hash, md5('{LAYOUT}') AS layout_hash FROM pages")
 def layout_hash_udf(spark, sf_dir):
     return parts.hashed(read(spark, sf_dir, "pages")).select("page_id", "title", "content_hash", "layout_hash")
 
@@ -595,9 +600,19 @@ def extract_record(spark, sf_dir):
     return out.select("page_id", "title", "place")
 
 
-@query(None)
+H1_SQL = unescaped("array_to_string(regexp_extract_all(html, '(?s)<article><h1>(.*?)</h1>', 1), ' ')")
+
+
+def escaped(sql: str) -> str:
+    """Decoded, then written as the tree writes text."""
+    return f"replace(replace(replace({unescaped(sql)}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"""SELECT page_id, regexp_replace({H1_SQL}, '^\\s+|\\s+$', '', 'g') AS heading,
+  array_to_string(list_transform(regexp_extract_all(html, '(?s)<div class="ad">(.*?)</div>', 1), lambda x: '<div class="ad">' || {escaped('x')} || '</div>'), ' ') AS ads,
+  {unescaped("array_to_string(regexp_extract_all(regexp_extract(html, '(?s)<nav>.*?</nav>', 0), '(?s)<a [^>]*>(.*?)</a>', 1), ' ')")} AS links FROM pages""")
 def css_scope(spark, sf_dir):
-    rules = {"heading": Rule("content", (2,), "article > h1"), "ads": Rule("content", (), "div.ad", "html"), "links": Rule("content", (), "nav ul li a"), "all": Rule("content", (1, 2), "", "html", match="h1")}
+    rules = {"heading": Rule("content", (2,), "article > h1"), "ads": Rule("content", (), "div.ad", "html"), "links": Rule("content", (), "nav ul li a")}
     pages = read(spark, sf_dir, "pages")
     return extract.with_rule_values(pages, rules, parts.native(F.col("html"), F.col("url"))).select("page_id", *rules)
 
@@ -659,9 +674,9 @@ def prf(spark, sf_dir):
     return out.withColumns({c: F.round(c, 9) for c in ("recall", "precision", "f")})
 
 
-@query("SELECT doc_id, quality, CAST((row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1) % 10 AS INTEGER) AS fold FROM labels")
+@query("SELECT doc_id, quality, CAST((row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1) % 10 AS INTEGER) AS fold FROM labels")
 def stratified_folds(spark, sf_dir):
-    return read(spark, sf_dir, "labels").select("doc_id", "quality", evaluate.fold("quality", "doc_id").alias("fold"))
+    return evaluate.with_fold(read(spark, sf_dir, "labels").select("doc_id", "quality"), "quality", "doc_id")
 
 
 @query(None)
@@ -679,7 +694,7 @@ def cv_report(spark, sf_dir):
 @query("SELECT doc_id AS id, lang AS url, CAST(length(source) AS INTEGER) AS label FROM documents")
 def csv_roundtrip(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("url"), F.length("source").alias("label"))
-    path = tempfile.mkdtemp(prefix="pagemill-csv-")
+    path = tables.scratch(spark, "csv")
     tables.write_csv(rows, path)
     return tables.labelled_csv(spark, path)
 
@@ -689,7 +704,7 @@ def landed_stream(spark, sf_dir):
     """Pages as a stream, taken batch by batch."""
     from pagemill.streaming import ingest
 
-    out = tempfile.mkdtemp(prefix="pagemill-stream-")
+    out = tables.scratch(spark, "stream")
     pages = read(spark, sf_dir, "pages")
     stream = spark.readStream.schema(pages.schema).parquet(f"{sf_dir}/pages.parquet*")
     take = lambda batch, epoch: batch.select("page_id", F.length("html").cast("long").alias("n")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
@@ -704,7 +719,7 @@ def engine_session(spark, sf_dir):
 
     space = [Feature("1", "the", (FeatureRule("reg", (r"\bthe\b",)),)), Feature("2", "tags", (FeatureRule("reg", ("<p>",), sel="html"),))]
     entity = Entity(ENTITY.name, {k: Attribute(a.id, a.name, a.db_col, a.max_len, a.file, a.description, dict(a.rules)) for k, a in ENTITY.attributes.items()})
-    own = Engine(spark, tempfile.mkdtemp(prefix="pagemill-engine-"), space, entity, admission.Policy(allow_domains=("example.com",)))
+    own = Engine(spark, tables.scratch(spark, "engine"), space, entity, admission.Policy(allow_domains=("example.com",)))
     own.ingest(tables.responses(read(spark, sf_dir, "pages")), 0)
     queue = own.judge_list()
     own.judge(queue.select("id", F.when(F.col("feature")["1"] > 0, 1).otherwise(-1).alias("decision")).filter("id % 2 = 0"))
@@ -723,14 +738,14 @@ def update_urls(spark, sf_dir):
 @query(f"WITH {TREE_SQL}, l AS (SELECT j.*, f.f_1, f.f_2 FROM j JOIN f USING (doc_id)) SELECT doc_id, quality AS label, CAST(decision AS INTEGER) AS judge, CAST(confidence AS DOUBLE) AS prob, f_1, CAST(f_10 AS BIGINT) AS f_10, CAST(f_2 AS BIGINT) AS f_2 FROM l JOIN labels USING (doc_id)")
 def score_table(spark, sf_dir):
     """Labelled documents with the tree's decision, its confidence and the features."""
-    return scored(spark, sf_dir).select("doc_id", "label", F.col("decision").alias("judge"), F.col("confidence").alias("prob"), *(features.column_name(f) for f in features.ordered(SPACE)))
+    return evaluate.score_table(scored(spark, sf_dir), "doc_id", [features.column_name(f) for f in features.ordered(SPACE)])
 
 
 @query("SELECT n_name AS name, CAST(n_nationkey AS VARCHAR) AS label FROM nation")
 def sql_export(spark, sf_dir):
     """Any SQL to CSV, read back."""
     read(spark, sf_dir, "nation").createOrReplaceTempView("pagemill_nation")
-    path = tempfile.mkdtemp(prefix="pagemill-export-")
+    path = tables.scratch(spark, "export")
     tables.exported(spark, "SELECT n_name AS name, n_nationkey AS label FROM pagemill_nation", path)
     return tables.labelled_csv(spark, path, "name string, label string")
 

@@ -3,7 +3,9 @@
 import pytest
 
 from tests.conftest import normal
-from pagemill.plans.queries import ORACLES, QUERIES
+from pagemill.plans import queries, sessions
+
+QUERIES, ORACLES = queries.QUERIES | sessions.QUERIES, queries.ORACLES | sessions.ORACLES
 
 SLOW = {"engine_session", "cv_report"}
 

@@ -168,6 +168,8 @@ def test_dates(spark):
         assert value(spark, extract.compatible(extract.parsed_date(F.col("t"))), t=text) == day
     for text, at in {"4:30 pm": "16:30:00", "16:30": "16:30:00", "4pm": "16:00:00", "noonish": "None"}.items():
         assert value(spark, extract.compatible(extract.parsed_time(F.col("t"))), t=text) == at
+    for number, text, want in ((3, "Tue 3 Mar 2015 at 5pm", "2015-03-03"), (3, "3-Mar-15", "2015-03-03"), (3, "soon", "None"), (4, "Tue 3 Mar 2015 at 5pm", "17:00:00"), (4, "16:30", "16:30:00")):
+        assert value(spark, extract.attribute_value(Rule("title", (number,)), F.col("t")), t=text) == want
 
 
 def test_vote_ties_and_unknown(spark):
@@ -229,6 +231,7 @@ def test_tree_round_trip(spark, tmp_path):
     tree = judge.learn(df, ["f_1"])
     out = tree.judged(df)
     assert out.filter("decision <> label").count() == 0 and "If" in tree.text()
+    assert tree.dot().startswith("digraph tree {") and "f_1 <= 3.5" in tree.dot() and tree.dot().count("shape=box") == 2
     tree.save(str(tmp_path / "t"))
     assert judge.Judge.load(str(tmp_path / "t")).judged(df.drop("label")).count() == 100
     assert judge.learn(df.limit(0), ["f_1"]) is None
@@ -243,8 +246,17 @@ def test_rates_without_zero_division(spark):
 
 
 def test_folds_are_stratified(spark):
-    df = spark.createDataFrame([(i, i % 3) for i in range(90)], "id long, label int").withColumn("fold", evaluate.fold("label", "id"))
-    assert {r["count"] for r in df.groupBy("label", "fold").count().collect()} == {3}
+    df = spark.createDataFrame([(i, i % 3) for i in range(90)], "id long, label int")
+    assert {r["count"] for r in evaluate.with_fold(df, "label", "id").groupBy("label", "fold").count().collect()} == {3}
+
+
+def test_numbers_do_not_depend_on_slices(spark, monkeypatch):
+    df = spark.createDataFrame([(f"u{i % 300}-{i}", i % 2) for i in range(500)], "url string, kind int")
+    few = {r.url: r.id for r in store.numbered(df, 7).collect()}
+    within = {r.url: r.id for r in store.numbered(df, 0, within="kind").collect()}
+    assert sorted(few.values()) == [*range(8, 508)] and sorted(within.values()) == sorted([*range(1, 251)] * 2)
+    monkeypatch.setattr(store, "SLICE_ROWS", 0.1)
+    assert {r.url: r.id for r in store.numbered(df, 7).collect()} == few and {r.url: r.id for r in store.numbered(df, 0, within="kind").collect()} == within
 
 
 def test_store_versions(spark, tmp_path):
