@@ -49,7 +49,7 @@ class Limits:
 
 
 def _classes() -> np.ndarray:
-    out = np.full(256, 8, dtype=np.int64)
+    out = np.full(256, 8, dtype=np.int32)
     out[97:123], out[65:91], out[48:58] = 0, 1, 2
     out[[32, 9, 11, 12, 13]], out[10] = 3, 4
     out[list(b".,")], out[list(b"!?")], out[list(SYMBOLS)] = 5, 6, 7
@@ -89,7 +89,9 @@ def base_counts(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.
     docs = len(texts)
     raw, offsets = raw_bytes(mapped(texts, np.arange(256, dtype=np.uint8)))
     wide = CLASSES + 1
-    hist = np.bincount(np.repeat(np.arange(docs) * wide, np.diff(offsets)) + _classes()[raw], minlength=docs * wide).reshape(docs, wide)[:, :CLASSES]
+    kinds = np.repeat((np.arange(docs) * wide).astype(np.int32), np.diff(offsets))
+    kinds += _classes()[raw]
+    hist = np.bincount(kinds, minlength=docs * wide).reshape(docs, wide)[:, :CLASSES]
     lines = ([x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")] for t in pc.fill_null(texts, "").to_pylist())
     made = {
         "n_words": np.diff(starts).astype(np.int64),
@@ -157,7 +159,7 @@ def measure(texts: pa.Array, langs: pa.Array, learned: dict[str, list[str]]) ->
 def _said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, word, n: the words of each language in the texts that pass the base rules."""
     for batch in batches:
-        for a, b in _in_slices(batch["text"], 4 << 20):
+        for a, b in _in_slices(batch["text"], 2 << 20):
             made, _, codes, distinct, starts = base_counts(batch["text"].slice(a, b - a))
             good = ~_failed(made["n_words"], made["n_repeat_words"])
             owner = np.repeat(np.arange(b - a), np.diff(starts))
