@@ -4,8 +4,9 @@ A text is the sequence of its words, A-Z lower-cased, and one end. The tree read
 bytes: words with one blank between them, then the end. Its states are contexts of up to
 ``DEPTH`` preceding bytes, whatever words they lie in; before a text are ends.
 
-1. The windows (context and next byte) of all training texts are counted, summed before
-   the shuffle, so that the counts cover the whole corpus.
+1. The windows (context and next byte) of all training texts are counted. A task sends
+   them, summed and sorted, as one packed row for each of its shards, so that the counts
+   cover the whole corpus and few rows move.
 2. A context is a candidate if it occurs ``MIN_COUNT`` times: nothing is cut by share, so
    that the tree grows with the corpus.
 3. A candidate is retained if its next-byte distribution diverges from that of its
@@ -55,16 +56,20 @@ BITS = 0.02
 GAIN = 3.0
 PRIOR = 2.0
 CHUNK = 16 << 20
-HELD_WINDOWS = 1_500_000
+HELD_WINDOWS = 1_000_000
 #: Rows of a tree that are broadcast at once, 12 bytes each.
 MOST_ROWS = 4_000_000
 #: A word that more chunks list is joined by broadcast.
 HUB = 16
 
 
-def _suffix(key: np.ndarray, d: int) -> np.ndarray:
-    """The last d bytes of the context and the next byte."""
-    return key if d >= 7 else key & np.uint64((1 << (8 * (d + 1))) - 1)
+def _context(key: np.ndarray, d: int, depth: int) -> np.ndarray:
+    """The d bytes before the next byte of windows of ``depth``, the nearest first: windows in order are in order by every d."""
+    return key >> np.uint64(8 * (depth - d + 1))
+
+
+def _with_next(context: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return (context << np.uint64(8)) | (key & np.uint64(255))
 
 
 def _found(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,19 +100,19 @@ def root_of(n: np.ndarray) -> np.ndarray:
     return (n + 1.0) / (n.sum() + 256.0)
 
 
-def grow(key: np.ndarray, n: np.ndarray, first: int, last: int, above: tuple[np.ndarray, np.ndarray], all_kept: bool = False) -> list[Level]:
-    """States of ``first`` to ``last`` bytes from windows (distinct or not) and their counts.
+def grow(key: np.ndarray, n: np.ndarray, first: int, last: int, depth: int, above: tuple[np.ndarray, np.ndarray], all_kept: bool = False) -> list[Level]:
+    """States of ``first`` to ``last`` bytes from windows of ``depth`` (distinct or not) and their counts.
 
     above: the smoothed probabilities of all windows of one byte less, as sorted windows and values.
     """
     levels: list[tuple[Level, np.ndarray, np.ndarray]] = []
     for d in range(first, last + 1):
-        seen, counts = _summed(_suffix(key, d), n)
+        seen, counts = _summed(_with_next(_context(key, d, depth), key), n)
         context, owner = np.unique(seen >> np.uint64(8), return_inverse=True)
         total = np.bincount(owner, counts, len(context))
         kinds = np.bincount(owner, minlength=len(context))
         often = (total >= MIN_COUNT)[owner]
-        at, _ = _found(above[0], _suffix(seen, d - 1))
+        at, _ = _found(above[0], _with_next(seen >> np.uint64(16), seen))
         up = above[1][at]
         weight = PRIOR * kinds
         p = (counts + weight[owner] * up) / (total + weight)[owner]
@@ -122,9 +127,9 @@ def grow(key: np.ndarray, n: np.ndarray, first: int, last: int, above: tuple[np.
         levels.append((Level(context, weight / (total + weight), seen, p), kept, owner))
     out: list[Level] = []
     needed = np.zeros(0, np.uint64)
-    for (level, kept, owner), d in zip(reversed(levels), range(last, first - 1, -1)):
+    for level, kept, owner in reversed(levels):
         kept |= np.isin(level.context, needed)
-        needed = np.unique(level.context[kept] & np.uint64((1 << (8 * (d - 1))) - 1))
+        needed = np.unique(level.context[kept] >> np.uint64(8))
         rows = kept[owner]
         out.append(Level(level.context[kept], level.rest[kept].astype(np.float32), level.seen[rows], level.p[rows].astype(np.float32)))
     return out[::-1]
@@ -132,8 +137,9 @@ def grow(key: np.ndarray, n: np.ndarray, first: int, last: int, above: tuple[np.
 
 @dataclass
 class Tree:
-    """root: 256 probabilities; levels: states of 1, 2, ... bytes."""
+    """depth of windows; root: 256 probabilities; levels: states of 1, 2, ... bytes."""
 
+    depth: int
     root: np.ndarray
     levels: list[Level]
 
@@ -143,12 +149,12 @@ class Tree:
         p = self.root[(windows & np.uint64(255)).astype(np.int64)]
         alive = np.arange(len(windows))
         for d, level in enumerate(self.levels, 1):
-            own = _suffix(windows[alive], d)
-            at, there = _found(level.context, own >> np.uint64(8))
+            own = _context(windows[alive], d, self.depth)
+            at, there = _found(level.context, own)
             alive, own, at = alive[there], own[there], at[there]
             if not len(alive):
                 break
-            to, seen = _found(level.seen, own)
+            to, seen = _found(level.seen, _with_next(own, windows[alive]))
             p[alive] = np.where(seen, level.p[to] if len(level.p) else 0.0, level.rest[at] * p[alive])
         return np.log10(p)[back]
 
@@ -159,19 +165,19 @@ def one_tree(key: np.ndarray, n: np.ndarray, depth: int, low: int = 0) -> Tree:
     above = (np.arange(256, dtype=np.uint64), root)
     levels: list[Level] = []
     if low:
-        levels = grow(key, n, 1, low, above, all_kept=True)
-        above = smoothed(root, key, n, low)
-    return Tree(root, levels + (grow(key, n, low + 1, depth, above) if depth > low else []))
+        levels = grow(key, n, 1, low, depth, above, all_kept=True)
+        above = smoothed(root, key, n, low, depth)
+    return Tree(depth, root, levels + (grow(key, n, low + 1, depth, depth, above) if depth > low else []))
 
 
-def smoothed(root: np.ndarray, key: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of ``depth`` bytes of context with their smoothed probabilities."""
+def smoothed(root: np.ndarray, key: np.ndarray, n: np.ndarray, last: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of ``last`` bytes of context with their smoothed probabilities."""
     above = (np.arange(256, dtype=np.uint64), root)
-    for d in range(1, depth + 1):
-        seen, counts = _summed(_suffix(key, d), n)
+    for d in range(1, last + 1):
+        seen, counts = _summed(_with_next(_context(key, d, depth), key), n)
         context, owner = np.unique(seen >> np.uint64(8), return_inverse=True)
         total, kinds = np.bincount(owner, counts, len(context)), np.bincount(owner, minlength=len(context))
-        up = above[1][_found(above[0], _suffix(seen, d - 1))[0]]
+        up = above[1][_found(above[0], _with_next(seen >> np.uint64(16), seen))[0]]
         p = (counts + PRIOR * kinds[owner] * up) / (total + PRIOR * kinds)[owner]
         above = (seen, np.where((total >= MIN_COUNT)[owner], p, up))
     return above
@@ -202,9 +208,9 @@ def windows(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(1, depth):
         place[at + k] = False
     place[at[-1] + 1 :] = False
-    out = np.zeros(len(data), dtype=np.uint64)
-    for k in range(depth, -1, -1):
-        out[k:] |= data[: len(data) - k].astype(np.uint64) << np.uint64(8 * k)
+    out = data.astype(np.uint64)
+    for k in range(1, depth + 1):
+        out[k:] |= data[: len(data) - k].astype(np.uint64) << np.uint64(8 * (depth - k + 1))
     size = np.diff(np.concatenate(([0], at))) - np.concatenate(([depth - 1], np.full(len(at) - 1, depth - 1)))
     return out[place], np.cumsum(size) - size
 
@@ -218,19 +224,33 @@ def _arrays(rows: DataFrame, *columns: str) -> list[np.ndarray]:
     return [table[c].to_numpy() for c in columns]
 
 
+#: A packed row: the windows of a shard and their counts; shard -1: counts of windows of LOW bytes.
+PACKED = "shard int, key binary, n binary"
+
+
 def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    keys, counts = [], []
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     held = 0
 
     def summed() -> tuple[np.ndarray, np.ndarray]:
-        return _summed(np.concatenate(keys), np.concatenate(counts))
+        key, n = _summed(np.concatenate(keys), np.concatenate(counts))
+        return key, n.astype(np.int64)
 
     def sent(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(key), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)].view(np.int64)), pa.array(n[a : a + (1 << 16)].astype(np.int64))], ["key", "n"])
+        if not len(key):
+            return
+        shard = _context(key, LOW, depth).astype(np.int32)
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(key)]))
+        short, m = _summed(_with_next(_context(key, LOW, depth), key), n)
+        names = [*shard[cuts[:-1]].tolist(), -1]
+        blobs = [key[a:b].tobytes() for a, b in zip(cuts, cuts[1:])] + [short.tobytes()]
+        # Counts are small, and windows of a shard in order differ little: the shuffle's compression does the rest.
+        sizes = [n[a:b].astype("<u4").tobytes() for a, b in zip(cuts, cuts[1:])] + [m.astype("<u4").tobytes()]
+        for a in range(0, len(names), 500):
+            yield pa.RecordBatch.from_arrays([pa.array(names[a : a + 500], pa.int32()), pa.array(blobs[a : a + 500], pa.binary()), pa.array(sizes[a : a + 500], pa.binary())], ["shard", "key", "n"])
 
     for batch in batches:
-        for a, b in _text_slices(batch["text"], 4 << 20):
+        for a, b in _text_slices(batch["text"], 2 << 20):
             key, n = np.unique(windows(batch["text"].slice(a, b - a), depth)[0], return_counts=True)
             keys.append(key)
             counts.append(n)
@@ -240,16 +260,19 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
                 keys, counts, held = [key], [n], len(key)
                 if held >= HELD_WINDOWS:  # few repeat: no use in keeping them
                     yield from sent(key, n)
-                    keys, counts, held = [], [], 0
-    if keys:
-        yield from sent(*summed())
+                    keys, counts, held = [key[:0]], [n[:0]], 0
+    yield from sent(*summed())
 
 
-def count_windows(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """key, n: how often each window occurs in the texts of ``docs``."""
-    rows = docs.select(F.col("text").cast("string").alias("text"))
-    parts = rows.mapInArrow(lambda it: _count(it, depth), "key long, n long")
-    return parts.groupBy("key").agg(F.sum("n").alias("n"))
+def _unpacked(row_key: bytes, row_n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(row_key, np.uint64), np.frombuffer(row_n, "<u4")
+
+
+def _low_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k, n in zip(batch["key"].to_pylist(), batch["n"].to_pylist()):
+            key, m = _unpacked(k, n)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(m.astype(np.int64))], ["key", "n"])
 
 
 # -- the tree
@@ -259,44 +282,49 @@ TREE = "shard int, d int, name long, seen boolean, value float"
 
 
 def _shards(batches: Iterator[pa.RecordBatch], low: tuple[np.ndarray, np.ndarray], depth: int) -> Iterator[pa.RecordBatch]:
-    """The states of more than LOW bytes, shard by shard, from windows sorted by shard."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """The states of more than LOW bytes, shard by shard, from packed rows sorted by shard."""
+    keys: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    held, shard = 0, -1
 
     def rows() -> Iterator[pa.RecordBatch]:
-        key, n = (np.concatenate(x) for x in zip(*held))
-        shard = int(_suffix(key[:1], LOW)[0] >> np.uint64(8))
-        for d, level in enumerate(grow(key, n, LOW + 1, depth, low), LOW + 1):
+        levels = grow(np.concatenate(keys), np.concatenate(counts), LOW + 1, depth, depth, low)
+        for d, level in enumerate(levels, LOW + 1):
             for name, value, seen in ((level.context, level.rest, False), (level.seen, level.p, True)):
-                if len(name):
-                    columns = [np.full(len(name), shard, np.int32), np.full(len(name), d, np.int32), name.view(np.int64), np.full(len(name), seen), value]
+                for a in range(0, len(name), 1 << 16):
+                    own = slice(a, a + (1 << 16))
+                    size = len(name[own])
+                    columns = [np.full(size, shard, np.int32), np.full(size, d, np.int32), name[own].view(np.int64), np.full(size, seen), value[own]]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], [c.split()[0] for c in TREE.split(", ")])
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, n = batch["key"].to_numpy().view(np.uint64), batch["n"].to_numpy().astype(np.float64)
-        shard = _suffix(key, LOW) >> np.uint64(8)
-        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(key)]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and (_suffix(held[-1][0][-1:], LOW) >> np.uint64(8))[0] != shard[a]:
+        for s, k, n in zip(batch["shard"].to_pylist(), batch["key"].to_pylist(), batch["n"].to_pylist()):
+            if s != shard and keys:
                 yield from rows()
-                held = []
-            held.append((key[a:b], n[a:b]))
-    if held:
+                keys, counts, held = [], [], 0
+            shard = s
+            key, m = _unpacked(k, n)
+            keys.append(key)
+            counts.append(m.astype(np.float64))
+            held += len(key)
+            if held > 2 * HELD_WINDOWS:  # what many tasks sent is summed as it comes
+                key, m = _summed(np.concatenate(keys), np.concatenate(counts))
+                keys, counts, held = [key], [m], 0
+    if keys:
         yield from rows()
 
 
 def fit(docs: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
     """The root and the LOW levels, of at most 2**24 windows, on the driver; the further states as a stored table (TREE)."""
-    counted = written(count_windows(docs, depth), "suffix-windows")
-    short = counted.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * (LOW + 1))) - 1)).alias("key")).agg(F.sum("n").alias("n"))
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    packed = written(texts.mapInArrow(lambda it: _count(it, depth), PACKED), "suffix-windows")
+    short = packed.filter("shard = -1").mapInArrow(_low_rows, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     key, n = _arrays(short, "key", "n")
     key, n = key.view(np.uint64), n.astype(np.float64)
     top = one_tree(key, n, LOW, LOW)
-    low = smoothed(top.root, key, n, LOW)
-    shard = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * LOW)) - 1))
-    rows = counted.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard").select("key", "n")
-    return top, written(rows.mapInArrow(lambda it: _shards(it, low, depth), TREE), "suffix-tree")
+    low = smoothed(top.root, key, n, LOW, LOW)
+    rows = packed.filter("shard >= 0").repartition("shard").sortWithinPartitions("shard")
+    return Tree(depth, top.root, top.levels), written(rows.mapInArrow(lambda it: _shards(it, low, depth), TREE), "suffix-tree")
 
 
 def shard_groups(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
@@ -330,14 +358,14 @@ def trees(top: Tree, states: DataFrame, depth: int, most: int) -> Iterator[tuple
                 at = at[np.argsort(name[at].view(np.uint64))]
                 made += [name[at].view(np.uint64), value[at].astype(np.float32)]
             levels.append(Level(*made))
-        yield Tree(top.root, levels), mine
+        yield Tree(depth, top.root, levels), mine
 
 
 def log10_probability(tree: Tree, mine: np.ndarray, depth: int, texts: pa.Array) -> np.ndarray:
     """Of each whole text, its end included: of the bytes whose contexts are ``mine``."""
     key, begins = windows(texts, depth)
     value = np.zeros(len(key))
-    own = mine[(_suffix(key, LOW) >> np.uint64(8)).astype(np.int64)]
+    own = mine[_context(key, LOW, depth).astype(np.int64)]
     if own.all():
         value = tree.log10(key)
     elif own.any():
