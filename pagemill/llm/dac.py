@@ -132,6 +132,8 @@ class Reader:
 #: A run of Latin letters that stay letters when lower-cased and composed (İ does not: it leaves a mark),
 #: then plain punctuation: the tokenizer always splits between the two.
 MARKS = "[\u0300-\u036f]"
+#: The first bytes that a mark may have.
+MARK_LEADS = (b"\xcc", b"\xcd")
 STEM = re.compile("([a-zÀ-ÖØ-öø-įı-ƿ]+)([.,!&$%#*|?;:]+)")
 
 
@@ -198,8 +200,9 @@ class ChunkCoder:
         """The ids of all texts in a row, and the number of each text's ids."""
         texts = pc.fill_null(texts, "")
         whole = np.zeros(len(texts), dtype=bool)
-        for content in self.special:
-            whole |= pc.match_substring(texts, content, ignore_case=True).to_numpy(zero_copy_only=False)
+        if any(pc.any(pc.match_substring(texts, content[:2])).as_py() for content in {c[:2] for c in self.special}):
+            for content in self.special:
+                whole |= pc.match_substring(texts, content, ignore_case=True).to_numpy(zero_copy_only=False)
         if not whole.any():
             return self.encode_chunks(texts)
         ids, size = self.encode_chunks(pc.if_else(pa.array(whole), "", texts))
@@ -211,7 +214,10 @@ class ChunkCoder:
     def encode_chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``encode`` of texts without special tokens."""
         # A capital and a mark may compose otherwise than its small letter does: such texts are left to the tokenizer.
-        low = pc.if_else(pc.match_substring_regex(texts, MARKS), texts, pc.ascii_lower(texts))
+        low = pc.ascii_lower(texts)
+        data = texts.buffers()[2]
+        if data is not None and any(lead in memoryview(data).tobytes() for lead in MARK_LEADS):
+            low = pc.if_else(pc.match_substring_regex(texts, MARKS), texts, low)
         for blank in "\n\t\r":
             low = pc.replace_substring(low, blank, " ")
         split = pc.split_pattern(low, " ")
