@@ -44,15 +44,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
+def stored(df: DataFrame, path: str, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write to a path of the shared folder and read back."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """``stored`` at a path of its own."""
-    return stored(df, new_path(df.sparkSession, label))
+    return stored(df, new_path(df.sparkSession, label), codec)
 
 
 def removed(spark: SparkSession, path: str) -> None:

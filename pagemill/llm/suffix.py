@@ -55,8 +55,8 @@ MIN_COUNT = 8
 BITS = 0.02
 GAIN = 3.0
 PRIOR = 2.0
-CHUNK = 16 << 20
-HELD_WINDOWS = 1_000_000
+CHUNK = 8 << 20
+HELD_WINDOWS = 600_000
 #: Rows of a tree that are broadcast at once, 12 bytes each.
 MOST_ROWS = 4_000_000
 #: A word that more chunks list is joined by broadcast.
@@ -208,9 +208,17 @@ def windows(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(1, depth):
         place[at + k] = False
     place[at[-1] + 1 :] = False
-    out = data.astype(np.uint64)
-    for k in range(1, depth + 1):
-        out[k:] |= data[: len(data) - k].astype(np.uint64) << np.uint64(8 * (depth - k + 1))
+    out = np.zeros(len(data), dtype=np.uint64)
+    out[1:] = data[:-1]
+    held = 1  # bytes before each place that ``out`` has, the nearest first
+    while held < depth:
+        more = min(held, depth - held)
+        further = out[:-held] >> np.uint64(8 * (held - more))
+        out <<= np.uint64(8 * more)
+        out[held:] |= further
+        held += more
+    out <<= np.uint64(8)
+    out |= data
     size = np.diff(np.concatenate(([0], at))) - np.concatenate(([depth - 1], np.full(len(at) - 1, depth - 1)))
     return out[place], np.cumsum(size) - size
 
@@ -228,6 +236,22 @@ def _arrays(rows: DataFrame, *columns: str) -> list[np.ndarray]:
 PACKED = "shard int, key binary, n binary"
 
 
+def _packed(key: np.ndarray, n: np.ndarray, width: int) -> tuple[bytes, bytes]:
+    """Sorted keys by planes of their low ``width`` bytes, of which the high ones hardly change; counts as a byte, or as four behind all where that does not hold them."""
+    planes = key.view(np.uint8).reshape(-1, 8)[:, :width].T
+    return np.ascontiguousarray(planes).tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<u4").tobytes()
+
+
+def _unpacked(row_key: bytes, row_n: bytes, width: int, high: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, with ``high`` above their low bytes, and counts."""
+    planes = np.frombuffer(row_key, np.uint8).reshape(width, -1)
+    key = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    key[:, :width] = planes.T
+    n = np.frombuffer(row_n, np.uint8, planes.shape[1]).astype(np.float64)
+    n[n == 255] = np.frombuffer(row_n, "<u4", offset=planes.shape[1])
+    return key.view(np.uint64)[:, 0] | np.uint64(high << (8 * width)), n
+
+
 def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     held = 0
@@ -243,14 +267,13 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(key)]))
         short, m = _summed(_with_next(_context(key, LOW, depth), key), n)
         names = [*shard[cuts[:-1]].tolist(), -1]
-        blobs = [key[a:b].tobytes() for a, b in zip(cuts, cuts[1:])] + [short.tobytes()]
-        # Counts are small, and windows of a shard in order differ little: the shuffle's compression does the rest.
-        sizes = [n[a:b].astype("<u4").tobytes() for a, b in zip(cuts, cuts[1:])] + [m.astype("<u4").tobytes()]
+        made = [_packed(key[a:b], n[a:b], depth + 1 - LOW) for a, b in zip(cuts, cuts[1:])] + [_packed(short, m, LOW + 1)]
+        blobs, sizes = [x for x, _ in made], [y for _, y in made]
         for a in range(0, len(names), 500):
             yield pa.RecordBatch.from_arrays([pa.array(names[a : a + 500], pa.int32()), pa.array(blobs[a : a + 500], pa.binary()), pa.array(sizes[a : a + 500], pa.binary())], ["shard", "key", "n"])
 
     for batch in batches:
-        for a, b in _text_slices(batch["text"], 2 << 20):
+        for a, b in _text_slices(batch["text"], 1 << 20):
             key, n = np.unique(windows(batch["text"].slice(a, b - a), depth)[0], return_counts=True)
             keys.append(key)
             counts.append(n)
@@ -261,17 +284,14 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
                 if held >= HELD_WINDOWS:  # few repeat: no use in keeping them
                     yield from sent(key, n)
                     keys, counts, held = [key[:0]], [n[:0]], 0
+        pa.default_memory_pool().release_unused()
     yield from sent(*summed())
 
 
-def _unpacked(row_key: bytes, row_n: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row_key, np.uint64), np.frombuffer(row_n, "<u4")
-
-
 def _low_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k, n in zip(batch["key"].to_pylist(), batch["n"].to_pylist()):
-            key, m = _unpacked(k, n)
+            key, m = _unpacked(k, n, LOW + 1)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(m.astype(np.int64))], ["key", "n"])
 
 
@@ -303,9 +323,9 @@ def _shards(batches: Iterator[pa.RecordBatch], low: tuple[np.ndarray, np.ndarray
                 yield from rows()
                 keys, counts, held = [], [], 0
             shard = s
-            key, m = _unpacked(k, n)
+            key, m = _unpacked(k, n, depth + 1 - LOW, s)
             keys.append(key)
-            counts.append(m.astype(np.float64))
+            counts.append(m)
             held += len(key)
             if held > 2 * HELD_WINDOWS:  # what many tasks sent is summed as it comes
                 key, m = _summed(np.concatenate(keys), np.concatenate(counts))
@@ -317,7 +337,7 @@ def _shards(batches: Iterator[pa.RecordBatch], low: tuple[np.ndarray, np.ndarray
 def fit(docs: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
     """The root and the LOW levels, of at most 2**24 windows, on the driver; the further states as a stored table (TREE)."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    packed = written(texts.mapInArrow(lambda it: _count(it, depth), PACKED), "suffix-windows")
+    packed = written(texts.mapInArrow(lambda it: _count(it, depth), PACKED), "suffix-windows", "zstd")
     short = packed.filter("shard = -1").mapInArrow(_low_rows, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     key, n = _arrays(short, "key", "n")
     key, n = key.view(np.uint64), n.astype(np.float64)
@@ -461,7 +481,7 @@ def score(docs: DataFrame, depth: int = DEPTH, parts: int = 7, out: int = 2, mos
     for number, (tree, mine) in enumerate(trees(*fit(rows.filter(~F.col("held_out")), depth), depth, MOST_ROWS if most is None else most)):
         shared = spark.sparkContext.broadcast((tree, mine))
         if not number:
-            packed = written(rows.mapInArrow(lambda it, s=shared: _chunks(it, *s.value, depth), CHUNKS_SQL), "suffix-chunks")
+            packed = written(rows.mapInArrow(lambda it, s=shared: _chunks(it, *s.value, depth), CHUNKS_SQL), "suffix-chunks", "zstd")
         else:  # repeated rows have the same part
             part = rows.select("own", "text").mapInArrow(lambda it, s=shared: _partial(it, *s.value, depth), "own long, part double")
             part = written(part.groupBy("own").agg(F.max("part").alias("part")), "suffix-parts")
