@@ -53,7 +53,7 @@ ALIKE, SHINGLE = 0.8, 5
 #: What proposes them: bits over five words at most, and equal bands of minima; 1 of 2,800 pairs of exactly 0.8 shares no band.
 LOOSE, BANDS, BAND_ROWS = 20, 20, 5
 #: Texts of a block: proposed groups of more are compared block by block.
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 #: Rows of a bucket that are compared in one task; larger ones are compared by pairs of parts.
 BUCKET = 100_000
 #: What one filed row costs, in pairs compared.
@@ -162,6 +162,7 @@ def _in_parts(rows: DataFrame, make: Callable[[pa.RecordBatch, list[str | None]]
             for a, b in slices(size + 1, most):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(make(part, part["text"].to_pylist()), names)
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema)
 
@@ -173,7 +174,7 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 
 def with_signature(docs: DataFrame) -> DataFrame:
-    """doc_id, own (a hash of the text), fingerprints fp and check over two and five words, whole and bands of every row."""
+    """doc_id, own (a hash of the text), fingerprints fp and check over two and five words, whole, bands and size (shingles) of every row."""
 
     def make(part: pa.RecordBatch, texts: list[str | None]) -> list[pa.Array]:
         five = [np.array(hashes_of(t, SHINGLE), dtype=np.uint64) for t in texts]
@@ -181,9 +182,9 @@ def with_signature(docs: DataFrame) -> DataFrame:
         whole, bands = signatures([np.unique(h) for h in five])
         flat = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
         prints = [fingerprints(texts, 2), check, whole]
-        return [part["doc_id"], part["own"], *(pa.array(x.view(np.int64)) for x in prints), flat]
+        return [part["doc_id"], part["own"], *(pa.array(x.view(np.int64)) for x in prints), flat, pa.array([len(h) for h in five], pa.int64())]
 
-    return _in_parts(hashed(docs), make, "doc_id long, own long, fp long, check long, whole long, bands array<long>")
+    return _in_parts(hashed(docs), make, "doc_id long, own long, fp long, check long, whole long, bands array<long>, size long")
 
 
 def with_fingerprint(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -540,14 +541,15 @@ def alike(ids: np.ndarray, sets: list[np.ndarray], least: float = ALIKE) -> tupl
 
 
 def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Links a, b that join the near copies within each proposed group; members: doc_id, own, node, root.
+    """Links a, b that join the near copies within each proposed group; members: doc_id, own, node, root, size.
 
-    Groups of more than BLOCK texts are compared by pairs of blocks, so that no group falls to one task.
+    Groups of more than BLOCK texts, or of many long ones, are compared by pairs of blocks, so that no group falls to one task.
     """
-    # A row for each group of more than BLOCK texts; texts move only where a group asks for them.
-    large = sized(written(members.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), "large-groups"))
-    rows = hashed(docs).join(sized(members), ["doc_id", "own"]).join(large, "root", "left")
-    blocks = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / F.lit(BLOCK)).cast("long")
+    # A row for each group of more than one block; texts move only where a group asks for them.
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("long")
+    large = sized(written(members.groupBy("root").agg(parts.alias("n")).filter("n > 1"), "large-groups"))
+    rows = hashed(docs).join(sized(members.drop("size")), ["doc_id", "own"]).join(large, "root", "left")
+    blocks = F.coalesce(F.col("n"), F.lit(1).cast("long"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(SEED)), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.select("node", "text", "root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
 
@@ -636,10 +638,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     named = docs.filter("doc_id is not null")
     prints = written(with_signature(named), "fp")
     same = ["fp", "check", "whole"]
-    groups = prints.groupBy(*same).agg(F.min(F.struct("doc_id", "own")).alias("least"), F.first("bands").alias("bands"))
+    groups = prints.groupBy(*same).agg(F.min(F.struct("doc_id", "own")).alias("least"), F.max("size").alias("size"), F.first("bands").alias("bands"))
     groups = written(groups.withColumn("id", F.xxhash64(*same)), "prints")
     near_ = components(proposed(groups))
-    members = written(near_.join(groups.select(F.col("id").alias("node"), "least"), "node").select("least.*", "node", "root"), "proposed")
+    members = written(near_.join(groups.select(F.col("id").alias("node"), "least", "size"), "node").select("least.*", "node", "root", "size"), "proposed")
     roots = components(verified(named, members))
     linked = written(roots.join(groups.select(F.col("id").alias("node"), "least"), "node").select("node", "root", "least"), "linked")
     # Who is not the least of his group goes: as a copy by its shingles, or as a node whose group has a lesser.
