@@ -90,6 +90,59 @@ def test_languages_held_out(spark, docs):
     assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.9
 
 
+def brute_shares(text):
+    """Shares of hashed byte trigrams of the letters, from the definition."""
+    letters = bytes(b + 32 if 65 <= b < 91 else b if b >= 128 or 97 <= b < 123 else 32 for b in text.encode())
+    data, found = b" " + letters + b"  ", Counter()
+    for a, b, c in zip(data, data[1:], data[2:]):
+        if not (b == 32 and (a == 32 or c == 32)):
+            found[(((a * 2654435761 ^ b * 2246822519 ^ c * 3266489917) & 0xFFFFFFFF) * 668265263 & 0xFFFFFFFF) >> 20] += 1
+    return found, sum(found.values())
+
+
+def test_languages_are_the_votes_of_the_machines(spark, docs, texts):
+    model = langid.fit(langid.sample(docs))
+    odd = {10**6: "½ ² ٣", 10**6 + 1: None, 10**6 + 2: "1 2 3", 10**6 + 3: "é", 10**6 + 4: "ª", 10**6 + 5: "漢"}
+    some = dict(list(texts.items())[:60]) | odd
+    df = spark.createDataFrame([*some.items()], "doc_id long, text string")
+    for r in langid.identify(df, model).collect():
+        text = some[r.doc_id]
+        if text is None or not any(__import__("unicodedata").category(c)[0] == "L" for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        found, total = brute_shares(text)
+
+        def decide(names, machines):
+            if len(names) == 1:
+                return names[0], 1.0
+            votes, sums = Counter(), Counter()
+            for a, b, w in machines:  # noqa: B023
+                m = sum(n * np.float32(w[k]) for k, n in found.items()) / max(1, total) + w[-1] * 1e-3
+                votes[a if m >= 0 else b] += 1
+                sums[a] += math.tanh(m)
+                sums[b] -= math.tanh(m)
+            best = max(names, key=lambda x: (votes[x] + sums[x] / (4 * len(names)), -names.index(x)))
+            return best, 1 / (1 + math.exp(-4 * sums[best] / (len(names) - 1)))
+
+        home, sure = decide(list(model.languages), model.machines[None])
+        lang, certain = decide(model.languages[home], model.machines[home])
+        assert r.lang_pred == lang and abs(r.score - sure * certain) < 1e-3
+
+
+def test_sample_is_the_least_hashed(spark):
+    from pagemill.llm.common import least_hashed
+
+    rows = spark.range(4000).select(F.when(F.col("id") % 10 == 0, "b").when(F.col("id") == 1, "c").otherwise("a").alias("g"), (F.col("id") % 3900).alias("k"))
+    for most in (5, 100, 3000):
+        got = {(r.g, r.k) for r in least_hashed(rows, "g", "k", most).collect()}
+        want = set()
+        for g in "abc":
+            own = sorted((r.h, r.k) for r in rows.filter(F.col("g") == g).select("k", F.xxhash64("k").alias("h")).distinct().collect())
+            want |= {(g, k) for _, k in own[:most]}
+        assert got == want
+    assert {r.g for r in least_hashed(rows, "g", "k", 5, groups=1).collect()} == {"a"} and least_hashed(rows.limit(0), "g", "k", 5).count() == 0
+
+
 def test_prediction_reads_text_only(spark, docs):
     model = langid.fit(langid.sample(docs.filter("doc_id % 2 = 0")))
     a = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
@@ -314,6 +367,10 @@ def test_pruning_is_exact_on_clusters(spark):
         s = z @ z[q]
         want = sorted((i for i in range(len(v)) if i != q), key=lambda i: (-s[i], i))[:7]
         assert got[q] == [(i, s[i]) for i in want]
+    # Blocks in falling order of bound: of clustered rows few are scored.
+    best = topk.Best(np.arange(0, len(z), 50), z[::50], 7)
+    topk.search(best, np.arange(len(z)), z)
+    assert 0 < best.scored < 0.5 * len(z) * len(best.ids)
 
 
 # -- 6
@@ -760,3 +817,34 @@ def test_ordered_thresholds_and_held_out(spark, sf_dir, docs):
     good, bad = [r.grade for r in out if r.g == 2], [r.grade for r in out if r.g < 2]
     assert np.mean(good) > np.mean(bad) and np.mean([a > b for a in good for b in bad]) > 0.8
     assert all(0 <= r.tail <= 1 and 0 <= r.grade <= 2 for r in out)
+
+
+def test_grades_are_the_cumulative_links(spark, docs, texts):
+    """Expected grade and tail of every document from the definition; and fitting beats the thresholds alone."""
+    rng = np.random.default_rng(6)
+    word, shape, theta = rng.normal(0, 0.05, ordinal.WORDS), rng.normal(0, 1, ordinal.SHAPES), np.array([-0.4, 0.7])
+    table, kinds = ordinal._word_table(), ordinal._kinds()
+    some = dict(list(texts.items())[:50]) | {10**6: "", 10**6 + 1: None, 10**6 + 2: "a", 10**6 + 3: "É! é"}
+    df = spark.createDataFrame([*some.items()], "doc_id long, text string")
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    for r in ordinal.score(df, ordinal.Model(word, shape, theta)).collect():
+        raw = np.frombuffer((some[r.doc_id] or "").encode(), np.uint8)
+        buckets = {zlib.crc32(w) & (ordinal.WORDS - 1) for w in table[raw].tobytes().split()}
+        found = Counter((int(a), int(b), int(c)) for a, b, c in zip(kinds[raw], kinds[raw][1:], kinds[raw][2:]))
+        s = sum(word[b] for b in buckets)
+        s += sum(math.sqrt(n / sum(found.values())) * shape[a * ordinal.KINDS**2 + b * ordinal.KINDS + c] for (a, b, c), n in found.items())
+        above = [sig(s - t) for t in theta]
+        assert abs(r.grade - sum(above)) < 1e-9 and abs(r.tail - above[-1]) < 1e-9 and r.kept == (above[-1] >= 0.2)
+    rows = [(np.array(sorted({int(x) for x in rng.integers(0, 40, 6)} | {100 + g})), np.array([g]), np.array([1.0]), g) for g in rng.integers(0, 3, 240).tolist()]
+    model = ordinal.fit(rows, rounds=120)
+
+    def loss(m):
+        out = 0.0
+        for b, at, v, g in rows:
+            s = m.word[b].sum() + (m.shape[at] * v).sum()
+            cuts = [-math.inf, *m.theta, math.inf]
+            out -= math.log(max(1e-12, (1 if g == 0 else sig(s - cuts[g])) - (0 if g == 2 else sig(s - cuts[g + 1]))))
+        return out
+
+    assert loss(model) < 0.2 * loss(ordinal.Model(np.zeros(ordinal.WORDS), np.zeros(ordinal.SHAPES), np.array([-0.7, 0.7])))
+    assert (np.diff(model.theta) > 0).all()

@@ -112,3 +112,26 @@ def test_pipeline(spark, sf_dir):
     assert kept.join(good, "doc_id", "left_anti").count() == 0
     at_hand = pii.in_place(docs, key_for_checks(spark)).join(kept, "doc_id").select("doc_id", F.col("text").alias("t"))
     assert out.join(at_hand, "doc_id").filter("decoded <> t").count() == 0
+
+
+def test_pipeline_of_odd_tables(spark, odd_docs, no_docs, sf_dir):
+    """Nulls, empty and long texts, repeats, clashing columns and no rows through every stage."""
+    import corpus_pipeline
+
+    for docs in (odd_docs, no_docs):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf_dir)
+            if name != "encode":
+                assert out.columns == docs.columns
+                docs = out
+        assert out.columns == ["doc_id", "n_ids", "ids", "decoded"] and out.count() == docs.count()
+
+
+def test_labels_with_clashing_columns(spark, odd_docs):
+    clash = ("grade", "text", "bucket", "tail", "held_out", "__n", "__at", "key")
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (8, 0, 1)], "doc_id long, quality int, toxic int").withColumns({c: F.lit("x") for c in clash})
+    assert ordinal.classify(odd_docs, labels).count() == 11
+
+
+def test_tokens_of_clashing_columns(spark, odd_docs):
+    assert transducer.encoded(odd_docs.withColumns({c: F.lit(1) for c in ("ids", "n_ids", "decoded")}), PIECES).count() == 11
