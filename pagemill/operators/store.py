@@ -87,8 +87,8 @@ def numbered(rows: DataFrame, start: int, by: str = "url", name: str = "id", wit
     every number, is the same however many there are.
     """
     hashed = rows.withColumn("__hash", F.md5(F.coalesce(F.col(by).cast("string"), F.lit("")).cast("binary")))
-    digits = 2
-    while 16**digits * SLICE_ROWS < rows.count() and digits < 5:
+    n, digits = rows.count(), 2
+    while 16**digits * SLICE_ROWS < n and digits < 5:
         digits += 1
     group = [] if within is None else [within]
     sliced = hashed.withColumn("__slice", F.substring("__hash", 1, digits))

@@ -722,9 +722,9 @@ def engine_session(spark, sf_dir):
     own = Engine(spark, tables.scratch(spark, "engine"), space, entity, admission.Policy(allow_domains=("example.com",)))
     own.ingest(tables.responses(read(spark, sf_dir, "pages")), 0)
     queue = own.judge_list()
-    own.judge(queue.select("id", F.when(F.col("feature")["1"] > 0, 1).otherwise(-1).alias("decision")).filter("id % 2 = 0"))
-    first = own.extract_list().orderBy("id").limit(1).select("id", F.array(F.lit(1), F.lit(1)).alias("extractor"))
-    own.apply(own.store.write("chosen", first))
+    own.judge(queue.select("id", F.when(F.col("feature")["1"] > 0, 1).otherwise(-1).alias("decision")))
+    layouts = own.extract_list().join(own.table("url_lib").select("id", "layout_hash"), "id").groupBy("layout_hash").agg(F.min("id").alias("id"))
+    own.apply(own.store.write("chosen", layouts.select("id", F.array(F.lit(1), F.lit(1)).alias("extractor"))))
     own.extract_refresh()
     return own.results()
 
