@@ -3,6 +3,13 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame that is written and read again before the next stage. All but the last
 return the columns of ``docs``.
+
+Null and empty texts fail the quality rules and go. Repeated rows, and copies of a text,
+leave one row; texts of one doc_id that are no copies all stay. Rows without a doc_id
+are no one's copies and stay; the sample takes them or leaves them together. Very long
+texts are read whole by every stage. Ties go to the smaller doc_id. Empty tables pass through all stages as
+such. Columns beyond those of documents are carried, whatever their names, up to the
+last stage, which returns doc_id, n_ids, ids and decoded.
 """
 
 from __future__ import annotations
