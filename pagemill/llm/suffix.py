@@ -57,7 +57,7 @@ GAIN = 3.0
 PRIOR = 2.0
 CHUNK = 8 << 20
 HELD_WINDOWS = 600_000
-#: Rows of a tree that are broadcast at once, 12 bytes each.
+#: Rows of a tree that are broadcast at once, 16 bytes each.
 MOST_ROWS = 4_000_000
 #: A word that more chunks list is joined by broadcast.
 HUB = 16
@@ -72,27 +72,49 @@ def _with_next(context: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (context << np.uint64(8)) | (key & np.uint64(255))
 
 
-def _found(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each wanted number in the sorted names, and whether it is there."""
-    if not len(names):
-        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
-    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
-    return at, names[at] == wanted
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of numbers, the numbers in it, and which of these are first of their kind."""
+    order = np.argsort(key)
+    names = key[order]
+    new = np.ones(len(names), dtype=bool)
+    np.not_equal(names[1:], names[:-1], out=new[1:])
+    return order, names, new
 
 
 def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    names, back = np.unique(key, return_inverse=True)
-    return names, np.bincount(back, n, len(names))
+    if not len(key):
+        return key, np.zeros(0)
+    order, names, new = _sorted(key)
+    return names[new], np.add.reduceat(n[order].astype(np.float64), np.flatnonzero(new))
 
 
 @dataclass
 class Level:
-    """States of one length: contexts with the weight that is left to their suffix; and contexts with a next byte seen, as one number, with its probability."""
+    """States of one length: their contexts with each next byte seen, as one number, in order; its probability; and the weight that the state leaves to its suffix."""
 
-    context: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
     seen: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    p: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    p: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    rest: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+
+    def step(self, wanted: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the wanted contexts (with next bytes) are states, and the probability there; p: that of their suffixes.
+
+        A state has its bytes side by side, so that one search finds it whether or not the byte was seen.
+        """
+        if not len(self.seen):
+            return np.zeros(len(wanted), dtype=bool), p
+        at = np.searchsorted(self.seen, wanted)
+        np.minimum(at, len(self.seen) - 1, out=at)
+        there = self.seen[at] == wanted
+        value = self.p[at].astype(np.float64)
+        miss = np.flatnonzero(~there)
+        if len(miss):
+            right, context = at[miss], wanted[miss] >> np.uint64(8)
+            own = (self.seen[right] >> np.uint64(8)) == context
+            right[~own] = np.maximum(right[~own] - 1, 0)  # the state's bytes may all be smaller
+            there[miss] = (self.seen[right] >> np.uint64(8)) == context
+            value[miss] = self.rest[right] * p[miss]
+        return there, value
 
 
 def root_of(n: np.ndarray) -> np.ndarray:
@@ -105,15 +127,14 @@ def grow(key: np.ndarray, n: np.ndarray, first: int, last: int, depth: int, abov
 
     above: the smoothed probabilities of all windows of one byte less, as sorted windows and values.
     """
-    levels: list[tuple[Level, np.ndarray, np.ndarray]] = []
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, Level]] = []
     for d in range(first, last + 1):
         seen, counts = _summed(_with_next(_context(key, d, depth), key), n)
         context, owner = np.unique(seen >> np.uint64(8), return_inverse=True)
         total = np.bincount(owner, counts, len(context))
         kinds = np.bincount(owner, minlength=len(context))
         often = (total >= MIN_COUNT)[owner]
-        at, _ = _found(above[0], _with_next(seen >> np.uint64(16), seen))
-        up = above[1][at]
+        up = above[1][np.searchsorted(above[0], _with_next(seen >> np.uint64(16), seen))]
         weight = PRIOR * kinds
         p = (counts + weight[owner] * up) / (total + weight)[owner]
         # A rarer context is no state; the longer ones that end in it are rarer still.
@@ -124,14 +145,14 @@ def grow(key: np.ndarray, n: np.ndarray, first: int, last: int, depth: int, abov
         kept = total >= MIN_COUNT
         if not all_kept:
             kept &= (apart >= BITS) & (apart * total >= GAIN * kinds)
-        levels.append((Level(context, weight / (total + weight), seen, p), kept, owner))
+        levels.append((context, kept, owner, Level(seen, p.astype(np.float32), (weight / (total + weight)).astype(np.float32)[owner])))
     out: list[Level] = []
     needed = np.zeros(0, np.uint64)
-    for level, kept, owner in reversed(levels):
-        kept |= np.isin(level.context, needed)
-        needed = np.unique(level.context[kept] >> np.uint64(8))
+    for context, kept, owner, level in reversed(levels):
+        kept |= np.isin(context, needed)
+        needed = np.unique(context[kept] >> np.uint64(8))
         rows = kept[owner]
-        out.append(Level(level.context[kept], level.rest[kept].astype(np.float32), level.seen[rows], level.p[rows].astype(np.float32)))
+        out.append(Level(level.seen[rows], level.p[rows], level.rest[rows]))
     return out[::-1]
 
 
@@ -143,20 +164,31 @@ class Tree:
     root: np.ndarray
     levels: list[Level]
 
+    def __post_init__(self) -> None:
+        """Of all pairs of bytes the probability in the state of the first, or in the root."""
+        pairs = np.arange(1 << 16, dtype=np.uint64)
+        own = self.root[(pairs & np.uint64(255)).astype(np.int64)]
+        there, p = (self.levels[0] if self.levels else Level()).step(pairs, own)
+        self.pairs, self.pair_state = np.where(there, p, own), there
+
     def log10(self, key: np.ndarray) -> np.ndarray:
         """Of the next byte of each window, in the state of the longest suffix of its context."""
-        windows, back = np.unique(key, return_inverse=True)
-        p = self.root[(windows & np.uint64(255)).astype(np.int64)]
-        alive = np.arange(len(windows))
-        for d, level in enumerate(self.levels, 1):
-            own = _context(windows[alive], d, self.depth)
-            at, there = _found(level.context, own)
-            alive, own, at = alive[there], own[there], at[there]
+        order, windows, new = _sorted(key)
+        windows = windows[new]
+        pair = _with_next(_context(windows, 1, self.depth), windows).astype(np.int64)
+        p = self.pairs[pair]
+        alive = np.flatnonzero(self.pair_state[pair])
+        for d, level in enumerate(self.levels[1:], 2):
+            own = windows[alive]
+            there, value = level.step(_with_next(_context(own, d, self.depth), own), p[alive])
+            if not there.all():
+                alive, value = alive[there], value[there]
             if not len(alive):
                 break
-            to, seen = _found(level.seen, _with_next(own, windows[alive]))
-            p[alive] = np.where(seen, level.p[to] if len(level.p) else 0.0, level.rest[at] * p[alive])
-        return np.log10(p)[back]
+            p[alive] = value
+        out = np.empty(len(key))
+        out[order] = np.log10(p)[np.cumsum(new) - 1]
+        return out
 
 
 def one_tree(key: np.ndarray, n: np.ndarray, depth: int, low: int = 0) -> Tree:
@@ -177,7 +209,7 @@ def smoothed(root: np.ndarray, key: np.ndarray, n: np.ndarray, last: int, depth:
         seen, counts = _summed(_with_next(_context(key, d, depth), key), n)
         context, owner = np.unique(seen >> np.uint64(8), return_inverse=True)
         total, kinds = np.bincount(owner, counts, len(context)), np.bincount(owner, minlength=len(context))
-        up = above[1][_found(above[0], _with_next(seen >> np.uint64(16), seen))[0]]
+        up = above[1][np.searchsorted(above[0], _with_next(seen >> np.uint64(16), seen))]
         p = (counts + PRIOR * kinds[owner] * up) / (total + PRIOR * kinds)[owner]
         above = (seen, np.where((total >= MIN_COUNT)[owner], p, up))
     return above
@@ -298,7 +330,7 @@ def _low_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- the tree
 
 
-TREE = "shard int, d int, name long, seen boolean, value float"
+TREE = "shard int, d int, seen long, p float, rest float"
 
 
 def _shards(batches: Iterator[pa.RecordBatch], low: tuple[np.ndarray, np.ndarray], depth: int) -> Iterator[pa.RecordBatch]:
@@ -310,12 +342,11 @@ def _shards(batches: Iterator[pa.RecordBatch], low: tuple[np.ndarray, np.ndarray
     def rows() -> Iterator[pa.RecordBatch]:
         levels = grow(np.concatenate(keys), np.concatenate(counts), LOW + 1, depth, depth, low)
         for d, level in enumerate(levels, LOW + 1):
-            for name, value, seen in ((level.context, level.rest, False), (level.seen, level.p, True)):
-                for a in range(0, len(name), 1 << 16):
-                    own = slice(a, a + (1 << 16))
-                    size = len(name[own])
-                    columns = [np.full(size, shard, np.int32), np.full(size, d, np.int32), name[own].view(np.int64), np.full(size, seen), value[own]]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], [c.split()[0] for c in TREE.split(", ")])
+            for a in range(0, len(level.seen), 1 << 16):
+                own = slice(a, a + (1 << 16))
+                size = len(level.seen[own])
+                columns = [np.full(size, shard, np.int32), np.full(size, d, np.int32), level.seen[own].view(np.int64), level.p[own], level.rest[own]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], [c.split()[0] for c in TREE.split(", ")])
 
     for batch in batches:
         for s, k, n in zip(batch["shard"].to_pylist(), batch["key"].to_pylist(), batch["n"].to_pylist()):
@@ -369,15 +400,12 @@ def trees(top: Tree, states: DataFrame, depth: int, most: int) -> Iterator[tuple
         mine[group] = True
         if not i:  # contexts of no shard are scored with the first group
             mine[[s for s in range(len(mine)) if s not in {s for g in groups for s in g}]] = True
-        d, name, seen, value = _arrays(states if len(groups) == 1 else states.filter(F.col("shard").isin(group)), "d", "name", "seen", "value")
+        d, seen, p, rest = _arrays(states if len(groups) == 1 else states.filter(F.col("shard").isin(group)), "d", "seen", "p", "rest")
         levels = list(top.levels)
         for level in range(LOW + 1, depth + 1):
-            made = []
-            for kind in (False, True):
-                at = np.flatnonzero((d == level) & (seen == kind))
-                at = at[np.argsort(name[at].view(np.uint64))]
-                made += [name[at].view(np.uint64), value[at].astype(np.float32)]
-            levels.append(Level(*made))
+            at = np.flatnonzero(d == level)
+            at = at[np.argsort(seen[at].view(np.uint64))]
+            levels.append(Level(seen[at].view(np.uint64), p[at], rest[at]))
         yield Tree(depth, top.root, levels), mine
 
 
