@@ -310,3 +310,14 @@ def test_cv_report_is_the_whole_report(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(evaluate, "learn", lambda rows, columns, **named: learned.append((named["impurity"], named["min_leaf"], named["depth"])))
     assert {r.theta for r in queries.cv_report(spark, sf_dir).collect()} == set(evaluate.SETTINGS)
     assert learned == [s for s in evaluate.SETTINGS.values() for _ in range(10)]
+
+
+CUT = '<html><body><title>a &amp; b&&&amp</title><article><h1>h&amp</h1></article><div class="ad" title="x&lt">&amp;lt; &lt &notit; &#65; &eacute;</div><script>a&amp&b</script></body></html>'
+
+
+def test_cut_references_in_scopes(spark):
+    pages = spark.createDataFrame([("u", CUT)], "url string, html string")
+    rules = {"heading": Rule("content", (), "article > h1"), "ad": Rule("content", (), "div.ad"), "ads": Rule("content", (), "div.ad", "html")}
+    row = extract.with_rule_values(pages, rules, {"url": F.col("url")}).first()
+    assert (row.heading, row.ad) == ("h&amp", "&lt; &lt &notit; A é")
+    assert row.ads == '<div class="ad" title="x&amp;lt">&amp;lt; &amp;lt &amp;notit; A é</div>'
