@@ -321,3 +321,9 @@ def test_cut_references_in_scopes(spark):
     row = extract.with_rule_values(pages, rules, {"url": F.col("url")}).first()
     assert (row.heading, row.ad) == ("h&amp", "&lt; &lt &notit; A é")
     assert row.ads == '<div class="ad" title="x&amp;lt">&amp;lt; &amp;lt &amp;notit; A é</div>'
+
+
+def test_cut_references_in_parts():
+    p = parts.page_parts(CUT, "", ["text", "title", "html"])
+    assert p["title"] == "a & b&&&amp" and p["text"].split("\n")[:2] == ["a & b&&&amp", "h&amp"]
+    assert "<script>a&amp&b</script>" in p["html"] and "<h1>h&amp;amp</h1>" in p["html"] and parts.page_parts("&", "", ["text"])["text"] == "&"
