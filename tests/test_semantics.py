@@ -327,3 +327,9 @@ def test_cut_references_in_parts():
     p = parts.page_parts(CUT, "", ["text", "title", "html"])
     assert p["title"] == "a & b&&&amp" and p["text"].split("\n")[:2] == ["a & b&&&amp", "h&amp"]
     assert "<script>a&amp&b</script>" in p["html"] and "<h1>h&amp;amp</h1>" in p["html"] and parts.page_parts("&", "", ["text"])["text"] == "&"
+
+
+def test_cut_references_in_titles_of_hashed_pages(spark):
+    pages = spark.createDataFrame([("u", CUT), ("v", CUT.replace("&&&amp<", "&amp;<"))], "url string, html string")
+    rows = {r.url: r for r in parts.hashed(pages).collect()}
+    assert rows["u"].title == "a & b&&&amp" and rows["v"].title == "a & b&" and rows["u"].layout_hash == rows["v"].layout_hash
