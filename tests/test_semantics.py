@@ -333,3 +333,22 @@ def test_cut_references_in_titles_of_hashed_pages(spark):
     pages = spark.createDataFrame([("u", CUT), ("v", CUT.replace("&&&amp<", "&amp;<"))], "url string, html string")
     rows = {r.url: r for r in parts.hashed(pages).collect()}
     assert rows["u"].title == "a & b&&&amp" and rows["v"].title == "a & b&" and rows["u"].layout_hash == rows["v"].layout_hash
+
+
+def test_embedded_database(spark, monkeypatch):
+    from pagemill.sources import tables
+
+    at, driver = "jdbc:derby:memory:semantics;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    monkeypatch.setattr(tables, "BATCH_ROWS", 7)
+    rows = spark.sql("select id, cast(id as int) n, if(id % 3 = 0, null, 't' || id) t, id / 4D d, cast(id as decimal(9, 2)) m, date'2024-01-01' + cast(id as int) day, timestamp'2024-01-01 10:00:00' at, id % 2 = 0 even from range(0, 40, 1, 3)")
+    plans = []
+    monkeypatch.setattr(type(rows.write), "save", lambda self, *a, f=type(rows.write).save: (plans.append(self._df.count()), f(self, *a)))
+    for _ in range(2):  # made anew
+        tables.write_jdbc(rows, at, "kinds", driver=driver)
+    assert plans == [0, 0]  # tasks write nothing: another process would have a database of its own
+    back = tables.jdbc(spark, at, "kinds", driver=driver)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    assert "JDBC" not in back._jdf.queryExecution().toString()
+    assert [r.id for r in tables.jdbc(spark, at, "kinds", where='"t" IS NULL AND "n" > 30', driver=driver).orderBy("id").collect()] == [33, 36, 39]
+    assert tables.jdbc(spark, at, "kinds", where='"n" < 0', driver=driver).count() == 0
+    assert [bool(tables.EMBEDDED.match(u)) for u in ("jdbc:derby://h:1527/x", "jdbc:postgresql://h/x", "jdbc:h2:tcp://h/x", "jdbc:h2:mem:x", "jdbc:derby:/x")] == [False, False, False, True, True]
