@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.scalars import TARGETS, percent
-from pagemill.operators.judge import learn
+from pagemill.operators.judge import PART_ROWS, learn
 from pagemill.operators.store import numbered
 
 
@@ -15,10 +19,11 @@ def feature_table(pages: DataFrame, labels: DataFrame, features: list[str], key:
     return pages.join(labels.select(key, "label"), key).select(key, "label", *features)
 
 
-def confusion(scored: DataFrame, label: str = "label", decision: str = "decision", *by: str) -> DataFrame:
-    """tp, tn, fp, fn; single and multiple are positive. One pass."""
+def confusion(scored: DataFrame, label: str = "label", decision: str = "decision", *by: str, weight: str | None = None) -> DataFrame:
+    """tp, tn, fp, fn; single and multiple are positive. One pass. ``weight``: a column that says how many rows one stands for."""
     yes, said = F.col(label).isin(*TARGETS), F.col(decision).isin(*TARGETS)
-    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+    one = F.lit(1) if weight is None else F.col(weight)
+    count = lambda c: F.coalesce(F.sum(F.when(c, one).otherwise(0)), F.lit(0)).cast("long")
     return scored.groupBy(*by).agg(count(yes & said).alias("tp"), count(~yes & ~said).alias("tn"), count(~yes & said).alias("fp"), count(yes & ~said).alias("fn"))
 
 
@@ -54,16 +59,24 @@ SETTINGS: dict[str, tuple[str, int, int]] = {
 
 
 def cross_validated(table: DataFrame, features: list[str], key: str = "id", k: int = 10, settings: dict[str, tuple[str, int, int]] | None = None) -> DataFrame:
-    """theta, fold, tp, tn, fp, fn of each fold under each setting. The loop is over models, not rows."""
-    folded = with_fold(table, "label", key, k).persist()
+    """theta, fold, tp, tn, fp, fn of each fold under each setting. The loop is over models, not rows; the folds of a setting are fitted at the same time."""
+    narrow = table.select(key, "label", *features).persist()  # features are computed once
+    counted = with_fold(narrow, "label", key, k).groupBy("fold", "label", *features).agg(F.count("*").alias("__rows")).persist()
+    few = counted.coalesce(-(-max(counted.count(), 1) // PART_ROWS))
+    narrow.unpersist()
+
+    def run(name: str, i: int) -> tuple:
+        impurity, leaf, depth = (settings or SETTINGS)[name]
+        judge = learn(few.filter(F.col("fold") != i), features, min_leaf=leaf, impurity=impurity, depth=depth, weight="__rows")
+        test = few.filter(F.col("fold") == i)
+        scored = judge.judged(test) if judge else test.withColumn("decision", F.lit(-1))
+        return (name, i, *confusion(scored, weight="__rows").first())
+
     rows = []
-    for name, (impurity, leaf, depth) in (settings or SETTINGS).items():
-        for i in range(k):
-            judge = learn(folded.filter(F.col("fold") != i), features, min_leaf=leaf, impurity=impurity, depth=depth)
-            test = folded.filter(F.col("fold") == i)
-            scored = judge.judged(test) if judge else test.withColumn("decision", F.lit(-1))
-            rows.append((name, i, *confusion(scored).first()))
-    folded.unpersist()
+    with ThreadPoolExecutor(k) as pool:
+        for name in settings or SETTINGS:
+            rows += pool.map(inheritable_thread_target(table.sparkSession)(partial(run, name)), range(k))
+    counted.unpersist()
     return table.sparkSession.createDataFrame(rows, "theta string, fold int, tp long, tn long, fp long, fn long")
 
 

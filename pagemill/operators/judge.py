@@ -13,6 +13,8 @@ CONFIDENCE = 70.0
 #: Every leaf of the tree holds ten rows at least; a node is split if it has twenty, which that implies.
 MIN_LEAF = 10
 MAX_DEPTH = 30
+#: Distinct rows that one task of a fit holds.
+PART_ROWS = 20_000
 
 
 @dataclass
@@ -73,25 +75,35 @@ class Judge:
         return Judge(model, model.stages[1].getInputCols())
 
 
-def learn(training: DataFrame, columns: list[str], label: str = "label", min_leaf: int = MIN_LEAF, impurity: str = "entropy", depth: int = MAX_DEPTH, seed: int = 7) -> Judge | None:
-    """A decision tree on all labelled rows; None without any."""
+def learn(
+    training: DataFrame, columns: list[str], label: str = "label", min_leaf: int = MIN_LEAF, impurity: str = "entropy", depth: int = MAX_DEPTH, seed: int = 7, weight: str | None = None
+) -> Judge | None:
+    """A decision tree on all labelled rows; None without any. ``weight``: a column that says how many rows one stands for.
+
+    Equal rows are counted once and weigh what they are: the tree is the same, and its passes, one for each level, are
+    over the distinct rows.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
-    rows = training.filter(F.col(label).isNotNull()).select(F.col(label).cast("int").cast("string").alias("__label"), *columns)
-    rows = rows.persist()  # several passes: features are computed once
-    if rows.isEmpty():
+    rows = training.filter(F.col(label).isNotNull()).groupBy(F.col(label).cast("int").cast("string").alias("__label"), *columns)
+    rows = rows.agg((F.count("*") if weight is None else F.sum(weight)).cast("double").alias("__weight")).persist()
+    n, total = rows.agg(F.count("*"), F.sum("__weight")).first()
+    if not n:
         rows.unpersist()
         return None
+    # The least weight of a leaf is given as a share; half a row less, so that rounding is no matter.
+    splits = 2 * min_leaf <= total
     stages = [
         StringIndexer(inputCol="__label", outputCol="__index", stringOrderType="alphabetAsc", handleInvalid="keep"),
         VectorAssembler(inputCols=columns, outputCol="__features", handleInvalid="keep"),
         DecisionTreeClassifier(
-            labelCol="__index", featuresCol="__features", impurity=impurity, maxDepth=depth, minInstancesPerNode=min_leaf, minWeightFractionPerNode=0.0, seed=seed
+            labelCol="__index", featuresCol="__features", weightCol="__weight", impurity=impurity, maxDepth=depth if splits else 0, minInstancesPerNode=1,
+            minWeightFractionPerNode=(min_leaf - 0.5) / total if splits else 0.0, seed=seed,
         ),
-    ]
-    model = Pipeline(stages=stages).fit(rows)
+    ]
+    model = Pipeline(stages=stages).fit(rows.coalesce(-(-n // PART_ROWS)))
     rows.unpersist()
     return Judge(model, columns)
 

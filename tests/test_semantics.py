@@ -352,3 +352,32 @@ def test_embedded_database(spark, monkeypatch):
     assert [r.id for r in tables.jdbc(spark, at, "kinds", where='"t" IS NULL AND "n" > 30', driver=driver).orderBy("id").collect()] == [33, 36, 39]
     assert tables.jdbc(spark, at, "kinds", where='"n" < 0', driver=driver).count() == 0
     assert [bool(tables.EMBEDDED.match(u)) for u in ("jdbc:derby://h:1527/x", "jdbc:postgresql://h/x", "jdbc:h2:tcp://h/x", "jdbc:h2:mem:x", "jdbc:derby:/x")] == [False, False, False, True, True]
+
+
+@pytest.mark.parametrize("min_leaf", [1, 10, 40])
+def test_tree_of_counted_rows_is_that_of_the_rows(spark, min_leaf):
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = [(float(i * i % 11), float(i % 5 % 3), (i * 7 % 13 > 5) + (i % 4 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "f_1 double, f_2 double, label int").coalesce(1)
+    plain = DecisionTreeClassifier(labelCol="label", featuresCol="v", impurity="entropy", maxDepth=30, minInstancesPerNode=min_leaf, seed=7)
+    tree = plain.fit(VectorAssembler(inputCols=["f_1", "f_2"], outputCol="v").transform(df))
+    body = lambda text: text.split("\n", 1)[1]
+    assert body(judge.learn(df, ["f_1", "f_2"], min_leaf=min_leaf).text()) == body(tree.toDebugString)
+    assert judge.learn(df.limit(2 * min_leaf - 1), ["f_1", "f_2"], min_leaf=min_leaf).model.stages[-1].depth == 0
+
+
+def test_folds_are_fitted_together_on_distinct_rows(spark, monkeypatch):
+    from threading import Barrier
+
+    together, seen = Barrier(10, timeout=60), []
+
+    def learn(rows, columns, **named):
+        together.wait()
+        seen.append((rows.count(), rows.agg(F.sum(named["weight"])).first()[0]))
+
+    monkeypatch.setattr(evaluate, "learn", learn)
+    df = spark.range(400).selectExpr("id", "int(id % 2) AS label", "double(id % 4) AS f_1")
+    out = evaluate.cross_validated(df, ["f_1"], settings={"a": ("gini", 1, 3)}).collect()
+    assert [sum(r[2:]) for r in out] == [40] * 10 and max(n for n, _ in seen) <= 9 * 4 and {w for _, w in seen} == {360}
