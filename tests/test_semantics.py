@@ -381,3 +381,16 @@ def test_folds_are_fitted_together_on_distinct_rows(spark, monkeypatch):
     df = spark.range(400).selectExpr("id", "int(id % 2) AS label", "double(id % 4) AS f_1")
     out = evaluate.cross_validated(df, ["f_1"], settings={"a": ("gini", 1, 3)}).collect()
     assert [sum(r[2:]) for r in out] == [40] * 10 and max(n for n, _ in seen) <= 9 * 4 and {w for _, w in seen} == {360}
+
+
+def test_cross_validation_computes_features_once(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def seen(i):
+        rows.add(1)
+        return float(i % 4)
+
+    f = F.udf(seen, "double")("id")
+    df = spark.range(100).select("id", f.alias("f_1")).withColumn("label", (F.col("f_1") % 2).cast("int"))
+    evaluate.cross_validated(df, ["f_1"], k=2, settings={"a": ("gini", 1, 3)})
+    assert rows.value == 100
