@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -83,16 +83,12 @@ def with_scopes(pages: DataFrame, rules: list[Rule], html: str = "html", url: st
         except ValueError:
             scopes.append((None, r.target))  # beyond the subset: nothing is selected
 
-    def run(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for markup, at in series:
-            out = []
-            for m, u in zip(markup, at):
-                root = H.parse(m or "")
-                H.absolute_references(root, u or "")
-                out.append([H.scope(root, s, t) if s is not None else "" for s, t in scopes])
-            yield pd.Series(out)
+    def run(markup: str | None, at: str | None) -> list[str]:
+        root = H.parse(markup or "")
+        H.absolute_references(root, at or "")
+        return [H.scope(root, s, t) if s is not None else "" for s, t in scopes]
 
-    return pages.withColumn(into, F.pandas_udf(run, "array<string>", F.PandasUDFType.SCALAR_ITER)(F.col(html), F.col(url)))
+    return pages.withColumn(into, F.udf(run, "array<string>", useArrow=False)(F.col(html), F.col(url)))  # plain: as in ``parts``
 
 
 def attribute_value(rule: Rule, source: Column) -> Column:

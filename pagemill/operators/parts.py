@@ -1,15 +1,13 @@
 """Parts of a page: text, html, tag, title, keyword, description, url, layout.
 
 Parts that regular expressions can give are columns of SQL functions; those that
-need a tree come from one pandas UDF that parses a page once and returns only the
-parts asked for.
+need a tree come from one UDF that parses a page once and returns only the parts
+asked for. It is a plain one: a worker holds a hundred pages, while an Arrow batch
+holds ten thousand, with their parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,10 +63,10 @@ def native(html: Column, url: Column) -> dict[str, Column]:
 def page_parts(html: str, url: str, names: list[str], script_text: bool = True) -> dict[str, str]:
     """From the tree. script_text: whether text takes what stands in script and style."""
     out: dict[str, str] = {}
-    if "layout" in names:
-        out["layout"] = H.layout(html)
-    if set(names) - {"layout", "url"}:
+    if set(names) - {"url"}:
         root = H.parse(html)
+        if "layout" in names:  # before references change
+            out["layout"] = H.layout(root)
         H.absolute_references(root, url)
         markup = H.serialised(root) if {"html", "tag"} & set(names) else ""
         for name in names:
@@ -96,18 +94,17 @@ def with_parts(pages: DataFrame, names: list[str], html: str = "html", url: str
     if unknown:
         raise KeyError(f"unknown parts: {sorted(unknown)}")
 
-    def run(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for markup, at in series:
-            yield pd.DataFrame([page_parts(m or "", u or "", names, script_text) for m, u in zip(markup, at)], columns=names)
+    def run(markup: str | None, at: str | None) -> tuple:
+        found = page_parts(markup or "", at or "", names, script_text)
+        return tuple(found[n] for n in names)
 
     schema = ", ".join(f"{n} string" for n in names)
-    udf = F.pandas_udf(run, schema, F.PandasUDFType.SCALAR_ITER)
-    return pages.withColumn(into, udf(F.col(html), F.col(url)))
+    return pages.withColumn(into, F.udf(run, schema, useArrow=False)(F.col(html), F.col(url)))
 
 
-def hashed(pages: DataFrame) -> DataFrame:
-    """``pages`` (url, html) with title, content_hash, layout_hash."""
-    out = with_parts(pages, ["title", "layout"], into="__p")
-    return out.withColumns({
-        "title": short_title(F.col("__p.title")), "content_hash": text_hash(F.col("html")), "layout_hash": text_hash(F.col("__p.layout")),
-    }).drop("__p")
+def hashed(pages: DataFrame, into: str | None = None) -> DataFrame:
+    """``pages`` (url, html) with title, content_hash, layout_hash; ``into``: the struct of parts, if they have title and layout already."""
+    p = into or "__p"
+    out = pages if into else with_parts(pages, ["title", "layout"], into=p)
+    out = out.withColumns({"title": short_title(F.col(f"{p}.title")), "content_hash": text_hash(F.col("html")), "layout_hash": text_hash(F.col(f"{p}.layout"))})
+    return out if into else out.drop(p)

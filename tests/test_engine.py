@@ -61,3 +61,14 @@ def test_stream(spark, tmp_path):
     assert e.table("url_lib").count() == 4 and e.table("epochs").count() == 2
     assert e.ingest(spark.createDataFrame([page(5)], SCHEMA), 0).count() == 0  # a repeated batch
     assert e.table("url_lib").filter(F.col("url") == "http://x/5").count() == 0
+
+
+def test_pages_are_parsed_in_small_batches(spark):
+    from pagemill.operators import extract, parts
+
+    pages = spark.range(20).selectExpr("'u' AS url", "'<title>t</title>' AS html").coalesce(1)
+    one = parts.with_parts(pages, ["title", "html"])
+    two = extract.with_scopes(pages, [Rule("content", sel="title")])
+    for df in (one, two):  # Arrow takes ten thousand pages at a time
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan and df.count() == 20
