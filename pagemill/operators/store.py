@@ -167,6 +167,12 @@ class Store:
             return self.spark.createDataFrame([], f"{schema}, batch long")
         return self.spark.read.schema(f"{schema}, batch long").parquet(f"{self.root}/{name}")
 
+    def batch_numbers(self, name: str) -> list[int]:
+        """Numbers of the batches of such a table that are complete."""
+        fs, path = self._at(name)
+        done = lambda p: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+        return [int(s.getPath().getName()[6:]) for s in (fs.listStatus(path) if fs.exists(path) else []) if s.getPath().getName().startswith("batch=") and done(s.getPath())]
+
     def drop_batches(self, name: str, live: set[int]) -> None:
         """Remove all batches but the live ones."""
         fs, path = self._at(name)

@@ -9,6 +9,8 @@ rewrites the narrow inbox, never the pages.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from pagemill.operators import admission, extract, features, judge, parts, store
 from pagemill.sources import specs
 from pagemill.sources.specs import Entity, Feature, Rule
 
+#: Pages that one task parses.
+TASK_PAGES = 1000
 INBOX = "id long, url string, stage string, batch long"
 RAW = "id long, html string"
 JUDGE_QUEUE = "id long, title string, url string, filename string, confidence double, decision int, feature map<string,long>"
@@ -62,18 +66,25 @@ class Engine:
         return row and row[0]
 
     def pages(self, waiting: DataFrame) -> DataFrame:
-        """Rows of the inbox with their html."""
-        return waiting.join(self.store.batches("raw", RAW), ["id", "batch"]).drop("batch")
+        """Rows of the inbox with their html, dealt over tasks by their number: bodies are small on disk and dear to parse."""
+        live = waiting.groupBy("batch").agg(F.count("*").alias("n")).collect()
+        raw = self.store.batches("raw", RAW).filter(F.col("batch").isin([r.batch for r in live]))
+        n = max(1, -(-sum(r.n for r in live) // TASK_PAGES))
+        # One key of both, so that the join keeps this dealing and bodies move once.
+        dealt = lambda df: df.withColumn("__key", F.concat_ws(":", "id", "batch")).drop("batch").repartition(n, "__key")
+        return dealt(waiting).join(dealt(raw).drop("id"), "__key").drop("__key")
 
     def vacuum(self) -> None:
-        """Drop batches of raw pages of which none waits any more."""
-        self.store.drop_batches("raw", {r[0] for r in self.table("inbox").select("batch").distinct().collect()})
+        """Drop batches of raw pages, and their features, of which none waits any more."""
+        live = {r[0] for r in self.table("inbox").select("batch").distinct().collect()}
+        for name in ("raw", self._vectors()):
+            self.store.drop_batches(name, live)
 
     # -- steps
 
-    def _with_parts(self, pages: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    def _with_parts(self, pages: DataFrame, also: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, Column]]:
         """``pages`` with __parts, from the tree, and the parts as columns: those that features or rules ask for; a page is parsed once for all of them."""
-        asked = {r.sel for f in self.space for r in f.rules} | {r.on for a in self.entity.attributes.values() for r in a.rules.values()}
+        asked = {r.sel for f in self.space for r in f.rules} | {r.on for a in self.entity.attributes.values() for r in a.rules.values()} | {*also}
         names = [n for n in parts.NAMES if n in asked and n != "url"]
         made = {"url": F.col("url")}
         if names:
@@ -81,11 +92,25 @@ class Engine:
             made |= {n: F.col(f"__parts.{n}") for n in names}
         return pages, made
 
-    def _featured(self, pages: DataFrame) -> DataFrame:
-        pages, own = self._with_parts(pages)
-        out = features.with_features(pages, self.space, own).drop("__parts")
+    def _featured(self, pages: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+        pages, own = self._with_parts(pages, also)
+        out = features.with_features(pages, self.space, own)
         return out.withColumns({c: F.col(c).cast("double") for c in self.columns})
 
+    def _vectors(self) -> str:
+        """The name of the table of features of raw pages: one for each feature space, as another space gives other features."""
+        return "vectors-" + hashlib.md5(repr(self.space).encode()).hexdigest()
+
+    def _vectors_of(self, waiting: DataFrame) -> DataFrame:
+        """Rows of the inbox with their features: those kept at ingestion; pages of a batch that came in under another space are parsed."""
+        kept = self.store.batches(self._vectors(), "id long, " + ", ".join(f"{c} double" for c in self.columns))
+        known = self.store.batch_numbers(self._vectors())
+        rest = waiting.filter(~F.col("batch").isin(known))
+        found = waiting.join(kept, ["id", "batch"]).drop("batch")
+        if rest.isEmpty():
+            return found
+        return found.unionByName(self._featured(self.pages(rest)).select(*found.columns))
+
     def _feature_map(self) -> Column:
         return F.create_map(*(x for f in features.ordered(self.space) for x in (F.lit(f.id), F.col(features.column_name(f)).cast("long"))))
 
@@ -169,14 +194,16 @@ class Engine:
         found = bodies.join(fresh, ["url", "content_hash"]).dropDuplicates(["url"]).join(known.select("id", "url"), "url")
         batch = (self.table("inbox").agg(F.max("batch")).first()[0] or 0) + 1 if epoch is None else epoch + (1 << 32)
         self.store.append("raw", batch, found.select("id", "html"))
-        raw = found.select("id", "url", "content_type").join(self.store.batches("raw", RAW).filter(F.col("batch") == batch).drop("batch"), "id")
-        pages = self.store.write("fresh", parts.hashed(raw).drop("html"))
+        raw = self.pages(fresh.join(known.select("id", "url"), "url").select("id", "url", "content_type", F.lit(batch).cast("long").alias("batch")))
+        # Parsed once, for hashes, title and features.
+        pages = self.store.write("fresh", parts.hashed(self._featured(raw, ("title", "layout")), "__parts").drop("html", "__parts"))
+        self.store.append(self._vectors(), batch, pages.select("id", *self.columns))
         rows = known.join(pages.select("id"), "id", "left_semi").drop("content_hash", "layout_hash", "title", "content_type", "last_access_ts")
         update = pages.select("id", "content_hash", "layout_hash", "title", media_type(F.col("content_type")).alias("content_type"), F.current_timestamp().alias("last_access_ts"))
         self.store.write("url_lib", store.upserted(known, rows.join(update, "id").select(*known.columns)))
         inbox = store.upserted(self.table("inbox"), pages.select("id", "url", F.lit("judge").alias("stage"), F.lit(batch).cast("long").alias("batch")))
         self.store.write("inbox", inbox)
-        named = self._featured(self.pages(self.table("inbox").join(pages.select("id"), "id", "left_semi"))).drop("html").join(self.table("url_lib").select("id", "title", "content_type"), "id")
+        named = pages.select("id", "url", *self.columns).join(self.table("url_lib").select("id", "title", "content_type"), "id")
         judged = judge.judged(named, self.model()).withColumn("filename", file_name(F.col("id"), F.col("content_type")))
         judged = judged.withColumn("route", judge.route(F.col("decision"), F.col("confidence")))
         judged = self.store.write("judged", judged.withColumn("feature", self._feature_map()))
@@ -188,8 +215,8 @@ class Engine:
 
     def judge(self, decisions: DataFrame) -> None:
         """Human decisions (id, decision): they teach the tree and send the pages on."""
-        pages = self.pages(self.table("inbox").join(decisions, "id"))
-        taught = self._featured(pages).select("id", F.col("decision").cast("int").alias("label"), *self.columns)
+        pages = self._vectors_of(self.table("inbox").join(decisions, "id"))
+        taught = pages.select("id", F.col("decision").cast("int").alias("label"), *self.columns)
         self.store.write("training", store.upserted(self.table("training"), taught))
         self.learn()
         route = F.when(F.col("decision").isin(*TARGETS), "extract").otherwise("discard")

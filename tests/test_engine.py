@@ -72,3 +72,21 @@ def test_pages_are_parsed_in_small_batches(spark):
     for df in (one, two):  # Arrow takes ten thousand pages at a time
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan and df.count() == 20
+
+
+def test_pages_are_dealt_over_tasks_and_parsed_once(spark, tmp_path, monkeypatch):
+    from pagemill.operators import parts
+    from pagemill.plans import engine as verbs
+
+    monkeypatch.setattr(verbs, "TASK_PAGES", 2)
+    parsed = spark.sparkContext.accumulator(0)
+
+    def counting(*a, f=parts.page_parts):
+        parsed.add(1)
+        return f(*a)
+
+    monkeypatch.setattr(parts, "page_parts", counting)
+    e = engine(spark, tmp_path)
+    e.ingest(spark.createDataFrame([page(i) for i in range(20)], SCHEMA).coalesce(1))
+    assert parsed.value == 20  # for hashes, title and features
+    assert e.pages(e.table("inbox")).rdd.getNumPartitions() >= 10
