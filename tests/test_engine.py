@@ -90,3 +90,18 @@ def test_pages_are_dealt_over_tasks_and_parsed_once(spark, tmp_path, monkeypatch
     e.ingest(spark.createDataFrame([page(i) for i in range(20)], SCHEMA).coalesce(1))
     assert parsed.value == 20  # for hashes, title and features
     assert e.pages(e.table("inbox")).rdd.getNumPartitions() >= 10
+
+
+def test_decisions_use_the_features_kept_at_ingestion(spark, tmp_path, monkeypatch):
+    from pagemill.operators import parts
+
+    e = engine(spark, tmp_path)
+    e.ingest(spark.createDataFrame([page(i) for i in range(6)], SCHEMA))
+    other = Engine(spark, str(tmp_path), [Feature("1", "T", (FeatureRule("reg", ("T",), sel="title"),)), Feature("2", "p", (FeatureRule("reg", ("<p>",), sel="html"),))], e.entity, Policy())
+    chosen = e.table("inbox").filter("id < 3").selectExpr("id", "1 AS decision")
+    other.judge(e.store.write("c", chosen))  # another space: its features are made anew
+    assert {(r.f_1, r.f_2) for r in other.table("training").collect()} == {(1.0, 1.0)}
+    monkeypatch.setattr(parts, "page_parts", None)  # the one space: no page is parsed
+    later = engine(spark, tmp_path)
+    waiting = later.table("inbox").join(later.table("url_lib").select("id", "url"), ["id", "url"])
+    assert sorted(r.f_1 for r in later._vectors_of(waiting.filter("id >= 3")).collect()) == sorted(float(int(r.url[-1]) % 3 + 1) for r in waiting.filter("id >= 3").collect())
