@@ -329,6 +329,22 @@ def test_cut_references_in_parts():
     assert "<script>a&amp&b</script>" in p["html"] and "<h1>h&amp;amp</h1>" in p["html"] and parts.page_parts("&", "", ["text"])["text"] == "&"
 
 
+def test_parts_of_references_cut_anywhere_are_those_of_sql(spark, tmp_path):
+    """Titles and texts end at any character of any reference that the SQL knows, numbers too."""
+    import duckdb
+
+    from pagemill.plans import queries
+
+    cuts = ["a" + r[:n] for r in [*parts.ENTITIES, "&amp;#39;", "&amp;amp;", "&#39;&#39;"] for n in range(1, len(r) + 1)]
+    rows = [(i, "u", f"<html><head><title>{c}</title></head><body><article><h1>{c}</h1><p>{c}</p></article></body></html>") for i, c in enumerate(cuts)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for name, columns in (("html_parts", "page_id, title, text"),):
+        ours = queries.QUERIES[name](spark, str(tmp_path)).select(*columns.split(", ")).collect()
+        assert sorted(map(tuple, ours)) == sorted(db.execute(f"SELECT {columns} FROM ({queries.ORACLES[name]})").fetchall())
+
+
 def test_cut_references_in_titles_of_hashed_pages(spark):
     pages = spark.createDataFrame([("u", CUT), ("v", CUT.replace("&&&amp<", "&amp;<"))], "url string, html string")
     rows = {r.url: r for r in parts.hashed(pages).collect()}
