@@ -340,7 +340,7 @@ def test_parts_of_references_cut_anywhere_are_those_of_sql(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     db = duckdb.connect()
     db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
-    for name, columns in (("html_parts", "page_id, title, text"),):
+    for name, columns in (("html_parts", "page_id, title, text"), ("layout_hash_udf", "page_id, title, content_hash")):
         ours = queries.QUERIES[name](spark, str(tmp_path)).select(*columns.split(", ")).collect()
         assert sorted(map(tuple, ours)) == sorted(db.execute(f"SELECT {columns} FROM ({queries.ORACLES[name]})").fetchall())
 
