@@ -345,6 +345,23 @@ def test_parts_of_references_cut_anywhere_are_those_of_sql(spark, tmp_path):
         assert sorted(map(tuple, ours)) == sorted(db.execute(f"SELECT {columns} FROM ({queries.ORACLES[name]})").fetchall())
 
 
+def test_titles_hold_no_tags_as_in_sql(spark, tmp_path):
+    """What looks like a tag in a title is text: it neither shortens the title nor changes the layout."""
+    import duckdb
+
+    from pagemill.plans import queries
+
+    titles = ["a <b>c</b> d", "a &lt;b&gt; &amp;lt; &am", "List<int> & x<y", '<body class="x">', "</head><p>", "<!-- a -->", "a\nb", "", "<", "</titles>", "x</TITLE><title>y &middot;"]
+    rows = [(i, "u", f"<html><head><title lang=en>{t}</title></head>{queries.LAYOUT}</html>") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    ours = queries.layout_hash_udf(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, ours)) == sorted(db.execute(queries.ORACLES["layout_hash_udf"]).fetchall())
+    p = parts.page_parts("<title>a <b>&lt;</title><p>&lt;<textarea><p>&amp;</textarea><title>open<p>x", "", ["html"])
+    assert p["html"] == "<title>a &lt;b&gt;&lt;</title><p>&lt;<textarea>&lt;p&gt;&amp;</textarea><title>open</title></p><p>x</p>"
+
+
 def test_cut_references_in_titles_of_hashed_pages(spark):
     pages = spark.createDataFrame([("u", CUT), ("v", CUT.replace("&&&amp<", "&amp;<"))], "url string, html string")
     rows = {r.url: r for r in parts.hashed(pages).collect()}
