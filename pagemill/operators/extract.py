@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import html as H
 from pagemill.functions.regex import between, found_joined, groups, stripped, without_tags
 from pagemill.functions.scalars import cut, from_extractor
+from pagemill.operators import parts as parts_
 from pagemill.operators.store import record
 from pagemill.sources.specs import Entity, Rule
 
@@ -74,21 +75,22 @@ ACTIONS: dict[int, tuple[str, str, Callable[[Column], Column]]] = {
 }
 
 
-def with_scopes(pages: DataFrame, rules: list[Rule], html: str = "html", url: str = "url", into: str = "__scopes") -> DataFrame:
-    """``pages`` with an array of the scoped contents of the rules on content; a page is parsed once for all."""
-    scopes = []
+def scopes(rules: Iterable[Rule]) -> list[parts_.Scope]:
+    """Of the rules on content."""
+    out = []
     for r in rules:
+        if r.on != "content":
+            continue
         try:
-            scopes.append((H.compiled_selector(r.sel or "html"), r.target))
+            out.append((H.compiled_selector(r.sel or "html"), r.target))
         except ValueError:
-            scopes.append((None, r.target))  # beyond the subset: nothing is selected
+            out.append((None, r.target))  # beyond the subset: nothing is selected
+    return out
 
-    def run(markup: str | None, at: str | None) -> list[str]:
-        root = H.parse(markup or "")
-        H.absolute_references(root, at or "")
-        return [H.scope(root, s, t) if s is not None else "" for s, t in scopes]
 
-    return pages.withColumn(into, F.udf(run, "array<string>", useArrow=False)(F.col(html), F.col(url)))  # plain: as in ``parts``
+def with_scopes(pages: DataFrame, rules: list[Rule], html: str = "html", url: str = "url", into: str = "__scopes") -> DataFrame:
+    """``pages`` with an array of the scoped contents of the rules on content; a page is parsed once for all."""
+    return parts_.with_parts(pages, [], html, url, into, scopes=scopes(rules)).withColumn(into, F.col(f"{into}.scopes"))
 
 
 def attribute_value(rule: Rule, source: Column) -> Column:
@@ -109,27 +111,32 @@ def attribute_value(rule: Rule, source: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
-def with_rule_values(pages: DataFrame, rules: dict[str, Rule], parts: dict[str, Column], html: str = "html", url: str = "url") -> DataFrame:
-    """``pages`` with a column for each named rule. Only rules on content parse the page."""
+def with_rule_values(pages: DataFrame, rules: dict[str, Rule], parts: dict[str, Column], html: str = "html", url: str = "url", scoped: Column | None = None) -> DataFrame:
+    """``pages`` with a column for each named rule. Only rules on content parse the page, unless their ``scopes`` are at hand, ``scoped``."""
     on_content = {name: r for name, r in rules.items() if r.on == "content"}
     unknown = {r.on for r in rules.values()} - {"content"} - set(parts)
     if unknown:
         raise KeyError(f"unknown parts: {sorted(unknown)}")
-    out = with_scopes(pages, [*on_content.values()], html, url) if on_content else pages
+    out = pages
+    if on_content:
+        out = with_scopes(pages, [*on_content.values()], html, url) if scoped is None else pages.withColumn("__scopes", scoped)
     place = {name: i for i, name in enumerate(on_content)}
     source = lambda name, r: F.col("__scopes")[place[name]] if r.on == "content" else parts[r.on]
     return out.withColumns({name: attribute_value(r, source(name, r)) for name, r in rules.items()}).drop("__scopes")
 
 
-def with_records(pages: DataFrame, entity: Entity, extractor: Column, parts: dict[str, Column], html: str = "html", url: str = "url") -> DataFrame:
+def rules_of(entity: Entity) -> dict[str, Rule]:
+    return {f"__{a.id}_{n}": r for a in entity.attributes.values() for n, r in a.rules.items()}
+
+
+def with_records(pages: DataFrame, entity: Entity, extractor: Column, parts: dict[str, Column], html: str = "html", url: str = "url", scoped: Column | None = None) -> DataFrame:
     """``pages`` with a column (the attribute's db_col, cut to max_len) for each attribute of its extractor.
 
     Position i of the extractor is the number of the rule for attribute i; 0, none
     and unknown numbers leave it blank. Pages may have different extractors: a CASE
     over the rules of an attribute picks the one, in one projection.
     """
-    rules = {f"__{a.id}_{n}": r for a in entity.attributes.values() for n, r in a.rules.items()}
-    out = with_rule_values(pages.withColumn("__extractor", extractor), rules, parts, html, url)
+    out = with_rule_values(pages.withColumn("__extractor", extractor), rules_of(entity), parts, html, url, scoped)
     columns = {}
     for a in entity.attributes.values():
         number = F.get("__extractor", F.lit(a.id - 1))

@@ -60,10 +60,14 @@ def native(html: Column, url: Column) -> dict[str, Column]:
     }
 
 
-def page_parts(html: str, url: str, names: list[str], script_text: bool = True) -> dict[str, str]:
-    """From the tree. script_text: whether text takes what stands in script and style."""
-    out: dict[str, str] = {}
-    if set(names) - {"url"}:
+#: A selector, None if it is beyond the subset, and what to take of the elements: html or text.
+Scope = tuple[list[list[H.Step]] | None, str]
+
+
+def page_parts(html: str, url: str, names: list[str], script_text: bool = True, scopes: list[Scope] = []) -> dict[str, str | list[str]]:
+    """From the tree. script_text: whether text takes what stands in script and style. scopes: what to select besides, as the part scopes."""
+    out: dict[str, str | list[str]] = {}
+    if scopes or set(names) - {"url"}:
         root = H.parse(html)
         if "layout" in names:  # before references change
             out["layout"] = H.layout(root)
@@ -83,22 +87,25 @@ def page_parts(html: str, url: str, names: list[str], script_text: bool = True)
                 out[name] = H.meta(root, "Keywords", "keywords")
             elif name == "description":
                 out[name] = H.meta(root, "Description", "description")
+        if scopes:
+            out["scopes"] = [H.scope(root, s, t) if s is not None else "" for s, t in scopes]
     if "url" in names:
         out["url"] = url
     return out
 
 
-def with_parts(pages: DataFrame, names: list[str], html: str = "html", url: str = "url", into: str = "parts", script_text: bool = True) -> DataFrame:
-    """``pages`` with a struct of the parts asked for, from the tree. Null html counts as empty."""
+def with_parts(pages: DataFrame, names: list[str], html: str = "html", url: str = "url", into: str = "parts", script_text: bool = True, scopes: list[Scope] = []) -> DataFrame:
+    """``pages`` with a struct of the parts asked for, and of scopes if there are any, from the tree. Null html counts as empty."""
     unknown = set(names) - set(NAMES)
     if unknown:
         raise KeyError(f"unknown parts: {sorted(unknown)}")
 
     def run(markup: str | None, at: str | None) -> tuple:
-        found = page_parts(markup or "", at or "", names, script_text)
-        return tuple(found[n] for n in names)
+        found = page_parts(markup or "", at or "", names, script_text, scopes)
+        return tuple(found[n] for n in wanted)
 
-    schema = ", ".join(f"{n} string" for n in names)
+    wanted = [*names, *["scopes"] * bool(scopes)]
+    schema = ", ".join(f"{n} {'array<string>' if n == 'scopes' else 'string'}" for n in wanted)
     return pages.withColumn(into, F.udf(run, schema, useArrow=False)(F.col(html), F.col(url)))
 
 

@@ -82,13 +82,13 @@ class Engine:
 
     # -- steps
 
-    def _with_parts(self, pages: DataFrame, also: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, Column]]:
-        """``pages`` with __parts, from the tree, and the parts as columns: those that features or rules ask for; a page is parsed once for all of them."""
+    def _with_parts(self, pages: DataFrame, also: tuple[str, ...] = (), scopes: list[parts.Scope] = []) -> tuple[DataFrame, dict[str, Column]]:
+        """``pages`` with __parts, from the tree, and the parts as columns: those that features or rules ask for; a page is parsed once for all of them, and for scopes."""
         asked = {r.sel for f in self.space for r in f.rules} | {r.on for a in self.entity.attributes.values() for r in a.rules.values()} | {*also}
         names = [n for n in parts.NAMES if n in asked and n != "url"]
         made = {"url": F.col("url")}
-        if names:
-            pages = parts.with_parts(pages, names, into="__parts")
+        if names or scopes:
+            pages = parts.with_parts(pages, names, into="__parts", scopes=scopes)
             made |= {n: F.col(f"__parts.{n}") for n in names}
         return pages, made
 
@@ -234,8 +234,10 @@ class Engine:
 
     def preview(self, chosen: DataFrame) -> DataFrame:
         """id and the attributes that the extractor (id, extractor) of each page gives; nothing is saved."""
-        pages, own = self._with_parts(self.pages(self.table("inbox").join(chosen, "id")))
-        return extract.with_records(pages, self.entity, F.col("extractor"), own).drop("url", "html", "stage", "extractor", "__parts")
+        scopes = extract.scopes(extract.rules_of(self.entity).values())
+        pages, own = self._with_parts(self.pages(self.table("inbox").join(chosen, "id")), scopes=scopes)
+        scoped = F.col("__parts.scopes") if scopes else None
+        return extract.with_records(pages, self.entity, F.col("extractor"), own, scoped=scoped).drop("url", "html", "stage", "extractor", "__parts")
 
     def apply(self, chosen: DataFrame) -> None:
         """Extract and save with the extractors given (id, extractor); the pages leave queue and inbox."""

@@ -1,5 +1,7 @@
 """The verbs together, in batches and as a stream."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from pagemill.operators.admission import Policy
@@ -105,3 +107,18 @@ def test_decisions_use_the_features_kept_at_ingestion(spark, tmp_path, monkeypat
     later = engine(spark, tmp_path)
     waiting = later.table("inbox").join(later.table("url_lib").select("id", "url"), ["id", "url"])
     assert sorted(r.f_1 for r in later._vectors_of(waiting.filter("id >= 3")).collect()) == sorted(float(int(r.url[-1]) % 3 + 1) for r in waiting.filter("id >= 3").collect())
+
+
+def test_extraction_parses_a_page_once_for_parts_and_scopes(spark, tmp_path):
+    rules = {1: Rule("title"), 2: Rule("content", sel="div > h1", target="html"), 3: Rule("content", sel="p", target="text"), 4: Rule("content", sel="p:x"), 5: Rule("layout", match="class")}
+    entity = Entity("e", {1: Attribute(1, "Title", "title", 32, rules=rules), 2: Attribute(2, "Place", "place", 32, rules={1: Rule("content", sel="img"), 2: Rule("text", match="talk")})})
+    e = Engine(spark, str(tmp_path), engine(spark, tmp_path).space, entity, Policy())
+    e.ingest(spark.createDataFrame([page(i) for i in range(6)], SCHEMA))
+    chosen = e.store.write("c", e.table("inbox").selectExpr("id", "array(int(id), 2) AS extractor"))
+    made = e.preview(chosen)
+    (udfs,) = re.findall(r"BatchEvalPython \[(.*?)\], \[", made._jdf.queryExecution().executedPlan().toString())
+    assert udfs.count("run(") == 1
+    rows = made.join(e.table("url_lib").select("id", F.element_at(F.split("url", "/"), -1).alias("n")), "id").collect()
+    for r in rows:
+        n = int(r.n)
+        assert r.title == {1: f"T{n}", 2: f"<h1>T{n}</h1>", 3: "talk" * (n % 3 + 1), 4: "", 5: "class", 6: ""}[r.id] and r.place == " ".join(["talk"] * (n % 3 + 1))
