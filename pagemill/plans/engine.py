@@ -152,8 +152,14 @@ class Engine:
     def _send_to_extractor(self, ids: DataFrame) -> None:
         """Pages whose layout has an elected extractor are extracted, the others queued."""
         pages = self.table("url_lib").join(ids.select("id").distinct(), "id", "left_semi")
-        voted = extract.by_vote(pages, self.table("url_lib"))
-        self.apply(voted.filter("voted is not null").select("id", F.col("voted").alias("extractor")))
+        # Counted once: what follows reads the outcome many times.
+        voted = extract.by_vote(pages, self.table("url_lib")).select("id", "title", "url", "content_type", "is_target", "voted")
+        voted = self.store.write("voted", voted)
+        chosen = voted.filter("voted is not null").select("id", F.col("voted").alias("extractor"))
+        if chosen.isEmpty() and {a.db_col for a in self.entity.attributes.values()} <= {*self.table("sem_info").columns}:
+            self.vacuum()
+        else:
+            self.apply(chosen)
         waiting = voted.filter("voted is null").select(
             "id", "title", "url", file_name(F.col("id"), F.col("content_type")).alias("filename"), F.col("is_target").alias("decision"), F.array(*map(F.lit, NO_EXTRACTOR)).alias("extractor")
         )

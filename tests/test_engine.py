@@ -122,3 +122,16 @@ def test_extraction_parses_a_page_once_for_parts_and_scopes(spark, tmp_path):
     for r in rows:
         n = int(r.n)
         assert r.title == {1: f"T{n}", 2: f"<h1>T{n}</h1>", 3: "talk" * (n % 3 + 1), 4: "", 5: "class", 6: ""}[r.id] and r.place == " ".join(["talk"] * (n % 3 + 1))
+
+
+def test_decisions_without_a_vote_leave_records_alone(spark, tmp_path):
+    e = engine(spark, tmp_path / "a")
+    e.ingest(spark.createDataFrame([page(i) for i in range(3)], SCHEMA))
+    kept, ids = e.store._versions("sem_info"), sorted(r.id for r in e.table("url_lib").collect())
+    e.judge(spark.createDataFrame([(ids[0], 1), (ids[1], -1)], "id long, decision int"))
+    assert e.store._versions("sem_info") == kept and [r.id for r in e.extract_list().collect()] == ids[:1]
+    e.judge(spark.createDataFrame([(ids[0], -1), (ids[2], -1)], "id long, decision int"))
+    assert e.store.batch_numbers("raw") == []  # nothing waits: raw pages go all the same
+    other = Engine(spark, str(tmp_path / "b"), e.space, Entity("e", {1: Attribute(1, "Venue", "venue", 32)}), Policy())
+    other.ingest(spark.createDataFrame([page(0)], SCHEMA))
+    assert "venue" in other.results().columns
