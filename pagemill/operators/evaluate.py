@@ -62,8 +62,10 @@ def cross_validated(table: DataFrame, features: list[str], key: str = "id", k: i
     """theta, fold, tp, tn, fp, fn of each fold under each setting. The loop is over models, not rows; the folds of a setting are fitted at the same time."""
     narrow = table.select(key, "label", *features).persist()  # features are computed once
     counted = with_fold(narrow, "label", key, k).groupBy("fold", "label", *features).agg(F.count("*").alias("__rows")).persist()
-    few = counted.coalesce(-(-max(counted.count(), 1) // PART_ROWS))
+    few = counted.coalesce(-(-max(counted.count(), 1) // PART_ROWS)).persist()  # a hundred readers: not the parts of the shuffle each time
+    few.count()
     narrow.unpersist()
+    counted.unpersist()
 
     def run(name: str, i: int) -> tuple:
         impurity, leaf, depth = (settings or SETTINGS)[name]
@@ -76,7 +78,7 @@ def cross_validated(table: DataFrame, features: list[str], key: str = "id", k: i
     with ThreadPoolExecutor(k) as pool:
         for name in settings or SETTINGS:
             rows += pool.map(inheritable_thread_target(table.sparkSession)(partial(run, name)), range(k))
-    counted.unpersist()
+    few.unpersist()
     return table.sparkSession.createDataFrame(rows, "theta string, fold int, tp long, tn long, fp long, fn long")
 
 

@@ -416,6 +416,28 @@ def test_folds_are_fitted_together_on_distinct_rows(spark, monkeypatch):
     assert [sum(r[2:]) for r in out] == [40] * 10 and max(n for n, _ in seen) <= 9 * 4 and {w for _, w in seen} == {360}
 
 
+def test_fits_read_few_parts_however_many_the_shuffle_has(spark, monkeypatch):
+    parts, fitted = [], []
+
+    def learn(rows, columns, **named):
+        leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+        parts.append(leaves.apply(0).cacheBuilder().cachedColumnBuffers().getNumPartitions())
+        fitted.append(rows.groupBy("label").count()._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(evaluate, "learn", learn)
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        df = spark.range(400).selectExpr("id", "int(id % 2) AS label", "double(id % 4) AS f_1")
+        out = evaluate.cross_validated(df, ["f_1"], k=2, settings={"a": ("gini", 1, 3)}).collect()
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    assert parts == [1, 1] and [sum(r[2:]) for r in out] == [200, 200]
+    assert not any("Exchange" in plan.split("InMemoryTableScan")[0] for plan in fitted)
+
+
 def test_cross_validation_computes_features_once(spark):
     rows = spark.sparkContext.accumulator(0)
 
